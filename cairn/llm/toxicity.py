@@ -30,10 +30,10 @@ from . import rolling as R
 from .common import slices, texts
 
 BITS, LENGTHS, PASSAGE = 20, (3, 4, 5, 6), 512
-MAX_LABELLED = 4000
+MAX_LABELLED = 2400
 #: Buckets in fewer labelled passages, or whose ratio is nearer to 0, have no weight.
-MIN_COUNT, MIN_RATIO = 4, 1.0
-SLICE_CHARS = 1 << 19
+MIN_COUNT, MIN_RATIO = 6, 1.5
+SLICE_CHARS = 1 << 18
 
 
 @dataclass
@@ -98,9 +98,21 @@ def _logistic(rows: np.ndarray, cols: np.ndarray, x: np.ndarray, y: np.ndarray,
     return w[:-1], float(w[-1])
 
 
-def _ratios(bucket: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Of each bucket, from the buckets of all passages and their labels; 0 where unused."""
-    p, q = (np.bincount(bucket[y == k], minlength=1 << BITS).astype(float) for k in (1, 0))
+def _sliced(values: list[str], used: np.ndarray | None = None):
+    """``features`` of a few texts at a time, so that only what is used is ever held for all."""
+    done = 0
+    for a, b in slices(values, SLICE_CHARS):
+        passage, bucket, passages = features(values[a:b], used)
+        yield passage + done, bucket, passages
+        done += int(passages.sum())
+
+
+def _ratios(values: list[str], y: np.ndarray, use: np.ndarray) -> np.ndarray:
+    """Of each bucket, from the buckets of the passages in use and their labels; 0 where it has no weight."""
+    p, q = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64)
+    for passage, bucket, _ in _sliced(values):
+        for count, k in ((p, 1), (q, 0)):
+            count += np.bincount(bucket[use[passage] & (y[passage] == k)], minlength=1 << BITS)
     r = np.log(((p + 1) / (p.sum() + len(p))) / ((q + 1) / (q.sum() + len(q))))
     r[(p + q < MIN_COUNT) | (np.abs(r) < MIN_RATIO)] = 0
     return r
@@ -115,17 +127,19 @@ def fit(values: list[str], toxic: list[int], rounds: int = 3) -> Model | None:
     for k in (0, 1):
         held[np.flatnonzero(label == k)[::5]] = True
     train = [v for v, h in zip(values, held) if not h]
-    passage, bucket, passages = features(train)
+    passages = np.array([max(1, -(-len(v.lower()) // PASSAGE)) for v in train])
     y = np.repeat(label[~held], passages)
     use = np.ones(len(y), bool)
     model = None
     for _ in range(rounds):
+        r = _ratios(train, y, use)
+        parts = [(passage.astype(np.int32), bucket.astype(np.int32)) for passage, bucket, _ in _sliced(train, r != 0)]
+        passage, bucket = (np.concatenate(x) for x in zip(*parts))
+        kept = np.flatnonzero(r)
+        col = np.searchsorted(kept, bucket).astype(np.int32)
         mine = use[passage]
-        r = _ratios(bucket[mine], y[passage[mine]])
-        mine &= r[bucket] != 0
-        kept, col = np.unique(bucket[mine], return_inverse=True)
-        row = np.cumsum(use) - 1
-        w, bias = _logistic(row[passage[mine]], col, r[kept][col], y[use], len(kept))
+        row = (np.cumsum(use) - 1).astype(np.int32)
+        w, bias = _logistic(row[passage[mine]], col[mine], r[kept][col[mine]].astype(np.float32), y[use], len(kept))
         weights = np.zeros(1 << BITS)
         weights[kept] = w * r[kept]
         model = Model(weights, bias, 0.0)
