@@ -1 +1,3 @@
-"""Retrieval and analytics over source code and documents, on Spark DataFrames."""
+"""Cairn: retrieval over source code and documents, as Spark DataFrames."""
+
+__version__ = "0.1.0"

@@ -1 +1 @@
-
+"""Column expressions: identifiers, text, vectors."""

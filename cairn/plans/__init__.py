@@ -1 +1 @@
-
+"""Whole plans: the indexer, and the registered queries."""

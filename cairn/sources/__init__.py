@@ -1 +1 @@
-
+"""Where rows come from: file trees, ignore rules, configuration, path aliases, evaluation sets, watched folders."""

@@ -1 +1 @@
-
+"""Watched folders as streams."""

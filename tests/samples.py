@@ -1,0 +1,76 @@
+"""Source samples by language, with what must come out of them: (type, name, class) triples, a subset of the chunks, and edges (type, symbol)."""
+
+SAMPLES = {
+    "typescript": (
+        """import { formatDate, x as y } from "./utils";
+import EventEmitter from "events";
+
+/** doc */
+export class UserService extends EventEmitter {
+  constructor(private readonly z: string) {
+    super();
+  }
+  async greet(name: string): Promise<string> {
+    if (name) { return formatDate(name); }
+    return new Foo().bar();
+  }
+}
+export function createUser(): UserService {
+  return new UserService("a{b");
+}
+export const add = (a: number, b: number) => {
+  return a + b;
+};
+export interface User { name: string }
+export type Alias = string | number;
+export enum Color { Red, Green }
+export const CONFIG = {
+  alpha: 1, beta: "a long enough constant for the limit",
+};
+namespace NS { export const a = 1; }
+""",
+        [("import", None, None), ("function", "createUser", None), ("function", "add", None), ("class", "UserService", None), ("method", "constructor", "UserService"), ("method", "greet", "UserService"), ("interface", "User", None), ("type", "Alias", None), ("enum", "Color", None), ("const", "CONFIG", None), ("namespace", "NS", None)],
+        [("IMPORTS", "./utils"), ("IMPORTS", "events"), ("EXTENDS", "EventEmitter"), ("CALLS", "formatDate"), ("CALLS", "UserService")],
+    ),
+    "javascript": ("function* gen() { yield 1; }\nclass A extends B {\n  m() { return f(1); }\n}\n", [("function", "gen", None), ("class", "A", None), ("method", "m", "A")], [("EXTENDS", "B"), ("CALLS", "f")]),
+    "python": ("import os\nfrom .x import y\nclass A(B):\n    def m(self):\n        return helper(1)\ndef f():\n    pass\ntype P = int\nLONG_CONSTANT = {'a': 1, 'b': 2, 'c': 3, 'dddddd': 4}\n", [("import", None, None), ("class", "A", None), ("function", "m", "A"), ("function", "f", None), ("typealias", "P", None), ("const", "LONG_CONSTANT", None)], [("IMPORTS", "os"), ("IMPORTS", ".x"), ("EXTENDS", "B"), ("CALLS", "helper")]),
+    "go": ('package main\n\nimport "fmt"\n\n// Greet greets\nfunc Greet(name string) string {\n\treturn fmt.Sprintf("Hello, %s!", name)\n}\n\ntype UserService struct {\n\tdb string\n}\n\ntype Repository interface {\n\tFindAll() []string\n}\n\nfunc (u *UserService) FindUser(id string) string {\n\treturn u.db\n}\n', [("import", None, None), ("function", "Greet", None), ("method", "FindUser", "UserService"), ("struct", "UserService", None), ("interface", "Repository", None)], [("IMPORTS", "fmt"), ("CALLS", "Sprintf")]),
+    "rust": ("use std::io;\npub struct P { x: i32 }\nenum E { A }\nimpl P {\n    pub fn new<'a>(x: &'a str) -> Self { helper(x) }\n}\ntrait T {\n    fn a(&self);\n}\nmod m {}\nmacro_rules! mac { () => {} }\ntype A = i32;\nfn helper(x: &str) -> P { P { x: 1 } }\n", [("import", None, None), ("struct", "P", None), ("enum", "E", None), ("class", "P", None), ("function", "new", "P"), ("trait", "T", None), ("module", "m", None), ("macro", "mac", None), ("typealias", "A", None), ("function", "helper", None)], [("IMPORTS", "std::io"), ("CALLS", "helper")]),
+    "java": ("package a;\nimport java.util.List;\n\npublic class Foo extends Bar implements Baz, Qux<String> {\n    private int x = 1;\n    @Override\n    public List<String> get(int a) {\n        if (a > 1) { return list(a); }\n        return null;\n    }\n    Foo() { super(); }\n}\ninterface I { }\nenum E { A, B }\nrecord R(int a) {}\n", [("import", None, None), ("class", "Foo", None), ("interface", "I", None), ("enum", "E", None), ("record", "R", None), ("method", "get", "Foo"), ("method", "Foo", "Foo")], [("IMPORTS", "java.util.List"), ("EXTENDS", "Bar"), ("IMPLEMENTS", "Baz"), ("IMPLEMENTS", "Qux"), ("CALLS", "list")]),
+    "c": ("#include <stdio.h>\n#define MAX_LENGTH_OF_X 100\ntypedef struct Foo { int a; } Foo;\nstruct Bar { int b; };\nenum E { A };\nstatic int add(int a, int b) {\n  return helper(a);\n}\n", [("import", None, None), ("struct", "Bar", None), ("enum", "E", None), ("typealias", "Foo", None), ("macro", "MAX_LENGTH_OF_X", None), ("function", "add", None)], [("IMPORTS", "stdio.h"), ("CALLS", "helper")]),
+    "cpp": ("#include <vector>\nnamespace ns {\nclass A : public B {\n public:\n  int get(int x) { return f(x); }\n};\nstruct S { int a; };\nenum class E { X };\nusing V = int;\n}\nint main() { return 0; }\n", [("import", None, None), ("class", "A", None), ("struct", "S", None), ("enum", "E", None), ("namespace", "ns", None), ("typealias", "V", None), ("method", "get", "A"), ("function", "main", None)], [("IMPORTS", "vector"), ("EXTENDS", "B"), ("CALLS", "f")]),
+    "csharp": ("using System;\nnamespace N {\npublic class A : B, IC {\n    public int P { get; set; }\n    public event Action Done;\n    public int M(int x) { return F(x); }\n}\npublic record R(int X);\npublic struct S { }\npublic interface I { }\npublic enum E { X }\npublic delegate void D(int x);\n}\n", [("import", None, None), ("class", "A", None), ("record", "R", None), ("struct", "S", None), ("interface", "I", None), ("enum", "E", None), ("typealias", "D", None), ("method", "M", "A"), ("property", "P", "A"), ("event", "Done", "A")], [("IMPORTS", "System"), ("EXTENDS", "B"), ("EXTENDS", "IC"), ("CALLS", "F")]),
+    "swift": ("import Foundation\nclass A: B {\n    func m() { f(1) }\n}\nstruct S {}\nenum E { case a }\nactor Act {}\nextension A {}\nprotocol P {}\ntypealias T = Int\nfunc top() -> Int { return 1 }\n", [("import", None, None), ("class", "A", None), ("struct", "S", None), ("enum", "E", None), ("actor", "Act", None), ("extension", "A", None), ("protocol", "P", None), ("typealias", "T", None), ("method", "m", "A"), ("function", "top", None)], [("IMPORTS", "Foundation"), ("EXTENDS", "B"), ("CALLS", "f")]),
+    "kotlin": ("import a.b\ndata class P(val x: Int) : Base(x), Iface {\n  fun area(): Int = x * 2\n  fun two() { call(1) }\n}\nenum class C { A }\ninterface I\nobject O { fun z() {} }\ntypealias T = Int\nfun top(a: Int) = a\n", [("import", None, None), ("class", "P", None), ("interface", "I", None), ("enum", "C", None), ("object", "O", None), ("typealias", "T", None), ("method", "area", "P"), ("method", "two", "P"), ("function", "top", None)], [("IMPORTS", "a.b"), ("EXTENDS", "Base"), ("IMPLEMENTS", "Iface"), ("CALLS", "call")]),
+    "ruby": ("require 'json'\nclass User < Base\n  has_many :posts\n  def name\n    if x\n      foo(1)\n    end\n  end\nend\ndef top\n  bar\nend\n", [("import", None, None), ("class", "User", None), ("method", "name", "User"), ("function", "top", None), ("dsl_call", "has_many", "User")], [("IMPORTS", "json"), ("EXTENDS", "Base"), ("CALLS", "foo")]),
+    "php": ("<?php\nuse App\\Models\\User;\nfunction top($x) { return f($x); }\nclass A extends B implements C {\n    private string $name;\n    public function m() { return top(1); }\n}\ninterface I {}\ntrait T {}\nenum E {}\n", [("import", None, None), ("function", "top", None), ("class", "A", None), ("interface", "I", None), ("trait", "T", None), ("enum", "E", None), ("property", "name", "A"), ("method", "m", "A")], [("IMPORTS", "App\\Models\\User"), ("EXTENDS", "B"), ("IMPLEMENTS", "C"), ("CALLS", "f")]),
+    "bash": ('source ./lib.sh\nDEFAULT_DIRECTORY="/usr/local/share/something/else"\nfoo() {\n  bar 1\n}\nfunction baz {\n  foo\n}\n', [("import", None, None), ("function", "foo", None), ("function", "baz", None), ("const", "DEFAULT_DIRECTORY", None)], [("IMPORTS", "./lib.sh"), ("CALLS", "foo")]),
+    "scala": ("import a.b\nclass A extends B {\n  def m(): Int = { f(1) }\n}\ncase class R(x: Int)\nobject O {}\ntrait T\nenum E { case X }\ntype Y = Int\ngiven ord: Int = 1\ndef top() = 1\n", [("import", None, None), ("class", "A", None), ("record", "R", None), ("object", "O", None), ("trait", "T", None), ("enum", "E", None), ("typealias", "Y", None), ("instance", "ord", None), ("method", "m", "A"), ("function", "top", None)], [("IMPORTS", "a.b"), ("EXTENDS", "B"), ("CALLS", "f")]),
+    "lua": ('local m = require("x")\nfunction M.foo(a)\n  if a then\n    return bar(a)\n  end\nend\nlocal function baz() end\n', [("import", None, None), ("function", "M.foo", None), ("function", "baz", None)], [("IMPORTS", "x"), ("CALLS", "bar")]),
+    "r": ('library("dplyr")\nadd <- function(x, y) {\n  helper(x)\n}\nsetClass("P", representation(x = "numeric"))\nsetGeneric("area", function(s) standardGeneric("area"))\nsetMethod("area", "P", function(s) 1)\n', [("import", None, None), ("function", "add", None), ("class", "P", None), ("method", "area", None), ("function", "area", None)], [("IMPORTS", "dplyr"), ("CALLS", "helper")]),
+    "dart": ("import 'dart:io';\nclass A extends B {\n  int m() { return 1; }\n}\nmixin M {}\nextension X on A {}\nenum E { a }\ntypedef F = int Function();\nvoid main() {}\n", [("import", None, None), ("class", "A", None), ("mixin", "M", None), ("extension", "X", None), ("enum", "E", None), ("typealias", "F", None), ("method", "m", "A"), ("function", "main", None)], [("IMPORTS", "dart:io"), ("EXTENDS", "B")]),
+    "haskell": ("module A where\nimport Data.List\ndata T = A | B\n  deriving Show\nnewtype N = N Int\ntype S = String\nfoo :: Int -> Int\nfoo x = bar x\nfoo y = 2\nclass C a where\n  m :: a\ninstance C T where\n  m = A\n", [("import", None, None), ("function", "foo", None), ("type", "T", None), ("class", "C", None), ("instance", "C T", None), ("newtype", "N", None), ("typealias", "S", None)], [("IMPORTS", "Data.List"), ("CALLS", "bar")]),
+    "elixir": ("defmodule A.B do\n  alias X.Y\n  def foo(x) do\n    bar(x)\n  end\n  defmacro mac(x), do: x\nend\ndefprotocol P do\n  def q(x)\nend\ndefimpl P, for: Integer do\n  def q(x), do: x\nend\n", [("import", None, None), ("module", "A.B", None), ("protocol", "P", None), ("instance", "P", None), ("method", "foo", "A.B"), ("macro", "mac", "A.B")], [("IMPORTS", "X.Y"), ("CALLS", "bar")]),
+    "clojure": ("(ns a.b (:require [c.d :as d]))\n(defn foo [x] (bar x))\n(defmacro m [x] x)\n(defprotocol P (q [x]))\n(defrecord R [x])\n(defmulti mm :kind)\n(def long-constant-name {:a 1 :b 2 :c 3 :d 4})\n", [("import", None, None), ("function", "foo", None), ("macro", "m", None), ("protocol", "P", None), ("record", "R", None), ("method", "mm", None), ("const", "long-constant-name", None)], [("IMPORTS", "c.d"), ("CALLS", "bar")]),
+    "groovy": ("import a.B\nclass A {\n  def m(x) { f(x) }\n}\ndef closure = { it + 1 }\n", [("import", None, None), ("class", "A", None), ("method", "m", "A"), ("function", "closure", None)], [("IMPORTS", "a.B"), ("CALLS", "f")]),
+    "perl": ("use Moose;\nhas 'name' => (is => 'rw');\nsub greet {\n  return 1;\n}\n", [("import", None, None), ("function", "greet", None), ("property", "name", None)], [("IMPORTS", "Moose")]),
+    "powershell": ("using module Foo\nparam(\n  [string]$Name\n)\nclass A {\n  [int] Run() {\n    return 1\n  }\n}\nfunction Get-Thing {\n  Invoke-Other 1\n}\n", [("import", None, None), ("class", "A", None), ("function", "Get-Thing", None), ("method", "Run", "A"), ("param_block", "param", None)], [("IMPORTS", "Foo"), ("CALLS", "Invoke-Other")]),
+    "matlab": ("classdef A < handle\n  properties\n    x\n  end\n  methods\n    function r = go(obj)\n      r = f(1);\n    end\n  end\nend\n", [("class", "A", None), ("method", "go", "A"), ("property", "properties", "A")], [("CALLS", "f")]),
+    "zig": ('const std = @import("std");\nconst P = struct {\n    x: i32,\n    fn get(self: P) i32 { return self.x; }\n};\nconst E = enum { a, b };\npub fn main() void {}\ntest "adds" { }\n', [("import", None, None), ("struct", "P", None), ("enum", "E", None), ("test", "adds", None), ("method", "get", "P"), ("function", "main", None)], [("IMPORTS", "std")]),
+    "solidity": ('import "./B.sol";\ncontract A is B {\n    uint256 public constant TOTAL_SUPPLY = 1000000;\n    event Sent(address to);\n    error Bad();\n    modifier only() { _; }\n    struct S { uint a; }\n    enum E { X }\n    function send(uint x) public { f(x); }\n}\ninterface I {}\nlibrary L {}\n', [("import", None, None), ("class", "A", None), ("interface", "I", None), ("event", "Sent", "A"), ("modifier", "only", "A"), ("library", "L", None), ("struct", "S", "A"), ("enum", "E", "A"), ("error", "Bad", "A"), ("state_variable", "TOTAL_SUPPLY", "A"), ("method", "send", "A")], [("IMPORTS", "./B.sol"), ("EXTENDS", "B"), ("CALLS", "f")]),
+    "julia": ("module M\nusing LinearAlgebra\nfunction foo(x)\n  if x\n    bar(x)\n  end\nend\nstruct P\n  x\nend\nmacro m(x)\n  x\nend\nabstract type T end\nend\n", [("import", None, None), ("module", "M", None), ("method", "foo", "M"), ("struct", "P", None), ("macro", "m", "M"), ("type", "T", "M")], [("IMPORTS", "LinearAlgebra"), ("CALLS", "bar")]),
+    "ocaml": ("open Printf\nmodule type S = sig\n  val x : int\nend\nmodule M = struct\n  let y = 1\nend\nmodule F (X : S) = struct\nend\nlet add a b = a + b\ntype t = A | B\n", [("import", None, None), ("module", "M", None), ("functor", "F", None), ("module_type", "S", None), ("function", "add", None), ("type", "t", None)], [("IMPORTS", "Printf")]),
+    "erlang": ("-module(m).\n-export([f/1]).\n-record(person, {name}).\nf(X) ->\n  g(X).\n", [("import", None, None), ("record", "person", None), ("function", "f", None)], [("IMPORTS", "m"), ("CALLS", "g")]),
+    "objc": ("#import <Foundation/Foundation.h>\n@interface A : NSObject\n@property int x;\n- (void)run;\n@end\n@implementation A\n- (void)run {\n  f(1);\n}\n@end\n@interface A (Cat)\n@end\n@protocol P\n@end\n", [("import", None, None), ("class", "A", None), ("protocol", "P", None), ("extension", "A", None), ("property", "x", "A"), ("method", "run", "A")], [("IMPORTS", "Foundation/Foundation.h"), ("CALLS", "f")]),
+    "sql": ("-- users\nCREATE TABLE users (id int);\nCREATE VIEW v AS SELECT 1;\nCREATE FUNCTION f() RETURNS int AS $$ select 1; $$;\nSELECT * FROM users;\nINSERT INTO users VALUES (1);\n", [("struct", "CREATE TABLE users", None), ("type", "CREATE VIEW v", None), ("function", "CREATE FUNCTION f", None), ("file", "SELECT", None), ("file", "INSERT", None)], []),
+    "markdown": ("lost\n# Guide\ntext\n## Install\na\n### Config\nb\n## Usage\nc\n", [("section", "Guide", None), ("section", "Install", None), ("section", "Config", None), ("section", "Usage", None)], []),
+    "css": (".a { x: 1 }\n.b { y: 2 }\n@media print { .c { z: 3 } }\n.d {}\n", [("file", ".a", None), ("file", ".b", None), ("file", "@media print", None), ("file", ".d", None)], []),
+    "scss": ("@mixin m($x) { a: 1 }\n$primary-color-long: #ff00ff00ff00;\n@media screen { .a { b: 1 } }\n.a {}\n.b {}\n.c {}\n.d {}\n", [("function", "m", None), ("const", "$primary-color-long", None), ("section", "@media screen", None), ("section", ".a", None)], []),
+    "vue": ('<template>\n  <p/>\n</template>\n<script setup lang="ts">\nimport x from "./x";\nfunction go() { return x(); }\n</script>\n<style>\n.a {}\n</style>\n', [("section", "template", None), ("function", "go", None), ("section", "style", None), ("import", None, None)], [("IMPORTS", "./x"), ("CALLS", "x")]),
+    "svelte": ("<script>\n  function go() { return f(); }\n</script>\n<h1>Hi</h1>\n<style>\n h1 {}\n</style>\n", [("section", "template", None), ("function", "go", None), ("section", "style", None)], [("CALLS", "f")]),
+    "json": ("{\n" + ",\n".join(f'  "key{i}": {i}' for i in range(20)) + "\n}", [("file", "key0", None), ("file", "key19", None)], []),
+    "yaml": ("a: 1\nb:\n  c: 2\nd: 3\n---\ne: 4\n", [("file", "a", None), ("file", "b", None), ("file", "---", None), ("file", "e", None)], []),
+    "toml": ("x = 1\n[a]\ny = 1\n[[b]]\n[c]\n[d.e]\n", [("file", "a", None), ("file", "b", None), ("file", "d.e", None)], []),
+    "xml": ("<r>\n<a/>\n<b>\n</b>\n<c/>\n<d/>\n</r>", [("file", "a", None), ("file", "b", None), ("file", "d", None)], []),
+    "html": ("<h1>a</h1>\n<p>b</p>\n<div>\n<p>c</p>\n</div>\n<hr>\n", [("file", "h1", None), ("file", "div", None), ("file", "hr", None)], []),
+}
