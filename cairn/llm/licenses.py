@@ -107,7 +107,7 @@ class Model:
         for w in lines:
             g = grams(w)
             starts.append(len(at))
-            at.extend(filter(None.__ne__, map(self.index.get, g)))
+            at.extend([i for i in map(self.index.get, g) if i is not None])
             scale.append(max(1, len(g)) ** -0.5)
         # A row of zeros closes every run, so that runs without known n-grams sum to 0.
         flat = np.concatenate((self.weights, np.zeros((1, len(FAMILIES)), self.weights.dtype)))
@@ -236,7 +236,7 @@ def train_on(docs: DataFrame, max_texts: int = MAX_TEXTS, id_col: str = "doc_id"
 
 
 def scan_licenses(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, paragraph, family, probability, similarity) of each confirmed paragraph."""
+    """(id, paragraph, family, probability, similarity) of each confirmed paragraph, both figures rounded to 6 places."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -251,7 +251,7 @@ def scan_licenses(docs: DataFrame, model: Model, id_col: str = "doc_id", text_co
                         first.setdefault(o, k)
                     for k, family, p, s in _confirmed(m, lines, m.probabilities(lines)):
                         ids.append(own[owner[k]])
-                        rows.append((k - first[owner[k]], family, p, s))
+                        rows.append((k - first[owner[k]], family, round(p, 6), round(s, 6)))
                 lines.clear()
                 owner.clear()
 

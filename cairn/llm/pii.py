@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache
+from ipaddress import IPv6Address
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -59,7 +60,7 @@ CLOUD = re.compile(r"(?<![A-Za-z0-9])(AKIA|ASIA|ghp_|gho_|sk-|xox[bpa]-)([A-Za-z
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 SSN = re.compile(_BEFORE + r"(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}" + _AFTER)
 IPV4 = re.compile(_BEFORE + r"(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w@-]|\.\d)")
-IPV6 = re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:){2,7}(?::?[0-9A-Fa-f]{1,4}){1,6}(?![\w:])")
+IPV6 = re.compile(r"(?<![\w:.])[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){3,7}(?![\w:])")
 CARD = re.compile(_BEFORE + r"\d(?:[ -]?\d){11,18}" + _AFTER)
 PHONE = re.compile(r"(?<![\w.+-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,5}){1,4}(?![\w@-]|\.\d)")
 BARE_PHONE = re.compile(r"(?<![\w.+-])\+\d{8,15}(?![\w@-]|\.\d)")
@@ -185,6 +186,13 @@ def ipv6(key: bytes, text: str) -> str:
     return permute(key, "ipv6", text, ["0123456789abcdef" if c.isalnum() else None for c in text])
 
 
+def _is_ipv6(text: str) -> bool:
+    try:
+        return IPv6Address(text).packed[:2] != b"\0\0"
+    except ValueError:
+        return False
+
+
 MAKERS = {"email": email, "phone": phone, "ipv4": ipv4, "ipv6": ipv6, "card": card, "iban": iban, "ssn": ssn, "secret": secret, "cloud": cloud}
 
 
@@ -214,7 +222,7 @@ def detect(text: str) -> list[tuple[int, int, str]]:
         add("ssn", SSN)
         add("ipv4", IPV4)
         if ":" in text:
-            add("ipv6", IPV6, ok=lambda x: x.count(":") == 7 or "::" in x)
+            add("ipv6", IPV6, ok=_is_ipv6)
         add("phone", BARE_PHONE)
         add("phone", PHONE, ok=lambda x: x[0] in "+(" and 8 <= sum(map(str.isdigit, x)) <= 15 or re.fullmatch(r"\d{3}[ .-]\d{3}[ .-]\d{4}", x) is not None)
         add("card", CARD, ok=lambda x: len(set(re.sub(r"\D", "", x))) > 1)
