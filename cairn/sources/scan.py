@@ -33,7 +33,7 @@ def scan(spark: SparkSession, root: str, include: list[str] | None = None, exclu
         files = files.where(F.col("file_path").rlike(ignore.any_of(include)))
     if patterns:
         files = files.where(~F.col("file_path").rlike(ignore.any_of(patterns)))
-    return files.select("file_path", F.sha1("content").alias("sha1"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), language_of("file_path").alias("language"), F.decode("content", F.lit("UTF-8")).alias("text"))
+    return files.select("file_path", F.sha1("content").alias("sha1"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), language_of("file_path").alias("language"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
 
 
 def manifest(files: DataFrame) -> DataFrame:

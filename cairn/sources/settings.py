@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import tomllib
 from typing import Any
 
@@ -24,31 +25,15 @@ def find_settings(folder: str) -> dict[str, Any]:
         folder = up
 
 
+_STRING = r'"(?:\\.|[^"\\])*"'
+_COMMENT = re.compile(_STRING + r"|//[^\n]*|/\*.*?(?:\*/|\Z)", re.S)
+_TRAILING = re.compile(_STRING + r"|,(?=\s*[\]}])", re.S)
+
+
 def strip_comments(text: str) -> str:
-    """JSON without comments and trailing commas; what looks like a comment inside a string stays."""
-    out, i, n = [], 0, len(text)
-    while i < n:
-        c = text[i]
-        if c == '"':
-            j = i + 1
-            while j < n and text[j] != '"':
-                j += 2 if text[j] == "\\" else 1
-            out.append(text[i : j + 1])
-            i = j + 1
-        elif text.startswith("//", i):
-            i = n if (j := text.find("\n", i)) < 0 else j
-        elif text.startswith("/*", i):
-            i = n if (j := text.find("*/", i)) < 0 else j + 2
-        elif c == ",":
-            j = i + 1
-            while j < n and text[j].isspace():
-                j += 1
-            out.append("" if j < n and text[j] in "]}" else c)
-            i += 1
-        else:
-            out.append(c)
-            i += 1
-    return "".join(out)
+    """JSON without comments and trailing commas; what looks like one inside a string stays."""
+    keep = lambda m: m[0] if m[0][0] == '"' else ""
+    return _TRAILING.sub(keep, _COMMENT.sub(keep, text))
 
 
 def path_aliases(root: str, name: str = "tsconfig.json") -> list[tuple[str, list[str]]]:
