@@ -52,7 +52,7 @@ def neighbourhood(edges: DataFrame, center: str, depth: int = 1, limit: int | No
     both = pool.withColumn("near", F.col("source_chunk_id")).withColumn("neighbour", F.col("target_chunk_id")).withColumn("direction", F.lit("outgoing")).unionByName(
         pool.withColumn("near", F.col("target_chunk_id")).withColumn("neighbour", F.col("source_chunk_id")).withColumn("direction", F.lit("incoming"))
     )
-    frontier = spark.createDataFrame([(center, 0)], "near string, place long")
+    frontier = spark.createDataFrame([(center, "")], "near string, place string")
     seen = frontier.select(F.col("near").alias("neighbour"))
     found: DataFrame | None = None
     for hop in range(1, depth + 1):
@@ -63,9 +63,11 @@ def neighbourhood(edges: DataFrame, center: str, depth: int = 1, limit: int | No
         found = step if found is None else found.unionByName(step)
         if hop == depth:
             break
-        # The next frontier, in order of first mention; numbered by one task, as the order is over all of it.
-        first = step.groupBy("neighbour").agg(F.min(F.struct("place", F.when(F.col("direction") == "outgoing", 0).otherwise(1).alias("d"), "id")).alias("first"))
-        frontier = first.select(F.col("neighbour").alias("near"), F.dense_rank().over(Window.orderBy("first")).cast("long").alias("place"))
+        # The next frontier, in order of first mention.  A place is the path of edges that led there, which sorts in
+        # that order (the mark between its parts sorts before all else), so nothing has to be numbered.
+        path = F.concat("place", F.lit("\x01"), F.when(F.col("direction") == "outgoing", "0").otherwise("1"), "id")
+        first = step.groupBy("neighbour").agg(F.min(path).alias("place"))
+        frontier = first.select(F.col("neighbour").alias("near"), "place")
         seen = seen.unionAll(first.select("neighbour"))
     order = [F.col("hop"), F.col("place"), F.desc("direction"), F.col("id"), F.col("neighbour")]  # "outgoing" sorts after "incoming"
     out = ["hop", "direction", "neighbour", *edges.columns]

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import SYMBOL_TYPES
+from .shared import cut
 
 
 def count_by(df: DataFrame, column: str) -> DataFrame:
@@ -64,10 +65,22 @@ def recall_at(ranked_hits: DataFrame, ks: tuple[int, ...] = (1, 5, 10)) -> DataF
 
 
 def percentiles(values: DataFrame, column: str, points: tuple[int, ...] = (50, 95, 99)) -> DataFrame:
-    """(p, value): the entry at place floor(p / 100 * n) of the sorted values."""
-    from pyspark.sql import Window
-
-    numbered = values.select(column, (F.row_number().over(Window.orderBy(column)) - 1).alias("_i")).crossJoin(F.broadcast(values.agg(F.count("*").alias("_n"))))
-    wanted = values.sparkSession.createDataFrame([(p,) for p in points], "p int")
-    at = F.least(F.floor(F.col("p") / 100 * F.col("_n")), F.col("_n") - 1)
-    return numbered.join(F.broadcast(wanted), F.col("_i") == at).select("p", F.col(column).alias("value"))
+    """(p, value): the entry at place floor(p / 100 * n) of the sorted values.
+
+    Values are sorted by ranges and numbered within them; the ranges' counts tell where each place lies.
+    """
+    spark, kind = values.sparkSession, dict(values.dtypes)[column]
+    sorted_ = values.select(column).where(F.col(column).isNotNull()).repartitionByRange(column).sortWithinPartitions(column)
+    numbered = cut(sorted_.select(column, F.monotonically_increasing_id().alias("_at")), "percentiles")
+    counts = numbered.groupBy(F.shiftright("_at", 33).alias("r")).count().orderBy("r").collect()  # a number for each range
+    n = sum(c for _, c in counts)
+    wanted = []
+    for p in points if n else ():
+        left = min(p * n // 100, n - 1)
+        for r, c in counts:
+            if left < c:
+                wanted.append((p, (r << 33) + left))
+                break
+            left -= c
+    at = spark.createDataFrame(wanted, "p int, _at long")
+    return numbered.join(F.broadcast(at), "_at").select("p", F.col(column).cast(kind).alias("value"))

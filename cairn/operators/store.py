@@ -2,7 +2,7 @@
 
 Every table is split into buckets by a hash of its file path.  A snapshot is a list of bucket folders: a
 commit writes the touched buckets anew, names the others again, and then replaces the pointer to the current list in
-one rename.  Readers of an older list keep their files until ``compact``.  Changing a few files of a
+one rename.  ``buckets`` is chosen for the project's size when its index is made.  Readers of an older list keep their files until ``compact``.  Changing a few files of a
 large project thus costs as much as the buckets they lie in.
 """
 
@@ -76,8 +76,8 @@ class Snapshots:
             column = _PATH.get(name, "file_path")
             folder = f"{name}/{uuid.uuid4().hex}"
             rows = df.withColumn("_bucket", self.bucket(column))
-            # One writer for each bucket: as many files as buckets, whatever the input's partitions.
-            rows.repartition("_bucket").sortWithinPartitions("_bucket", column).write.partitionBy("_bucket").parquet(f"{self.prefix}{self.root}/{folder}")
+            # Small buckets share a task and large ones are split, by their measured sizes.
+            rows.hint("rebalance", "_bucket").sortWithinPartitions("_bucket", column).write.partitionBy("_bucket").parquet(f"{self.prefix}{self.root}/{folder}")
             listed = {} if touched is None else {b: f for b, f in current.get(name, {}).items() if int(b) not in touched}
             for info in self.system.get_file_info(fs.FileSelector(f"{self.root}/{folder}")):
                 if info.base_name.startswith("_bucket="):

@@ -17,6 +17,7 @@ from ..functions.ids import project_id
 from ..operators import diff, graph, report, resolve
 from ..operators.filters import one_per
 from ..operators.search import Searcher
+from ..operators.shared import cut
 from ..operators.store import IndexStore, Snapshots
 from ..sources import scan, settings
 from ..streaming.lock import IndexLock
@@ -97,25 +98,26 @@ class Indexer:
             return {"project_id": self.project, "total_chunks": 0, "total_files": 0, "total_edges": 0}
         files = self._scan()
         changes = diff.manifest_diff(scan.manifest(files), store.snapshots.table("files")).where("status <> 'unchanged'")
-        touched = {r["file_path"]: r["status"] for r in changes.collect()}  # a path and a word for each changed file
-        if touched:
-            self._apply(files, touched)
+        changes = cut(changes, "changes")
+        if not changes.isEmpty():
+            self._apply(files, changes)
             self._resolve()
             store.optimize()
         return self.stats()
 
-    def _apply(self, files: DataFrame, touched: dict[str, str]) -> list[dict]:
+    def _apply(self, files: DataFrame, changes: DataFrame) -> DataFrame:
+        """Replaces what changed, and gives the events: one row for each changed file."""
         store = self._opened()
-        changed = self.spark.createDataFrame(list(touched.items()), "file_path string, status string")
-        again = files.join(F.broadcast(changed.where("status <> 'removed'").select("file_path")), "file_path", "left_semi")
+        again = files.join(changes.where("status <> 'removed'").select("file_path"), "file_path", "left_semi")
         tables = self._tables(again)
-        store.snapshots.replace_files(changed, {**tables, "files": scan.manifest(again)})
-        errors = dict(self._errors.collect())
-        counts = dict(store.chunks.join(changed, "file_path", "left_semi").groupBy("file_path").count().collect())
-        events = [{"type": "error", "file_path": p, "error": errors[p]} if p in errors else {"type": "removed", "file_path": p} if s == "removed" else {"type": "indexed", "file_path": p, "reason": s, "chunks_affected": counts.get(p, 0)} for p, s in sorted(touched.items())]
-        for e in events:
-            if self.on_event:
-                self.on_event(e)
+        store.snapshots.replace_files(changes, {**tables, "files": scan.manifest(again)})
+        counts = store.chunks.join(changes.select("file_path"), "file_path", "left_semi").groupBy("file_path").agg(F.count("*").cast("int").alias("chunks_affected"))
+        kind = F.when(F.col("error").isNotNull(), "error").when(F.col("status") == "removed", "removed").otherwise("indexed")
+        told = changes.join(self._errors, "file_path", "left").join(counts, "file_path", "left")
+        events = told.select(kind.alias("type"), "file_path", F.when(kind == "indexed", F.col("status")).alias("reason"), F.when(kind == "indexed", F.coalesce("chunks_affected", F.lit(0))).alias("chunks_affected"), "error")
+        if self.on_event:
+            for e in events.orderBy("file_path").toLocalIterator():
+                self.on_event({k: v for k, v in e.asDict().items() if v is not None})
         return events
 
     def index_files(self, changed: list[str], removed: list[str] = ()) -> list[dict]:
@@ -124,13 +126,13 @@ class Indexer:
         if not self.is_leader or not (changed or removed):
             return []
         files = self._scan().where(F.col("file_path").isin(list(changed)))
-        status = diff.manifest_diff(scan.manifest(files), store.snapshots.table("files").where(F.col("file_path").isin([*changed, *removed])))
-        touched = {r["file_path"]: r["status"] for r in status.where("status <> 'unchanged'").collect() if r["status"] != "removed" or r["file_path"] in set(removed) | set(changed)}
-        if not touched:
+        known = store.snapshots.table("files").where(F.col("file_path").isin([*changed, *removed]))
+        changes = cut(diff.manifest_diff(scan.manifest(files), known).where("status <> 'unchanged'"), "changes")
+        if changes.isEmpty():
             return []
-        events = self._apply(files, touched)
+        events = self._apply(files, changes)
         self._resolve()
-        return events
+        return [{k: v for k, v in e.asDict().items() if v is not None} for e in events.orderBy("file_path").collect()]
 
     def index_file(self, path: str) -> list[dict]:
         return self.index_files([path])

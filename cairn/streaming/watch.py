@@ -86,7 +86,7 @@ def apply_changes(indexer, batch: DataFrame, on_event: Callable[[dict], None] |
     changed = [r["path"] for r in last if r["event"] != "unlink"]
     removed = [r["path"] for r in last if r["event"] == "unlink"]
     for event in indexer.index_files(changed, removed):
-        if on_event:
+        if on_event and on_event is not indexer.on_event:
             on_event(event)
 
 
