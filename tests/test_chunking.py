@@ -96,3 +96,16 @@ def test_small_neighbours_merge():
 
 def test_language_detection():
     assert [detect(p) for p in ("a.tsx", "b/c.PY", "x.mm", "y.m", "Makefile", "z.unknown", ".gitignore")] == ["typescript", "python", "objc", "matlab", None, None, None]
+
+
+def test_kinds(spark):
+    from cairn.chunking.kinds import chunk_type, chunk_type_of, imported_module, sections_from_outline
+
+    want = {"Function_Declaration": "function", "impl": "class", "mod_item": "module", "type_item": "typealias", "alias_declaration": "typealias", "enum_class_declaration": "enum", "static_item": "const", "type_definition": "type", "module_type_definition": "module_type", "category_interface": "extension", "let": "variable", "import_statement": "import", "whatever": "file", "preproc_def": "macro"}
+    assert {k: chunk_type(k) for k in want} == want
+    df = spark.createDataFrame([(k,) for k in want], "k string").select("k", chunk_type_of("k").alias("t"))
+    assert {r["k"]: r["t"] for r in df.collect()} == want
+    assert [imported_module(s) for s in ("from a.b import c", "import static x.Y;", "use std::io;", "nothing")] == ["a.b", "x.Y", "std::io", None]
+    chunks, edges = sections_from_outline("import a\nclass K\n m\nend", [("class", "K", 1, 3, [("method", "m", 2, 2)])], [(0, 0, "import a")])
+    assert [(c.type, c.name, c.start, c.end) for c in chunks] == [("import", None, 1, 1), ("class", "K", 2, 4), ("method", "m", 3, 3)] and edges[0].symbol == "a"
+    assert [c.type for c in sections_from_outline("x", [])[0]] == ["file"]
