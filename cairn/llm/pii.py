@@ -8,7 +8,7 @@ name, and later mentions of these words in the same text.
 A surrogate is the successor of the entity in a keyed cycle through all strings of its format
 (``permute``): digits stay digits, vowels vowels of their script, upper case stays.  Check digits
 (cards, IBANs) are made anew; given names go to given names of the same gender and script; private
-addresses stay private.  Collisions are ruled out rather than repaired: the cycle passes over what
+addresses stay private, loopback, multicast and reserved ones what they are.  Collisions are ruled out rather than repaired: the cycle passes over what
 another rule could produce (a surname never becomes a listed given name), so the mapping is one to
 one over the whole corpus without any exchange between tasks, the same entity is the same everywhere,
 and no entity maps to itself unless its format admits only one string.  Every text is checked once more:
@@ -106,14 +106,14 @@ def ipv4(key: bytes, text: str) -> str:
     octets = [int(x) for x in text.split(".")]
 
     def kind(o: list[int]) -> str:
-        if o[0] in (0, 127) or o[0] >= 224:
-            return "special"
+        if o[0] in (0, 127):
+            return str(o[0])
+        if o[0] >= 224:
+            return "multicast" if o[0] < 240 else "reserved"
         return "10" if o[0] == 10 else "172" if o[0] == 172 and 16 <= o[1] < 32 else "192" if o[:2] == [192, 168] else "link" if o[:2] == [169, 254] else "public"
 
     own = kind(octets)
-    if own == "special":
-        return text
-    fixed = {"10": 1, "192": 2, "172": 1, "link": 2}.get(own, 0)
+    fixed = {"0": 1, "127": 1, "10": 1, "192": 2, "172": 1, "link": 2}.get(own, 0)
     ring = cycle(key, "ipv4|" + own, 256 ** (4 - fixed))
     x = int.from_bytes(bytes(octets[fixed:]))
     while True:

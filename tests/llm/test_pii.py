@@ -1,3 +1,4 @@
+import random
 import re
 
 from hypothesis import given, settings
@@ -34,6 +35,19 @@ def test_surrogates_keep_type_and_format():
     assert P.OF_GIVEN[P.word(KEY, "иван")] == ("m", "cyrillic")
 
 
+def test_no_address_stays():
+    kept = {"0": range(0, 1), "127": range(127, 128), "multicast": range(224, 240), "reserved": range(240, 256)}
+    rng = random.Random(1)
+    for firsts in kept.values():
+        old = {f"{rng.choice(firsts)}.{rng.randrange(256)}.{rng.randrange(256)}.{rng.randrange(256)}" for _ in range(400)} | {f"{firsts[0]}.0.0.0", f"{firsts[0]}.0.0.1", f"{firsts[-1]}.255.255.255"}
+        new = {x: P.ipv4(KEY, x) for x in old}
+        assert all(a != b and int(b.split(".")[0]) in firsts for a, b in new.items()) and len(set(new.values())) == len(old)
+    text = "from 233.254.104.120 and 248.40.198.62 to 235.58.234.215, then 233.254.104.120"
+    out, n, bad = P.replace(KEY, text)
+    found = P.IPV4.findall(out)
+    assert n == len(found) == 4 and not bad and found[0] == found[3] and not set(found) & set(P.IPV4.findall(text))
+
+
 def test_coreference_and_distinctness():
     out = P.replace(KEY, "Mary Johnson wrote. JOHNSON agreed; mary.johnson@mail.org is hers.")[0]
     m = re.match(r"(\w+) (\w+) wrote\. (\w+) agreed; (\w+)\.(\w+)@", out)
