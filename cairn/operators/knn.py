@@ -148,3 +148,38 @@ def probe(assigned: DataFrame, centres: np.ndarray, query: list[float], k: int,
     d = ((centres - np.asarray(query)) ** 2).sum(axis=1)
     cells = np.argsort(d, kind="stable")[:probes].tolist()
     return nearest(assigned.where(F.col("cell").isin(*cells)), query, k, id_col, vector_col)
+
+
+def cell_radii(assigned: DataFrame, centres: np.ndarray, vector_col: str = "embedding") -> np.ndarray:
+    """The distance of each cell's farthest vector from its centre, -1 of an empty cell."""
+    shared = assigned.sparkSession.sparkContext.broadcast(centres)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        far = np.full(len(shared.value), -1.0)
+        for b in batches:
+            m, at = matrix(b.column(0), shared.value.shape[1])
+            own = b.column(1).to_numpy()[at]
+            np.maximum.at(far, own, np.sqrt(((m - shared.value[own]) ** 2).sum(axis=1)))
+        held = np.flatnonzero(far >= 0)
+        yield pa.record_batch([pa.array(held.astype(np.int32)), pa.array(far[held])], ["cell", "radius"])
+
+    far = np.full(len(centres), -1.0)
+    for r in assigned.select(vector_col, "cell").mapInArrow(run, "cell int, radius double").groupBy("cell").agg(F.max("radius").alias("radius")).collect():  # a row for each cell
+        far[r["cell"]] = r["radius"]
+    return far
+
+
+def nearest_in_cells(assigned: DataFrame, centres: np.ndarray, radii: np.ndarray, query: list[float], k: int, probes: int = 8, id_col: str = "chunk_id", vector_col: str = "embedding") -> DataFrame:
+    """``nearest``, exactly, opening only cells that may hold one of the k.
+
+    ``probes`` cells give a k-th distance; a cell is passed over if its centre is farther than that by more
+    than its radius.  Where the cells overlap too much for that, all are read.
+    """
+    first = [r["dist"] for r in probe(assigned, centres, query, k, probes, id_col, vector_col).collect()]
+    limit = max(first) if len(first) == k else np.inf
+    d = np.sqrt(((centres - np.asarray(query)) ** 2).sum(axis=1))
+    cells = np.flatnonzero((radii >= 0) & (d - radii <= limit + 1e-9 * (1 + d + radii)))
+    if len(cells) < np.count_nonzero(radii >= 0):
+        held = assigned.sparkSession.createDataFrame(pa.table({"cell": pa.array(cells.astype(np.int32))}))
+        assigned = assigned.join(F.broadcast(held), "cell", "left_semi")
+    return nearest(assigned, query, k, id_col, vector_col)

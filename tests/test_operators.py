@@ -78,6 +78,37 @@ def test_inverted_file_recall(spark):
     assert hits >= 90
 
 
+def test_registered_inverted_file_is_exact(spark, tmp_path, monkeypatch):
+    from cairn.plans import catalogue
+
+    df, m = vectors(spark, 2000, 64)
+    df = df.select(F.col("id").alias("vec_id"), F.col("v").alias("embedding")).cache()
+    df.write.parquet(str(tmp_path / "embeddings.parquet"))
+    for q in (0, 7, 400, 999, 1500, 1999):
+        monkeypatch.setattr(catalogue, "_probe_vector", lambda *_: m[q].tolist())
+        got = ids(catalogue.QUERIES["knn_inverted_file"](spark, str(tmp_path)), column="vec_id")
+        assert got == np.lexsort((np.arange(len(m)), ((m - m[q]) ** 2).sum(1)))[:10].tolist()
+
+
+def test_cells_out_of_reach_are_not_read(spark):
+    rng = np.random.default_rng(3)
+    middles = rng.normal(size=(12, 6)) * 50
+    m = (middles[np.arange(1200) % 12] + rng.normal(size=(1200, 6))).astype(np.float32).astype(float)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(m.tolist())], "id long, v array<float>")
+    centres = knn.fit_cells(df, 12, "v")
+    assigned = knn.assign_cells(df, centres, "id", "v").cache()
+    radii = knn.cell_radii(assigned, centres, "v")
+    read = []
+    real = knn.nearest
+    for q in (0, 5, 11):
+        try:
+            knn.nearest = lambda d, *a: (read.append(d.count()), real(d, *a))[1]
+            got = ids(knn.nearest_in_cells(assigned, centres, radii, m[q].tolist(), 10, 1, "id", "v"))
+        finally:
+            knn.nearest = real
+        assert got == np.lexsort((np.arange(len(m)), ((m - m[q]) ** 2).sum(1)))[:10].tolist() and read[-1] < 600
+
+
 def test_vector_expressions(spark):
     df = spark.createDataFrame([([3.0, 4.0], [0.0, 0.0])], "a array<float>, b array<float>")
     row = df.select(V.l2_distance("a", "b"), V.l2_normalise("a"), V.l2_normalise("b")).first()
