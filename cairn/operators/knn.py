@@ -83,10 +83,19 @@ def nearest_each(queries: DataFrame, vectors: DataFrame, k: int, id_col: str, ve
                 q, v = np.frombuffer(qv).reshape(len(qi), -1), np.frombuffer(vv).reshape(len(vi), -1)
                 if q.shape[1] != v.shape[1]:
                     continue
-                d2 = np.maximum((q * q).sum(1)[:, None] + (v * v).sum(1) - 2 * q @ v.T, 0)
+                qq, vv = (q * q).sum(1), (v * v).sum(1)
+                d2 = np.maximum(qq[:, None] + vv - 2 * q @ v.T, 0)
+                places: dict = {}
+                for j, name in enumerate(vi):
+                    places.setdefault(name, []).append(j)
                 out: tuple[list, list, list] = ([], [], [])
                 for i, name in enumerate(qi):
-                    near_by = np.argpartition(d2[i], min(k + 8, len(vi) - 1))[: k + 9]
+                    # What rounding may do to each product; all that may then be among the k nearest stays, ties with it.
+                    slack = 4 * (q.shape[1] + 4) * np.finfo(np.float64).eps * (qq[i] + vv)
+                    most = d2[i] + slack
+                    most[places.get(name, [])] = np.inf
+                    limit = np.partition(most, k - 1)[k - 1] if len(vi) > k else np.inf
+                    near_by = np.flatnonzero(~(d2[i] - slack > limit))
                     d = np.sqrt(((v[near_by] - q[i]) ** 2).sum(axis=1))
                     order = sorted((x, vi[j]) for x, j in zip(d.tolist(), near_by.tolist()) if vi[j] != name)[:k]
                     out[0].extend([name] * len(order))

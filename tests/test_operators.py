@@ -67,6 +67,14 @@ def test_neighbours_of_all(spark):
     assert got == {i: np.argsort(d[i], kind="stable")[:4].tolist() for i in range(len(m))}
 
 
+def test_ties_and_repeated_ids_of_all(spark):
+    ties = spark.createDataFrame([(i, [1.0, 0.0]) for i in random.Random(2).sample(range(50), 50)], "id long, v array<float>")
+    found = knn.nearest_each(ties, ties, 5, "id", "v").orderBy("query", "rank").collect()
+    assert [r["id"] for r in found] == [j for i in range(50) for j in [x for x in range(6) if x != i][:5]]
+    again = spark.createDataFrame([(7, [0.0, 0.0])] * 40 + [(i, [float(i), 0.0]) for i in range(10, 60)], "id long, v array<float>")
+    assert ids(knn.nearest_each(again.where("id = 7").limit(1), again, 5, "id", "v")) == [10, 11, 12, 13, 14]
+
+
 def test_inverted_file_recall(spark):
     df, m = vectors(spark, 2000, 8)
     cells = knn.fit_cells(df, 16, "v")
