@@ -6,9 +6,9 @@ horizontal and the floating-point predictor, joins tiles and separate planes, an
 for each page.  Samples come out row by row, all samples of a pixel together, in little-endian byte
 order (bits below 8: packed as stored, rows padded to whole bytes).
 
-Defined results: a null value gives no rows; an empty or damaged one gives one row with ``page`` 0 (or
-the number of the page that failed, after those before it) and the reason in ``error``.  A directory that
-was seen before ends the chain.  Pages are decoded one at a time, whatever their size.
+Defined results: a null value gives no rows; an empty one or one without a readable directory gives one
+row with ``page`` 0 and the reason in ``error``.  A page that can't be decoded has such a row under its own number, and
+the pages after it follow; only a chain that can't be walked on ends with one.  A directory that was seen before ends the chain.  Pages are decoded one at a time, whatever their size.
 """
 
 from __future__ import annotations
@@ -125,7 +125,8 @@ class Reader:
         except struct.error:
             raise Damaged("directory past the end") from None
 
-    def directories(self) -> Iterator[dict[int, tuple]]:
+    def directories(self) -> Iterator[dict[int, tuple] | Damaged]:
+        """Each page's tags, or what is wrong with them where the chain itself goes on."""
         at, seen = self.first, set()
         count, entry, word = ("Q", 20, "Q") if self.big else ("H", 12, "I")
         while at and at not in seen:
@@ -134,7 +135,11 @@ class Reader:
             at += 8 if self.big else 2
             if at + n * entry > len(self.data):
                 raise Damaged("directory past the end")
-            yield dict(self.entry(at + i * entry) for i in range(n))
+            try:
+                tags = dict(self.entry(at + i * entry) for i in range(n))
+            except Damaged as e:
+                tags = e
+            yield tags
             at = self.number(word, at + n * entry)
 
     def entry(self, at: int) -> tuple[int, tuple]:
@@ -248,7 +253,11 @@ def decode(data: bytes) -> Iterator[dict]:
     try:
         reader = Reader(data)
         for tags in reader.directories():
-            yield {"page": page} | _page(reader, tags)
+            try:
+                row = _page(reader, tags) if isinstance(tags, dict) else blank | {"error": str(tags)}
+            except (Damaged, MemoryError, OverflowError) as e:
+                row = blank | {"error": str(e) or "too large"}
+            yield row | {"page": page}
             page += 1
         if not page:
             raise Damaged("no directory")

@@ -47,6 +47,25 @@ def test_damage_is_reported():
         list(T.decode(good[:k] + bytes([good[k] ^ 255]) + good[k + 1 :]))
 
 
+def test_pages_after_a_damaged_one_are_read(monkeypatch):
+    a, b, c = (image(9, 8, 1, "u1", k) for k in range(3))
+    monkeypatch.setitem(T.ENCODERS, 7, bytes)  # no decoder knows it
+    for first, reason in (({"compression": 7}, "compression 7"), ({"compression": 8}, "deflate")):
+        data = bytearray(T.encode([{"pixels": x, "block": (9,), **(first if k == 1 else {"compression": 5})} for k, x in enumerate((a, b, c))]))
+        if reason == "deflate":
+            at = bytes(data).index(T.zlib.compress(b.tobytes()))
+            data[at : at + 2] = b"\xff\xff"
+        rows = list(T.decode(bytes(data)))
+        assert [r["page"] for r in rows] == [0, 1, 2] and reason in rows[1]["error"] and rows[1]["pixels"] is None
+        assert rows[0]["pixels"] == a.tobytes() and rows[2]["pixels"] == c.tobytes() and rows[0]["error"] is rows[2]["error"] is None
+    data = bytearray(T.encode([{"pixels": x, "block": (9,)} for x in (a, b)]))
+    reader = T.Reader(bytes(data))
+    entry = reader.first + 2
+    data[entry + 4 : entry + 8] = b"\xff\xff\xff\x0f"  # a tag that points past the end, in a chain that goes on
+    rows = list(T.decode(bytes(data)))
+    assert [r["page"] for r in rows] == [0, 1] and "past the end" in rows[0]["error"] and rows[1]["pixels"] == b.tobytes()
+
+
 def test_directory_cycles_end():
     data = bytearray(T.encode([{"pixels": image(4, 4, 1, "u1"), "block": (4,)}]))
     data[-4:] = data[4:8]
