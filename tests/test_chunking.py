@@ -109,3 +109,22 @@ def test_kinds(spark):
     chunks, edges = sections_from_outline("import a\nclass K\n m\nend", [("class", "K", 1, 3, [("method", "m", 2, 2)])], [(0, 0, "import a")])
     assert [(c.type, c.name, c.start, c.end) for c in chunks] == [("import", None, 1, 1), ("class", "K", 2, 4), ("method", "m", 3, 3)] and edges[0].symbol == "a"
     assert [c.type for c in sections_from_outline("x", [])[0]] == ["file"]
+
+
+def test_all_documents_are_chunked(spark, tmp_path):
+    from hashlib import md5
+
+    from cairn.plans import catalogue
+
+    docs = {1: "plain\ntext", 2: "before\n# A\na\n## B\nb\n\n# C\nc", 3: None, 4: "", 5: "#no heading\n#### nor this", 6: "### only"}
+    spark.createDataFrame(list(docs.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = []
+    for i, text in docs.items():
+        lines = (text or "").split("\n")
+        at = [k for k, x in enumerate(lines) if any(x.startswith("#" * n + " ") for n in (1, 2, 3))]
+        for a, b in zip(at, [*at[1:], len(lines)]):
+            want.append((f"d{i}.md", "section", lines[a].lstrip("#").strip(), a + 1, b, md5("\n".join(lines[a:b]).strip().encode()).hexdigest()))
+        if not at:
+            want.append((f"d{i}.md", "file", f"d{i}.md", 1, len(lines), md5((text or "").encode()).hexdigest()))
+    got = catalogue.QUERIES["chunk_documents"](spark, str(tmp_path)).collect()
+    assert sorted((r["file_path"], r["type"], r["name"], r["start_line"], r["end_line"], r["content_md5"]) for r in got) == sorted(want)
