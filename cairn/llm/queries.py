@@ -75,7 +75,7 @@ def op9_warc_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.jaccard_join(table(spark, sf_dir, "documents"))
+    return jaccard.near_classes(table(spark, sf_dir, "documents"))
 
 
 _SPACE = r"[ \t\n\x0b\f\r]"
@@ -130,14 +130,15 @@ ORACLES = {
             FROM total LEFT JOIN (SELECT doc_id, n, t, NULL AS d FROM top UNION ALL SELECT doc_id, n, NULL, d FROM dup) USING (doc_id) LEFT JOIN lines USING (doc_id) GROUP BY doc_id)
         SELECT doc_id, {", ".join(f"round(r_{x}::DOUBLE, 6) AS {x}" for x in repetition.FIGURES)}, ({_OVER}) AS rejected FROM figures""",
     "op10_ngram_jaccard": r"""
-        WITH words AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
+        WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
         word AS (SELECT doc_id, len(w) AS n, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS w FROM words),
         ahead AS (SELECT doc_id, n, i, w, lead(w) OVER o AS w1, lead(w, 2) OVER o AS w2 FROM word WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
         gram AS (SELECT DISTINCT doc_id, concat_ws(' ', w, w1, w2) AS g FROM ahead WHERE w2 IS NOT NULL OR (n < 3 AND i = 1)),
         size AS (SELECT doc_id, count(*) AS n FROM gram GROUP BY doc_id),
-        common AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS c FROM gram a JOIN gram b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL)
-        SELECT doc_a, doc_b, round(c / (x.n + y.n - c), 6) AS jaccard
-        FROM common JOIN size x ON x.doc_id = doc_a JOIN size y ON y.doc_id = doc_b WHERE c / (x.n + y.n - c) >= 0.7""",
+        common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM gram a JOIN gram b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+        link AS (SELECT a, b FROM common JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b WHERE c / (x.n + y.n - c) >= 0.5),
+        reach AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a)
+        SELECT doc_id, least(doc_id, (SELECT min(b) FROM reach WHERE a = doc_id)) AS class_id, (SELECT count(*) FROM link WHERE a = doc_id) AS links FROM documents""",
 }
 
 _ALL = (
