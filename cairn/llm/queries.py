@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, jaccard, licenses, packing, pii, repetition, sentencepiece_bpe, tiff, toxicity, warc
-from .common import shared_dir, table
+from .common import map_arrow, shared_dir, table
 
 #: Where the tokenizer's model is read; the driver alone reads it.
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -37,10 +38,14 @@ def scanned(number: int, html: str, url: str) -> bytes:
     return tiff.encode([{"pixels": grid(html, 64), "order": "<>"[number // 16 % 2], "big": bool(number // 32 % 2), **coding}, {"pixels": grid(url, 16), **coding}])
 
 
+def _scan(batch: pa.RecordBatch) -> pa.RecordBatch:
+    images = [scanned(n or 0, html or "", url or "") for n, html, url in zip(*(c.to_pylist() for c in batch.columns))]
+    return pa.record_batch([batch.column(0), pa.array(images, pa.binary())], ["page_id", "image"])
+
+
 def op3_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """No table has images: every page is first scanned into one."""
-    make = F.udf(lambda n, html, url: bytearray(scanned(n or 0, html or "", url or "")), "binary")
-    media = table(spark, sf_dir, "pages").select("page_id", make("page_id", "html", "url").alias("image"))
+    media = map_arrow(table(spark, sf_dir, "pages").select("page_id", "html", "url"), _scan, "page_id long, image binary")
     pages = tiff.tiff_pages(media, "page_id", "image")
     return pages.select("page_id", "page", "width", "height", "samples", "bits", "compression", "predictor", "tiled", F.md5("pixels").alias("pixels_md5"), "error")
 

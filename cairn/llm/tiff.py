@@ -4,11 +4,13 @@
 reads strips or tiles without compression or with PackBits, LZW or deflate, undoes the
 horizontal and the floating-point predictor, joins tiles and separate planes, and gives one record
 for each page.  Samples come out row by row, all samples of a pixel together, in little-endian byte
-order (bits below 8: packed as stored, rows padded to whole bytes).
+order (bits below 8: packed from the highest bit on, rows padded to whole bytes); bytes in reverse bit order are turned.
 
 Defined results: a null value gives no rows; an empty one or one without a readable directory gives one
 row with ``page`` 0 and the reason in ``error``.  A page that can't be decoded has such a row under its own number, and
-the pages after it follow; only a chain that can't be walked on ends with one.  A directory that was seen before ends the chain.  Pages are decoded one at a time, whatever their size.
+the pages after it follow; only a chain that can't be walked on ends with one.  A directory that was seen before ends the
+chain.  Pages are decoded one at a time, whatever their size; a block that claims more pixels than its coding can expand to is
+damage.  Repeated rows are decoded each, null ids stay null, other columns are left out.
 """
 
 from __future__ import annotations
@@ -45,66 +47,101 @@ def unpack_bits(data: bytes) -> bytes:
     return b"".join(out)
 
 
-def unpack_lzw(data: bytes) -> bytes:
-    """Codes of 9 to 12 bits, high bits first (low bits first where the stream begins like the old variant)."""
+def _code_ends(early: int) -> tuple[np.ndarray, np.ndarray]:
+    """Widths and last bits of the codes that follow a clear code, as far as a table can fill up."""
+    # After the k-th code the table has 257 + k entries (the first one makes none).
+    widths = np.clip(np.ceil(np.log2(np.arange(257, 257 + 3840) + early + 1)).astype(np.int64), 9, 12)
+    widths[0] = 9
+    return widths, np.cumsum(widths)
+
+
+_ENDS = {early: _code_ends(early) for early in (0, 1)}
+_BASE = [bytes([i]) for i in range(256)] + [b"", b""]
+
+
+def _codes(data: bytes, at: int, early: int, most: int) -> np.ndarray:
+    """Up to ``most`` codes from bit ``at`` on, as if none of them cleared the table."""
+    widths, ends = _ENDS[early]
+    most = min(most, len(widths))
+    n = min(int(np.searchsorted(ends, len(data) * 8 - at, side="right")), most)
+    ends, widths = ends[:n] + at, widths[:n]
+    if n == len(_ENDS[early][0]) == most:  # a table that is never cleared goes on with 12 bits
+        more = at + int(_ENDS[early][1][-1]) + 12 * np.arange(1, (len(data) * 8 - at - int(_ENDS[early][1][-1])) // 12 + 1)
+        ends, widths = np.concatenate((ends, more)), np.concatenate((widths, np.full(len(more), 12)))
+    first = ends - widths
+    raw = np.frombuffer(data, np.uint8).astype(np.int64)
+    byte = first >> 3
+    if early:
+        window = raw[byte] << 16
+        window |= np.where(byte + 1 < len(raw), raw[np.minimum(byte + 1, len(raw) - 1)], 0) << 8
+        window |= np.where(byte + 2 < len(raw), raw[np.minimum(byte + 2, len(raw) - 1)], 0)
+        return window >> (24 - (first & 7) - widths) & ((1 << widths) - 1)
+    window = raw[byte] | np.where(byte + 1 < len(raw), raw[np.minimum(byte + 1, len(raw) - 1)], 0) << 8
+    window |= np.where(byte + 2 < len(raw), raw[np.minimum(byte + 2, len(raw) - 1)], 0) << 16
+    return window >> (first & 7) & ((1 << widths) - 1)
+
+
+def unpack_lzw(data: bytes, need: int | None = None) -> bytes:
+    """Codes of 9 to 12 bits, high bits first (low bits first where the stream begins like the old variant).
+
+    The widths of codes depend only on how many came since the table was cleared, so a stretch of codes
+    is cut out of the bits at once.  Decoding stops after ``need`` bytes.
+    """
     if not data:
         return b""
-    old = data[0] == 0 and len(data) > 1 and data[1] & 1
-    table = [bytes([i]) for i in range(256)] + [b"", b""]
-    base = list(table)
+    early = 0 if data[0] == 0 and len(data) > 1 and data[1] & 1 else 1
+    widths, ends = _ENDS[early]
     out: list[bytes] = []
-    add, push = table.append, out.append
-    early = 0 if old else 1
-    width, top, acc, have, prev = 9, 512 - early, 0, 0, None
-    for byte in data:
-        if old:
-            acc |= byte << have
-        else:
-            acc = acc << 8 | byte
-        have += 8
-        if have < width:
+    push = out.append
+    at, size, left = 0, 0, len(data) * 8
+    guess = 1 << 9  # codes looked at: enough for a small block, more when they don't do
+    while at + 9 <= left:
+        codes = _codes(data, at, early, guess)
+        special = np.flatnonzero((codes == 256) | (codes == 257))
+        n = int(special[0]) if len(special) else len(codes)
+        if not len(special) and guess < len(widths) and n == guess:
+            guess = len(widths)
             continue
-        have -= width
-        if old:
-            code = acc & ((1 << width) - 1)
-            acc >>= width
-        else:
-            code = acc >> have
-            acc &= (1 << have) - 1
-        if code < 256 or code > 257:
-            if prev is None:
-                if code > 257:
-                    raise Damaged("LZW code before its entry")
-                prev = table[code]
-                push(prev)
-                continue
-            if code < len(table):
-                entry = table[code]
-                add(prev + entry[:1])
-            elif code == len(table):
-                entry = prev + prev[:1]
-                add(entry)
-            else:
-                raise Damaged("LZW code before its entry")
-            push(entry)
-            prev = entry
-            if len(table) >= top and width < 12:
-                width += 1
-                top = (1 << width) - early
-        elif code == 256:
-            table = list(base)
+        run = codes[:n].tolist()
+        if run:
+            table = _BASE.copy()
             add = table.append
-            width, top, prev = 9, 512 - early, None
-        else:
+            if run[0] > 257:
+                raise Damaged("LZW code before its entry")
+            prev = table[run[0]]
+            push(prev)
+            try:
+                for code in run[1:]:
+                    if code < len(table):
+                        entry = table[code]
+                        add(prev + entry[:1])
+                    else:
+                        entry = prev + prev[:1]
+                        add(entry)
+                        if table[code] is not entry:
+                            raise IndexError
+                    push(entry)
+                    prev = entry
+            except IndexError:
+                raise Damaged("LZW code before its entry") from None
+        if n == len(codes) or codes[n] == 257:
             break
+        at += int(ends[n]) if n < len(ends) else int(ends[-1]) + 12 * (n + 1 - len(ends))
+        if need is not None:
+            size = sum(map(len, out))
+            if size >= need:
+                break
     return b"".join(out)
 
 
-def _inflate(data: bytes) -> bytes:
-    return zlib.decompressobj().decompress(data)
+def _inflate(data: bytes, need: int) -> bytes:
+    return zlib.decompressobj().decompress(data, need)
 
 
-CODECS = {1: bytes, 5: unpack_lzw, 8: _inflate, 32946: _inflate, 32773: unpack_bits}
+CODECS = {1: lambda data, need: data, 5: unpack_lzw, 8: _inflate, 32946: _inflate, 32773: lambda data, need: unpack_bits(data)}
+#: Bytes that a byte of a coding can become at most: an LZW code of 9 to 12 bits stands for 3839 bytes at most, a PackBits pair for 128.
+LARGEST = {1: 1, 5: 3413, 8: 1032, 32946: 1032, 32773: 64}
+MIRROR = bytes(int(f"{i:08b}"[::-1], 2) for i in range(256))
 
 
 class Reader:
@@ -221,29 +258,36 @@ def _page(r: Reader, tags: dict[int, tuple]) -> dict:
     if len(offsets) < across * down * planes or len(counts) < len(offsets):
         raise Damaged("missing blocks")
     stride = (width * per * bits + 7) // 8
-    wide = across * ((tw * per * bits + 7) // 8)
-    if wide * down * th * planes > max(1 << 20, 2048 * len(r.data)):
-        raise Damaged("more pixels than the file can hold")
-    image = np.zeros((planes, down * th, wide), np.uint8)
+    line = (tw * per * bits + 7) // 8
+    blocks = across * down
+    for at in range(blocks * planes):
+        rows = th if tiled else min(th, height - at % blocks // across * th)
+        if offsets[at] + counts[at] > len(r.data):
+            raise Damaged("block past the end")
+        if line * rows > LARGEST[compression] * counts[at]:
+            raise Damaged("block too short")
+    mirrored = one(266, 1) == 2
+    image = np.zeros((planes, down * th, across * line), np.uint8)
     for plane in range(planes):
         for k in range(across * down):
             at = plane * across * down + k
             y, x = divmod(k, across)
             rows = th if tiled else min(th, height - y * th)
-            if offsets[at] + counts[at] > len(r.data):
-                raise Damaged("block past the end")
+            block = r.data[offsets[at] : offsets[at] + counts[at]]
             try:
-                block = CODECS[compression](r.data[offsets[at] : offsets[at] + counts[at]])
+                block = CODECS[compression](block.translate(MIRROR) if mirrored else block, line * rows)
             except zlib.error as e:
                 raise Damaged(f"deflate: {e}") from None
-            need = ((tw * per * bits + 7) // 8) * rows
-            if len(block) < need:
+            if len(block) < line * rows:
                 raise Damaged("block too short")
             undone = _undo(block, rows, tw, per, bits, predictor, r.order)
             image[plane, y * th : y * th + rows, x * undone.shape[1] : (x + 1) * undone.shape[1]] = undone
     image = image[:, :height, :stride]
     if planes > 1 and bits >= 8:
         image = image.reshape(planes, height, width, bits // 8).transpose(1, 2, 0, 3)
+    elif planes > 1:
+        single = np.unpackbits(image, axis=2)[:, :, : width * bits].reshape(planes, height, width, bits)
+        image = np.packbits(single.transpose(1, 2, 0, 3).reshape(height, -1), axis=1)
     return {"width": width, "height": height, "samples": samples, "bits": bits, "compression": NAMES[compression], "predictor": predictor, "tiled": tiled, "pixels": np.ascontiguousarray(image).tobytes(), "error": None}
 
 
@@ -294,57 +338,53 @@ def tiff_pages(media: DataFrame, id_col: str, data_col: str) -> DataFrame:
 
 
 def pack_bits(data: bytes) -> bytes:
-    out, i, n = bytearray(), 0, len(data)
-    while i < n:
-        run = 1
-        while run < 128 and i + run < n and data[i + run] == data[i]:
-            run += 1
-        if run > 2:
-            out += bytes((257 - run, data[i]))
-            i += run
-            continue
-        j = i + run
-        while j < n and j - i < 128 and not (j + 2 < n and data[j] == data[j + 1] == data[j + 2]):
-            j += 1
-        j = min(j, i + 128)
-        out.append(j - i - 1)
-        out += data[i:j]
-        i = j
-    return bytes(out)
+    """Runs of three and more as such, what lies between them as it is."""
+    raw = np.frombuffer(data, np.uint8)
+    cuts = np.flatnonzero(np.diff(raw)) + 1
+    starts = np.concatenate(([0], cuts)) if len(raw) else np.zeros(0, np.int64)
+    lengths = np.diff(np.concatenate((starts, [len(raw)]))) if len(raw) else starts
+    out, at = [], 0
+
+    def literal(end: int) -> None:
+        for k in range(at, end, 128):
+            out.append(bytes((min(128, end - k) - 1,)) + data[k : min(end, k + 128)])
+
+    long = lengths > 2
+    for a, n in zip(starts[long].tolist(), lengths[long].tolist()):
+        literal(a)
+        at = a + n
+        for k in range(0, n, 128):
+            out.append(bytes((257 - min(128, n - k), data[a])) if n - k > 1 else bytes((0, data[a])))
+    literal(len(data))
+    return b"".join(out)
 
 
 def pack_lzw(data: bytes) -> bytes:
-    codes, widths = [256], [9]
-    base = {bytes([i]): i for i in range(256)}
-    table, size, width, w = dict(base), 258, 9, b""
-    for k in range(len(data)):
-        c = data[k : k + 1]
-        if (wc := w + c) in table:
-            w = wc
+    runs, codes, table, size = [], [], {}, 258
+    find, push = table.get, codes.append
+    prefix = data[0] if data else -1
+    for c in memoryview(data)[1:]:
+        key = prefix << 8 | c
+        if (code := find(key)) is not None:
+            prefix = code
             continue
-        codes.append(table[w])
-        widths.append(width)
-        table[wc] = size
-        size += 1
-        if size == (1 << width) and width < 12:
-            width += 1
-        if size >= 4094:
-            codes.append(256)
-            widths.append(width)
-            table, size, width = dict(base), 258, 9
-        w = c
-    if w:
-        codes.append(table[w])
-        widths.append(width)
+        push(prefix)
+        table[key] = size
         size += 1
-        if size == (1 << width) and width < 12:
-            width += 1
-    codes.append(257)
-    widths.append(width)
-    n = np.array(widths)
+        if size == 4094:
+            runs.append(codes)
+            codes, table, size = [], {}, 258
+            find, push = table.get, codes.append
+        prefix = c
+    if prefix >= 0:
+        push(prefix)
+    runs.append(codes)
+    widths = _ENDS[1][0]
+    values = np.concatenate([np.array([256, *r]) for r in runs] + [np.array([257])])
+    # A clear code is as wide as a code in its place would be.
+    n = np.concatenate([[9], *(x for k, r in enumerate(runs) for x in (widths[: len(r)], [widths[len(r)]]))])
     ends = np.cumsum(n)
     bits = np.zeros(int(ends[-1]), np.uint8)
-    values = np.array(codes)
     for b in range(12):
         ok = n > b
         bits[ends[ok] - 1 - b] = values[ok] >> b & 1
