@@ -15,11 +15,11 @@ from hashlib import blake2b
 
 VOWELS = {
     "latin": "aeiou", "latin accented": "àáâãäåèéêëìíîïòóôõöøùúûüýÿāēīōūăąęėįőűů",
-    "cyrillic": "аеёиоуыэюяіїє", "greek": "αεηιουωάέήίόύώ",
+    "cyrillic": "аеёиоуыэюя", "cyrillic ukrainian": "іїє", "greek": "αεηιουωάέήίόύώ",
 }
 CONSONANTS = {
     "latin": "bcdfghjklmnpqrstvwxyz", "latin accented": "çñčćďđğģķļľłńņňřśšşťţźžżß",
-    "cyrillic": "бвгджзйклмнпрстфхцчшщъь", "greek": "βγδζθκλμνξπρστφχψς",
+    "cyrillic": "бвгджзйклмнпрстфхцчшщ", "greek": "βγδζθκλμνξπρστφχψ",
 }
 CLASSES: dict[str, str] = {"digit": "0123456789"} | {f"{k} vowel": v for k, v in VOWELS.items()} | {f"{k} consonant": v for k, v in CONSONANTS.items()}
 OF_CHAR = {c: (name, i) for name, chars in CLASSES.items() for i, c in enumerate(chars)}
@@ -83,16 +83,16 @@ def _char(name: str, at: int) -> str:
     return CLASSES[name][at] if name in CLASSES else chr(BLOCKS[name][0] + at)
 
 
-def permute(key: bytes, kind: str, text: str, alphabets: list[str | None] | None = None, allowed: Callable[[str], bool] = lambda _: True) -> str:
+def permute(key: bytes, kind: str, text: str, alphabets: list[str | None] | None = None, allowed: Callable[[str], bool] = lambda _: True, tail: int = 0) -> str:
     """The surrogate of ``text`` among the strings of its pattern that are ``allowed``.
 
     ``alphabets`` gives the characters possible at each place, None where the character stays; by
-    default every letter and digit moves within its class.  Upper case letters come back in upper
+    default every letter and digit but the last ``tail`` characters moves within its class.  Upper case letters come back in upper
     case.  ``text`` itself must be allowed, or the result is only a permutation of the others.
     """
     low = [c.lower() if len(c.lower()) == 1 else c for c in text]
     if alphabets is None:
-        slots = [_class(c) for c in low]
+        slots = [_class(c) if i < len(low) - tail else None for i, c in enumerate(low)]
         name = kind + "|" + "|".join(s[0] if s else "=" + c for s, c in zip(slots, low))
     else:
         slots = [(a, a.index(c), len(a)) if a and c in a else None for a, c in zip(alphabets, low)]

@@ -21,7 +21,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.surrogate_pii(table(spark, sf_dir, "documents"))
+    return pii.surrogate_pii(table(spark, sf_dir, "documents"), pii.key_of(spark))
 
 
 def scanned(number: int, html: str, url: str) -> bytes:
