@@ -1,199 +1,160 @@
 """Best-fit packing of texts into contexts of fixed length, in bulk-synchronous rounds.
 
 A text's length is its number of words (runs without white space).  A text longer than a context
-is cut into pieces, all but the last filling a context each.  Pieces below ``capacity / 32`` are first
-strung together, in order of length, to at most ``capacity / 8``, so that the number of
-rounds doesn't grow with the number of tiny texts a context can hold.
-
-Each round range-sorts open pieces and gaps by size, pieces before gaps of equal size, and sweeps
-upwards: a gap takes the largest piece below it that no smaller gap has taken, which is the
-successor search for all pieces at once.  Ties and conflicts go by rank in the sorted order: the
-sweep is the matching of brackets, in which k-th and k-th meet.  Every task sweeps its own range; what
-stays open there (gaps first, pieces after) is matched between ranges by counts alone, one pair
-of numbers for each range, and a join by rank.  Then the gaps shrink and the next round begins.  Pieces above
-every gap open contexts: as many of the largest as the space they need in all, and before the first
-round as many as the space needed for everything.  Which they are follows from a histogram of
-sizes, which has at most ``capacity`` rows whatever the input.
-
-Results: one row for each piece with ``context`` (the number of the piece that opened it),
-``start`` (its place in the context), ``doc_id``, ``piece`` (0, 1, ...) and ``length``.  Null, empty and blank texts
-have length 0, no context and start 0.  Rows with a null or repeated id are packed each.
+is cut into pieces, all but the last filling a context each.
+
+*Sort.*  Pieces are range-sorted by length, id and place in their text.  Pieces of one length are thus a run, in which
+a piece has a rank; contexts with the same history are a run of equal gaps, numbered one after the other.  There are
+at most ``capacity`` runs of pieces, and a round adds at most two runs of gaps, whatever the input.
+
+*Rounds.*  A round takes the next shorter run of pieces and sweeps the sorted gaps upwards from its successor, the
+smallest gap that is large enough: the run's pieces go there by rank, as many to each gap as it can hold, then to the next
+larger gap, and what is left opens contexts.  So conflicts are settled by rank, k-th piece and k-th place meeting.  Then
+the gaps that were used shrink and the next round begins.  This is best fit on decreasing lengths, exactly, for small pieces
+too.  A round works on the runs' counts alone; what it yields are slots: stretches of ranks and the contexts they go to.
+A run of gaps takes at most sqrt(2 * capacity) different lengths, which bounds the slots by 3 * capacity * sqrt(2 * capacity).
+
+*Sweeps.*  Every task then sweeps its own range of the sorted pieces against the slots of their lengths, a successor search
+for all of them at once.  Its ranks go on where the ranges before it stop: one count for each range and length in it.
+
+Results: one row for each piece with ``context`` (numbered as opened, from 0), ``start`` (its place in the context),
+the id, ``piece`` (0, 1, ...) and ``length``.  They don't depend on how the input is partitioned.
+
+Defined results: null, empty and blank texts have length 0, no context and start 0.  Rows with a null or repeated id are packed
+each; pieces of equal length, id and number can't be told apart in the result.  An empty table gives an empty one.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
 
 CAPACITY = 2048
-PIECE, GAP, PLACED = 0, 1, 2
-
-
-def match(is_gap: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Bracket matching of a sorted run: matched pieces, their gaps, open gaps, open pieces (all positions)."""
-    depth = np.cumsum(1 - 2 * is_gap.astype(np.int64))
-    floor = np.minimum(np.minimum.accumulate(depth), 0)
-    before = np.concatenate(([0], floor[:-1]))
-    open_gap = is_gap & (floor < before)
-    level = np.where(is_gap, depth + 1, depth) - floor
-    at = np.flatnonzero(~open_gap)
-    # At one level, between two open gaps, pieces and gaps take turns.
-    at = at[np.lexsort((at, level[at], floor[at]))]
-    gap, lev, flo = is_gap[at], level[at], floor[at]
-    pair = np.zeros(len(at), bool)
-    if len(at):
-        pair[:-1] = ~gap[:-1] & gap[1:] & (lev[:-1] == lev[1:]) & (flo[:-1] == flo[1:])
-    piece, mate = at[pair], at[np.flatnonzero(pair) + 1]
-    open_piece = np.setdiff1d(np.flatnonzero(~is_gap), piece, assume_unique=True)
-    return piece, mate, np.flatnonzero(open_gap), open_piece
-
-
-def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One range: rows of matched pairs (``mate`` the gap's id, ``room`` its size), and what stays open with its rank."""
-    from pyspark import TaskContext
-
-    part = TaskContext.get().partitionId()
-    table = pa.Table.from_batches([b for b in batches if b.num_rows] or [pa.record_batch([pa.array([], pa.int32()), pa.array([], pa.int32()), pa.array([], pa.int64())], ["v", "kind", "id"])])
-    v, kind, ident = (table.column(k).to_numpy() for k in ("v", "kind", "id"))
-    piece, gap, open_gap, open_piece = match(kind == GAP)
-    none = np.zeros(0, np.int64)
-
-    def rows(what: int, at: np.ndarray, mate: np.ndarray = none, rank: np.ndarray = none) -> pa.RecordBatch:
-        n = len(at)
-        paired = len(mate) == n and n
-        return pa.record_batch(
-            [
-                pa.array(np.full(n, part, np.int32)), pa.array(np.full(n, what, np.int32)), pa.array(v[at].astype(np.int32)), pa.array(ident[at]),
-                pa.array(ident[mate] if paired else np.zeros(n, np.int64)), pa.array((v[mate] if paired else np.zeros(n)).astype(np.int32)), pa.array(rank if len(rank) == n and n else np.zeros(n, np.int64)),
-            ],
-            ["part", "kind", "v", "id", "mate", "room", "rank"],
-        )
-
-    yield rows(PLACED, piece, gap)
-    yield rows(GAP, open_gap, rank=np.arange(len(open_gap)))
-    yield rows(PIECE, open_piece, rank=np.arange(len(open_piece))[::-1])  # the largest first
-
-
-def _between(counts: list[tuple[int, int, int]]) -> tuple[dict[int, tuple[int, int]], dict[int, list[tuple[int, int, int]]]]:
-    """Matches across ranges, from (range, open gaps, open pieces): of each range the number of
-    gaps matched and its first pair's number; the runs of pieces, as (rank, length, first pair's number)."""
-    stack: list[list[int]] = []  # range, rank of its largest open piece, pieces left
-    gaps, pieces, pair = {}, {}, 0
-    for part, n_gaps, n_pieces in sorted(counts):
-        first, left = pair, n_gaps
-        while left and stack:
-            top = stack[-1]
-            take = min(left, top[2])
-            pieces.setdefault(top[0], []).append((top[1], take, pair))
-            pair, left = pair + take, left - take
-            top[1], top[2] = top[1] + take, top[2] - take
-            if not top[2]:
-                stack.pop()
-        if pair > first:
-            gaps[part] = (pair - first, first)
-        if n_pieces:
-            stack.append([part, 0, n_pieces])
-    return gaps, pieces
-
-
-def _number(gaps: dict, pieces: dict):
-    """Adds ``pair`` to the open rows of a round, -1 where there is none."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            part, kind, rank = (b.column(k).to_numpy() for k in ("part", "kind", "rank"))
-            pair = np.full(b.num_rows, -1, np.int64)
-            for p in np.unique(part).tolist():
-                if p in gaps:
-                    n, first = gaps[p]
-                    at = np.flatnonzero((part == p) & (kind == GAP) & (rank < n))
-                    pair[at] = first + rank[at]
-                for low, n, first in pieces.get(p, ()):
-                    at = np.flatnonzero((part == p) & (kind == PIECE) & (rank >= low) & (rank < low + n))
-                    pair[at] = first + rank[at] - low
-            yield pa.record_batch([b.column("kind"), b.column("v"), b.column("id"), pa.array(pair)], ["kind", "v", "id", "pair"])
-
-    return run
 
+#: Of a length: first ranks, first contexts, pieces in each context, first piece's place.
+Slots = dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+
+
+def fit(counts: dict[int, int], capacity: int) -> Slots:
+    """The slots of runs of pieces, given as {length: number}."""
+    gaps: dict[int, list[tuple[int, int]]] = defaultdict(list)  # room: runs of contexts as (first, number)
+    rooms: list[int] = []
+    opened, slots = 0, {}
+
+    def leave(room: int, first: int, number: int) -> None:
+        if room and number:
+            if not gaps[room]:
+                insort(rooms, room)
+            gaps[room].append((first, number))
+
+    for length in sorted((n for n in counts if n), reverse=True):
+        left, rank, found = counts[length], 0, []
+        at = bisect_left(rooms, length)
+        used = []
+        while left and at < len(rooms):
+            room = rooms[at]
+            runs, each = gaps.pop(room), room // length
+            rest = []
+            for first, number in runs:
+                full = min(number, left // each)
+                if full:
+                    found.append((rank, first, each, capacity - room))
+                    used.append((room - each * length, first, full))
+                    rank, left = rank + full * each, left - full * each
+                if full < number and left:  # fewer than a gap can hold
+                    found.append((rank, first + full, left, capacity - room))
+                    used.append((room - left * length, first + full, 1))
+                    rank, left, full = rank + left, 0, full + 1
+                if full < number:
+                    rest.append((first + full, number - full))
+            rooms.pop(at)
+            for first, number in rest:
+                leave(room, first, number)
+            if rest:
+                break
+        if left:
+            each = capacity // length
+            full, more = divmod(left, each)
+            if full:
+                found.append((rank, opened, each, 0))
+                used.append((capacity - each * length, opened, full))
+            if more:
+                found.append((rank + full * each, opened + full, more, 0))
+                used.append((capacity - more * length, opened + full, 1))
+            opened += full + bool(more)
+        for x in used:
+            leave(*x)
+        slots[length] = tuple(np.array(x, np.int64) for x in zip(*found))
+    return slots
+
+
+def _rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds the range's number and each piece's rank among those of its length in the range."""
+    from pyspark import TaskContext
 
-def _string_together(limit: int):
-    """Runs of small pieces, by length, up to ``limit`` in all; named by their first piece."""
-
+    part, last, seen = TaskContext.get().partitionId(), -1, 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        length = b.column("length").to_numpy()
+        starts = np.flatnonzero(np.concatenate(([True], length[1:] != length[:-1])))
+        begin = np.zeros(b.num_rows, np.int64)
+        begin[starts] = starts
+        rank = np.arange(b.num_rows) - np.maximum.accumulate(begin)
+        if length[0] == last:
+            rank[: starts[1] if len(starts) > 1 else b.num_rows] += seen
+        last, seen = int(length[-1]), int(rank[-1]) + 1
+        yield pa.record_batch([pa.array(np.full(b.num_rows, part, np.int32)), pa.array(rank), *b.columns[:3]], ["part", "rank", "doc", "piece", "length"])
+
+
+def _place(shared, id_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, total = None, 0
+        slots, before = shared.value
         for b in batches:
-            heads, starts = [], []
-            for n, ident in zip(b.column("length").to_pylist(), b.column("id").to_pylist()):
-                if head is None or total + n > limit:
-                    head, total = ident, 0
-                heads.append(head)
-                starts.append(total)
-                total += n
-            yield pa.record_batch([b.column("id"), b.column("length"), pa.array(heads, pa.int64()), pa.array(starts, pa.int32())], ["id", "length", "head", "at"])
+            if not b.num_rows:
+                continue
+            part, rank, length = (b.column(k).to_numpy() for k in ("part", "rank", "length"))
+            context, start = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64)
+            cuts = np.flatnonzero((part[1:] != part[:-1]) | (length[1:] != length[:-1])) + 1
+            for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), b.num_rows]):
+                n = int(length[i])
+                if n:
+                    low, first, each, place = slots[n]
+                    r = rank[i:j] + before[int(part[i]), n]
+                    at = np.searchsorted(low, r, side="right") - 1
+                    context[i:j], own = first[at] + (r - low[at]) // each[at], (r - low[at]) % each[at]
+                    start[i:j] = place[at] + own * n
+            yield pa.record_batch([pa.array(context, mask=length == 0), pa.array(start.astype(np.int32)), b.column("doc"), b.column("piece"), b.column("length")], ["context", "start", id_col, "piece", "length"])
 
     return run
 
 
-def _seeds(sizes: list[tuple[int, int, int]], room: int, capacity: int) -> str | None:
-    """Which pieces open contexts, as a condition on ``v`` and ``id``; sizes: (v, count, smallest id)."""
-    over = sorted((s for s in sizes if s[0] > room), reverse=True)
-    total = sum(v * n for v, n, _ in over)
-    want = -(-total // capacity)
-    for v, n, first in over:
-        if n >= want:  # of this size a share, by hash, and one in any case
-            share = (want << 20) // n
-            return f"(v > {v} or (v = {v} and (id = {first} or pmod(xxhash64(id), {1 << 20}) < {share})))"
-        want -= n
-    return None
-
-
 def pack(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The table described above, one row for each piece of each row of ``docs``."""
+    kind = dict(docs.dtypes)[id_col]
     length = F.coalesce(F.regexp_count(F.col(text_col), F.lit(r"\S+")), F.lit(0))
     rows = docs.select(F.col(id_col).alias("doc"), length.alias("n"))
     cuts = F.when(F.col("n") == 0, F.array(F.struct(F.lit(0).alias("piece"), F.lit(0).alias("length")))).otherwise(
         F.expr(f"transform(sequence(0, int((n - 1) div {capacity})), i -> struct(int(i) as piece, int(least({capacity}, n - i * {capacity})) as length))")
     )
-    # The table fixes the numbers given here, whatever is computed again later.
-    pieces = cut(rows.select("doc", F.explode(cuts).alias("p")).select(F.monotonically_increasing_id().alias("id"), "doc", "p.piece", "p.length"), "packing-pieces")
-    small = pieces.where(f"length > 0 and length < {max(1, capacity // 32)}")
-    runs = cut(small.select("id", "length").repartitionByRange("length", "id").sortWithinPartitions("length", "id").mapInArrow(_string_together(max(1, capacity // 8)), "id long, length int, head long, at int"), "packing-runs")
-    whole = pieces.where(f"length >= {max(1, capacity // 32)} and length < {capacity}").select(F.lit(PIECE).alias("kind"), F.col("length").alias("v"), "id")
-    strung = runs.groupBy(F.col("head").alias("id")).agg(F.sum("length").cast("int").alias("v")).select(F.lit(PIECE).alias("kind"), "v", "id")
-    state, room, placed = whole.unionAll(strung), 0, []
-    while True:
-        sizes = [(r[0], r[1], r[2]) for r in state.where(f"kind = {PIECE}").groupBy("v").agg(F.count("*"), F.min("id")).collect()]
-        if not sizes:
-            break
-        if seeds := _seeds(sizes, room, capacity):
-            opens = F.expr(f"kind = {PIECE} and {seeds}")
-            placed.append(state.where(opens).select(F.col("id").alias("context"), "id"))
-            state = state.select(F.when(opens, F.lit(GAP)).otherwise(F.col("kind")).alias("kind"), F.when(opens, F.lit(capacity) - F.col("v")).otherwise(F.col("v")).alias("v"), "id").where("v > 0")
-        swept = cut(state.select("v", "kind", "id").repartitionByRange("v", "kind", "id").sortWithinPartitions("v", "kind", "id").mapInArrow(_sweep, "part int, kind int, v int, id long, mate long, room int, rank long"), "packing-swept")
-        counts = swept.groupBy("part").agg(F.sum(F.when(F.col("kind") == GAP, 1).otherwise(0)), F.sum(F.when(F.col("kind") == PIECE, 1).otherwise(0))).collect()
-        gaps, ranges = _between([tuple(r) for r in counts])
-        numbered = swept.where(f"kind <> {PLACED}").mapInArrow(_number(gaps, ranges), "kind int, v int, id long, pair long")
-        met = numbered.where("pair >= 0").groupBy("pair").agg(
-            *(F.max(F.when(F.col("kind") == k, F.col(c))).alias(f"{c}{k}") for k in (PIECE, GAP) for c in ("v", "id"))
-        )
-        pairs = swept.where(f"kind = {PLACED}").select("id", "v", "mate", "room").unionAll(met.select(f"id{PIECE}", f"v{PIECE}", f"id{GAP}", f"v{GAP}"))
-        after = pairs.select(F.explode(F.array(F.struct(F.lit(PLACED).alias("kind"), F.col("v"), F.col("id"), F.col("mate").alias("context")), F.struct(F.lit(GAP).alias("kind"), (F.col("room") - F.col("v")).alias("v"), F.col("mate").alias("id"), F.col("mate").alias("context")))).alias("r")).select("r.*")
-        now = cut(after.unionAll(numbered.where("pair < 0").select("kind", "v", "id", F.lit(0).cast("long"))), "packing-round")
-        placed.append(now.where(f"kind = {PLACED}").select("context", "id"))
-        state = now.where(f"kind = {PIECE} or (kind = {GAP} and v > 0)").select("kind", "v", "id")
-        room = state.where(f"kind = {GAP}").agg(F.max("v")).first()[0] or 0
-    filled = pieces.where(f"length = {capacity}").select(F.col("id").alias("context"), "id")
-    for p in placed:
-        filled = filled.unionAll(p)
-    # A strung run goes where its head went, a single piece where it went itself.
-    member = pieces.where("length > 0").join(runs.select("id", "head"), "id", "left").select("id", "doc", "piece", "length", F.coalesce("head", "id").alias("head"))
-    out = member.join(filled.select("context", F.col("id").alias("head")), "head")
-    order = Window.partitionBy("context").orderBy(F.desc("length"), "id")
-    start = F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("length")
-    out = out.select("context", start.cast("int").alias("start"), F.col("doc").alias(id_col), "piece", "length")
-    return out.unionAll(pieces.where("length = 0").select(F.lit(None).cast("long"), F.lit(0), "doc", "piece", "length"))
+    # The number splits ranges of pieces that are alike; which of them comes first makes no difference to the result.
+    pieces = cut(rows.select("doc", F.explode(cuts).alias("p")).select("doc", "p.piece", "p.length", F.monotonically_increasing_id().alias("number")), "packing-pieces")
+    order = ["length", "doc", "piece", "number"]
+    ranked = pieces.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_rank, f"part int, rank long, doc {kind}, piece int, length int")
+    ranked = cut(ranked, "packing-ranked")
+    # As many rows as there are ranges and lengths together.
+    ranges = sorted((r[0], r[1], r[2]) for r in ranked.where("length > 0").groupBy("part", "length").count().collect())
+    before, counts = {}, defaultdict(int)
+    for part, n, count in ranges:
+        before[part, n] = counts[n]
+        counts[n] += count
+    shared = docs.sparkSession.sparkContext.broadcast((fit(counts, capacity), before))
+    return ranked.mapInArrow(_place(shared, id_col), f"context long, start int, `{id_col}` {kind}, piece int, length int")
