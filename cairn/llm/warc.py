@@ -8,10 +8,11 @@ jumps, round by round, until the offsets reached no longer grow: in the end each
 chain enters it, and a second pass reads the records from there.  The number of rounds is the logarithm
 of the number of blocks in the longest file.
 
-Defined results: an empty file gives no rows.  A file that doesn't begin with a record gives none either.
+Defined results: an empty file gives no rows, an empty folder neither.  A file that doesn't begin with a record gives none either.
 A record that goes past the end of its file is returned with ``truncated`` set, its payload as far as it is
 there; the chain ends with it, as it does where the successor is no record.  Records of any length are
-read, whatever the blocks' size.
+read, whatever the blocks' size; records that are alike are returned each.  ``write_pages`` writes null urls and texts as empty
+ones, a null id as an empty number, repeated rows each, and leaves out other columns.
 """
 
 from __future__ import annotations
@@ -121,8 +122,11 @@ def read_warc(spark: SparkSession, path: str, block: int = BLOCK) -> DataFrame:
     """The records of the uncompressed WARC files below ``path``: columns as in RECORD."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", F.col("length").alias("size")).where("size > 0")
     blocks = files.select("path", "size", F.explode(F.expr(f"sequence(0L, size - 1, {block}L)")).alias("start")).withColumn("stop", F.least(F.col("start") + block, "size"))
-    blocks = cut(blocks, "warc-blocks").repartition("path", "start")
-    jumps = cut(blocks.mapInArrow(_jumps, "path string, here long, there long"), "warc-jumps")
+    blocks = cut(blocks, "warc-blocks")
+    # A row is few bytes but a block of work: the number of tasks follows the files' bytes, not what the rows weigh.
+    count, total = blocks.agg(F.count("*"), F.sum(F.col("stop") - F.col("start"))).first()
+    tasks = max(1, min(count, max(-(-(total or 0) // BLOCK), 2 * spark.sparkContext.defaultParallelism)))
+    jumps = cut(blocks.repartition(tasks).mapInArrow(_jumps, "path string, here long, there long"), "warc-jumps")
     reached = files.select("path", F.lit(0).cast("long").alias("here"))
     # Only what some block's chain leads to can be entered; the rest of the candidates end here.
     entries = jumps.select("path", F.col("there").alias("here")).unionAll(reached).distinct()
@@ -135,7 +139,7 @@ def read_warc(spark: SparkSession, path: str, block: int = BLOCK) -> DataFrame:
         twice = steps.alias("x").join(steps.alias("y"), F.expr("x.path = y.path and x.there = y.here"), "left")
         steps = cut(twice.select("x.path", "x.here", F.coalesce("y.there", "x.there").alias("there")), "warc-steps")
     entered = reached.withColumn("start", F.expr(f"here - here % {block}"))
-    return blocks.join(entered, ["path", "start"]).repartition("path", "start").mapInArrow(_read, RECORD)
+    return cut(blocks.join(entered, ["path", "start"]), "warc-entered").repartition(tasks).mapInArrow(_read, RECORD)
 
 
 def write_pages(pages: DataFrame, path: str) -> None:

@@ -67,3 +67,16 @@ def test_written_pages_come_back(spark, tmp_path):
     assert len(got) == 2 * len(rows) and not any(r["truncated"] for r in got)
     bodies = sorted(bytes(r["payload"]).split(b"\r\n\r\n", 1)[1].decode() for r in got if r["type"] == "response")
     assert bodies == sorted(h or "" for _, _, h in rows)
+
+
+def test_empty_input(spark, tmp_path):
+    (tmp_path / "none").mkdir()
+    assert W.read_warc(spark, f"file://{tmp_path}/none").count() == 0
+    W.write_pages(spark.createDataFrame([], "page_id long, url string, html string, value string"), f"file://{tmp_path}/out")
+    assert W.read_warc(spark, f"file://{tmp_path}/out").count() == 0
+
+
+def test_blocks_are_spread_over_tasks(spark, tmp_path):
+    data, _ = archive(60, 3)
+    (tmp_path / "a.warc").write_bytes(data)
+    assert W.read_warc(spark, f"file://{tmp_path}", 8000).rdd.getNumPartitions() == min(-(-len(data) // 8000), 2 * spark.sparkContext.defaultParallelism) > 4
