@@ -13,7 +13,8 @@ such, picked by a hash of id and text), whole.  Scoring covers every row and eve
 
 Null and empty texts have one passage without features, thus the lowest score there is, and aren't
 toxic.  Without labelled texts of both kinds there is no model: scores are null and nothing is
-toxic.  Labels that are null, or rows of ``labels`` whose id is null or unknown, are left out; of
+toxic.  A kind with fewer than five texts is not held out from: its own texts then set the limit, which is only as good as
+so few can make it.  Labels that are null, or rows of ``labels`` whose id is null or unknown, are left out; of
 several labels for an id the highest counts.  Repeated rows are scored each.
 """
 
@@ -31,7 +32,7 @@ from .common import slices, texts
 
 BITS, LENGTHS, PASSAGE = 20, (3, 4, 5, 6), 512
 MAX_LABELLED = 2400
-#: Buckets in fewer labelled passages, or whose ratio is nearer to 0, have no weight.
+#: Buckets in fewer labelled passages (or than there are of the rarer kind), or whose ratio is nearer to 0, have no weight.
 MIN_COUNT, MIN_RATIO = 6, 1.5
 SLICE_CHARS = 1 << 18
 
@@ -109,23 +110,27 @@ def _sliced(values: list[str], used: np.ndarray | None = None):
 
 def _ratios(values: list[str], y: np.ndarray, use: np.ndarray) -> np.ndarray:
     """Of each bucket, from the buckets of the passages in use and their labels; 0 where it has no weight."""
+    least = min(MIN_COUNT, max(1, min(int((use & (y == k)).sum()) for k in (0, 1))))
     p, q = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64)
     for passage, bucket, _ in _sliced(values):
         for count, k in ((p, 1), (q, 0)):
             count += np.bincount(bucket[use[passage] & (y[passage] == k)], minlength=1 << BITS)
     r = np.log(((p + 1) / (p.sum() + len(p))) / ((q + 1) / (q.sum() + len(q))))
-    r[(p + q < MIN_COUNT) | (np.abs(r) < MIN_RATIO)] = 0
+    r[(p + q < least) | (np.abs(r) < MIN_RATIO)] = 0
     return r
 
 
 def fit(values: list[str], toxic: list[int], rounds: int = 3) -> Model | None:
     """A model of labelled texts, of which every fifth of a class is held out for the limit."""
     label = np.array(toxic, np.int64)
-    if len(set(toxic)) < 2 or min(np.bincount(label, minlength=2)) < 5:
+    if len(set(toxic)) < 2:
         return None
-    held = np.zeros(len(label), bool)
+    held, test = np.zeros(len(label), bool), np.zeros(len(label), bool)
     for k in (0, 1):
-        held[np.flatnonzero(label == k)[::5]] = True
+        own = np.flatnonzero(label == k)
+        if len(own) >= 5:
+            held[own[::5]] = True
+        test[own[::5] if len(own) >= 5 else own] = True
     train = [v for v, h in zip(values, held) if not h]
     passages = np.array([max(1, -(-len(v.lower()) // PASSAGE)) for v in train])
     y = np.repeat(label[~held], passages)
@@ -147,8 +152,8 @@ def fit(values: list[str], toxic: list[int], rounds: int = 3) -> Model | None:
         top = np.maximum.reduceat(logit, np.cumsum(passages) - passages)
         # Of a toxic text stay the passages held toxic, and the highest one in any case.
         use = (y == 0) | (logit > 0) | (logit >= np.repeat(top, passages))
-    s = scores(model, [v for v, h in zip(values, held) if h])
-    model.limit = _limit(s[label[held] == 1], s[label[held] == 0])
+    s = scores(model, [v for v, h in zip(values, test) if h])
+    model.limit = _limit(s[label[test] == 1], s[label[test] == 0])
     return model
 
 

@@ -57,10 +57,34 @@ def test_the_whole_of_a_long_text_is_scored():
 
 
 def test_ratios_scale_the_features():
-    values, label = corpus()
-    r = T._ratios(values, np.array(label).repeat([max(1, -(-len(v) // T.PASSAGE)) for v in values]), np.ones(sum(max(1, -(-len(v) // T.PASSAGE)) for v in values), bool))
+    """The ratios are those of counts taken one by one; halving a ratio halves what its feature can weigh."""
+    values, label = corpus(60)
+    values = [v[:400] for v in values]
+    y = np.array(label)
+    count = {k: np.zeros(1 << T.BITS, np.int64) for k in (0, 1)}
+    for v, k in zip(values, label):
+        for b in T.features([v])[1].tolist():
+            count[k][b] += 1
+    p, q = count[1], count[0]
+    want = np.log(((p + 1) / (p.sum() + len(p))) / ((q + 1) / (q.sum() + len(q))))
+    got = T._ratios(values, y, np.ones(len(y), bool))
+    used = got != 0
+    assert used.any() and np.allclose(got[used], want[used])
+    assert ((p + q >= T.MIN_COUNT) & (np.abs(want) >= T.MIN_RATIO) == used).all()
+    # A bucket that only toxic texts have pushes a score up, one that only clean texts have pushes it down.
     model = T.fit(values, label, rounds=1)
-    assert np.abs(r).max() > 0 and (model.weights != 0).sum() > 0
+    on = model.weights != 0
+    assert (np.sign(model.weights[on & (q == 0)]) >= 0).mean() > 0.95 and (np.sign(model.weights[on & (p == 0)]) <= 0).mean() > 0.95
+
+
+def test_few_labels_still_make_a_model():
+    values, label = corpus(200)
+    toxic = [v for v, y in zip(values, label) if y][:4]
+    clean = [v for v, y in zip(values, label) if not y][:36]
+    model = T.fit(toxic + clean, [1] * 4 + [0] * 36)
+    assert model is not None and (T.scores(model, toxic) > model.limit).all() and (T.scores(model, clean) > model.limit).sum() == 0
+    assert T.fit(clean, [0] * 36) is None
+    assert T.fit(toxic[:1] + clean[:1], [1, 0]) is not None
 
 
 def test_frames(spark, docs_of, odd_rows):
