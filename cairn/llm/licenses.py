@@ -1,26 +1,30 @@
 """License scans: a trained paragraph classifier whose findings templates confirm.
 
-A paragraph is a line that isn't blank.  Its features are its distinct word unigrams and bigrams
+A paragraph is a line that isn't blank, with the lines it wraps into: a line of ``WRAPPED`` characters or more that
+doesn't end a sentence goes on in the next one if that begins with a small letter or both are in capitals (comment
+marks before a line don't count).  Its features are its distinct word unigrams and bigrams
 (words: runs of lower-cased letters, digits and inner dots), each with weight one over the root of their
 number, so that words never seen in training dilute a paragraph.  A multinomial logistic regression over licence
 families and ``unknown`` is fitted on variants of the templates below (words dropped, cut short,
 continued with other text) against paragraphs of the corpus and scrambled templates.  A held-out
-part sets the temperature of the probabilities and the limit under which a paragraph is unknown.  A finding
+part sets the temperature of the probabilities and the limit under which a paragraph is unknown.  The limit is then raised
+over the whole corpus: of all its paragraphs that don't resemble a template, at most ``FALSE_SHARE`` may reach it.  A finding
 counts when the share of the paragraph's bigrams found in the family's nearest template, or of
 that template's bigrams found in the paragraph, is at least ``CONFIRM``.
 
-Paragraphs of the corpus used for fitting come from ``MAX_TEXTS`` texts picked by a hash of their ids;
-those that resemble a template are not taken for unknown.  Scanning covers every row and every line.
+Paragraphs of the corpus used for fitting are labelled rows made from ``MAX_TEXTS`` whole texts picked by a hash of their ids:
+those that resemble a template are left out, the others stand for unknown.  Calibrating and scanning cover every row and every
+paragraph.
 
-Null and empty texts have no paragraphs and no rows.  Repeated rows are scanned each.  With an empty
-corpus the scrambled templates alone stand for unknown text.
+Defined results: null and empty texts have no paragraphs and no rows.  Repeated rows are scanned each.  With an empty
+corpus the scrambled templates alone stand for unknown text.  The sections that the GNU licences share count as ``gpl``.
 """
 
 from __future__ import annotations
 
 import random
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +33,8 @@ from pyspark.sql import functions as F
 
 MAX_TEXTS = 400
 CONFIRM = 0.6
+WRAPPED = 50
+FALSE_SHARE, BINS = 1e-4, 200
 VARIANTS = 24
 UNKNOWN = "unknown"
 
@@ -60,15 +66,37 @@ TEMPLATES: dict[str, list[str]] = {
     "apache": [
         "licensed under the apache license version 2.0", "licensed under the apache license version 2.0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www.apache.org licenses license 2.0",
         "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license",
+        "subject to the terms and conditions of this license each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable except as stated in this section patent license to make have made use offer to sell sell import and otherwise transfer the work",
+        "you may reproduce and distribute copies of the work or derivative works thereof in any medium with or without modifications and in source or object form provided that you meet the following conditions",
+        "you must give any other recipients of the work or derivative works a copy of this license", "you must cause any modified files to carry prominent notices stating that you changed the files",
+        "unless you explicitly state otherwise any contribution intentionally submitted for inclusion in the work by you to the licensor shall be under the terms and conditions of this license without any additional terms or conditions",
+        "this license does not grant permission to use the trade names trademarks service marks or product names of the licensor except as required for reasonable and customary use in describing the origin of the work and reproducing the content of the notice file",
         "apache license version 2.0 january 2004", "released under the apache license 2.0", "spdx license identifier apache 2.0",
         "subject to the terms and conditions of this license each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright license to reproduce prepare derivative works of publicly display publicly perform sublicense and distribute the work and such derivative works in source or object form",
     ],
-    "gpl": _gnu("gnu general public license", "gpl", ("2.0", "3.0", "2", "3")),
+    "gpl": [
+        *_gnu("gnu general public license", "gpl", ("2.0", "3.0", "2", "3")),
+        "you may convey verbatim copies of the program s source code as you receive it in any medium provided that you conspicuously and appropriately publish on each copy an appropriate copyright notice keep intact all notices stating that this license and any non permissive terms added in accord with section 7 apply to the code keep intact all notices of the absence of any warranty and give all recipients a copy of this license along with the program",
+        "you may copy and distribute verbatim copies of the program s source code as you receive it in any medium provided that you conspicuously and appropriately publish on each copy an appropriate copyright notice and disclaimer of warranty keep intact all the notices that refer to this license and to the absence of any warranty and give any other recipients of the program a copy of this license along with the program",
+        "you may convey a work based on the program or the modifications to produce it from the program in the form of source code under the terms of section 4 provided that you also meet all of these conditions",
+        "you must cause any work that you distribute or publish that in whole or in part contains or is derived from the program or any part thereof to be licensed as a whole at no charge to all third parties under the terms of this license",
+        "you may not propagate or modify a covered work except as expressly provided under this license any attempt otherwise to propagate or modify it is void and will automatically terminate your rights under this license",
+        "everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed",
+        "each time you convey a covered work the recipient automatically receives a license from the original licensors to run modify and propagate that work subject to this license you are not responsible for enforcing compliance by third parties with this license",
+        "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
+        "the gnu general public license is a free copyleft license for software and other kinds of works",
+    ],
     "lgpl": _gnu("gnu lesser general public license", "lgpl", ("2.1", "3.0")),
     "agpl": _gnu("gnu affero general public license", "agpl", ("3.0",)),
     "bsd": [_BSD_REDIST, _BSD_SOURCE, _BSD_BINARY, "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed", "use of this source code is governed by a bsd style license that can be found in the license file", "released under the bsd 3 clause license", "licensed under the bsd 2 clause license", "spdx license identifier bsd 3 clause", "spdx license identifier bsd 2 clause"],
     "isc": ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness", "released under the isc license", "spdx license identifier isc"],
-    "mpl": ["this source code form is subject to the terms of the mozilla public license v. 2.0 if a copy of the mpl was not distributed with this file you can obtain one at https mozilla.org mpl 2.0", "mozilla public license version 2.0", "licensed under the mozilla public license 2.0", "spdx license identifier mpl 2.0"],
+    "mpl": ["this source code form is subject to the terms of the mozilla public license v. 2.0 if a copy of the mpl was not distributed with this file you can obtain one at https mozilla.org mpl 2.0", "covered software is provided under this license on an as is basis without warranty of any kind either expressed implied or statutory including without limitation warranties that the covered software is free of defects merchantable fit for a particular purpose or non infringing", "all distribution of covered software in source code form including any modifications that you create or to which you contribute must be under the terms of this license", "mozilla public license version 2.0", "licensed under the mozilla public license 2.0", "spdx license identifier mpl 2.0"],
+    "epl": [
+        "eclipse public license v 2.0", "eclipse public license version 1.0", "the accompanying program is provided under the terms of this eclipse public license agreement any use reproduction or distribution of the program constitutes recipient s acceptance of this agreement",
+        "this program and the accompanying materials are made available under the terms of the eclipse public license 2.0 which is available at https www.eclipse.org legal epl 2.0", "spdx license identifier epl 2.0",
+    ],
+    "boost": ["boost software license version 1.0 august 17th 2003", "distributed under the boost software license version 1.0", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software", "spdx license identifier bsl 1.0"],
+    "zlib": ["this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions", "the origin of this software must not be misrepresented you must not claim that you wrote the original software", "spdx license identifier zlib"],
     "cc": [
         *(f"licensed under cc {k} {v}" for k in ("by", "by sa", "by nc", "by nd", "by nc sa", "by nc nd") for v in ("4.0", "3.0")),
         *(f"this work is licensed under a creative commons {k} {v} international license" for k in ("attribution", "attribution sharealike", "attribution noncommercial", "attribution noncommercial sharealike") for v in ("4.0",)),
@@ -81,6 +109,27 @@ FAMILIES = [*TEMPLATES, UNKNOWN]
 _WORD = re.compile(r"[^\W_]+(?:\.[^\W_]+)*")
 
 
+_MARKS = re.compile(r"^[\s#/*;%!<>|-]+")
+
+
+def paragraphs(text: str) -> list[list[str]]:
+    """The words of each paragraph."""
+    out: list[list[str]] = []
+    before, length, shout = "", 0, False
+    for line in text.split("\n"):
+        if not line.strip():
+            before = ""
+            continue
+        bare = _MARKS.sub("", line).rstrip()
+        loud = bare.isupper()
+        if before and length >= WRAPPED and before[-1] not in ".!?:;" and bare and (bare[0].islower() or loud and shout):
+            out[-1] += words(line)
+        else:
+            out.append(words(line))
+        before, length, shout = bare, len(line.rstrip()), loud
+    return out
+
+
 def words(line: str) -> list[str]:
     return _WORD.findall(line.lower())
 
@@ -101,6 +150,11 @@ class Model:
     temperature: float = 1.0
     limit: float = 0.5
     shapes: dict[str, list[set]] = field(default_factory=dict)
+    known: frozenset = frozenset()  # the templates' bigrams
+
+    def resembles(self, w: list[str]) -> bool:
+        own = bigrams(w)
+        return len(own & self.known) >= 0.3 * len(own)
 
     def probabilities(self, lines: list[list[str]]) -> np.ndarray:
         at, starts, scale = [], [], []
@@ -146,12 +200,12 @@ def _variants(rng: random.Random, noise: list[list[str]]) -> tuple[list[list[str
     return lines, label
 
 
-def train(noise: list[str], seed: int = 7) -> Model:
-    """A model of the templates against lines of other text."""
+def train(noise: list[list[str]], seed: int = 7) -> Model:
+    """A model of the templates against paragraphs of other text."""
     rng = random.Random(seed)
     shapes = {f: [bigrams(words(t)) for t in texts] for f, texts in TEMPLATES.items()}
-    everything = set().union(*(s for of in shapes.values() for s in of))
-    other = [w for line in noise if (w := words(line)) and len(bigrams(w) & everything) < 0.3 * len(bigrams(w))]
+    known = frozenset().union(*(s for of in shapes.values() for s in of))
+    other = [w for w in noise if w and len(bigrams(w) & known) < 0.3 * len(bigrams(w))]
     lines, label = _variants(rng, other)
     vocabulary = [words(t) for texts in TEMPLATES.values() for t in texts]
     mixed = []
@@ -192,7 +246,7 @@ def train(noise: list[str], seed: int = 7) -> Model:
         step = 0.3 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
         w -= step[:-1]
         b -= step[-1]
-    model = Model(index, w, b, shapes=shapes)
+    model = Model(index, w, b, shapes=shapes, known=known)
     test, truth = [x for x, h in zip(lines, held) if h], y[held]
     best = (np.inf, 1.0)
     for temperature in np.geomspace(0.25, 8, 31):
@@ -211,7 +265,7 @@ def train(noise: list[str], seed: int = 7) -> Model:
 
 def find(model: Model, text: str) -> list[tuple[int, str, float, float]]:
     """(paragraph, family, probability, similarity) of the confirmed ones; paragraphs count from 0."""
-    lines = [w for line in text.split("\n") if line.strip() and (w := words(line)) is not None]
+    lines = paragraphs(text)
     return _confirmed(model, lines, model.probabilities(lines)) if lines else []
 
 
@@ -225,14 +279,53 @@ def _confirmed(model: Model, lines: list[list[str]], p: np.ndarray) -> list[tupl
 
 
 def train_on(docs: DataFrame, max_texts: int = MAX_TEXTS, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """A model whose unknown class knows the corpus, from a bounded sample of its texts."""
+    """A model whose unknown class knows the corpus, from a bounded sample of whole texts, and whose limit suits all of it."""
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).where("t is not null")
     ids = own.select(F.col("id").alias("picked")).distinct().orderBy(F.xxhash64("picked"), "picked").limit(max_texts)
     sample = own.join(F.broadcast(ids), F.expr("id <=> picked"))  # at most max_texts ids
-    lines = sorted({line for r in sample.collect() for line in r["t"].split("\n")})
-    rng = random.Random(3)
-    rng.shuffle(lines)
-    return train(lines[: 8 * max_texts])
+    noise = sorted({" ".join(w) for r in sample.collect() for w in paragraphs(r["t"])})
+    return calibrate(docs, train([w.split(" ") for w in noise]), text_col)
+
+
+def _batches(column: pa.Array):
+    """Of some texts at a time: the paragraphs' words and the number of the text that each belongs to."""
+    lines, owner, size = [], [], 0
+    for k, text in enumerate(column.to_pylist()):
+        own = paragraphs(text or "")
+        lines += own
+        owner += [k] * len(own)
+        size += len(text or "")
+        if size > 1 << 20:
+            yield lines, owner
+            lines, owner, size = [], [], 0
+    if lines:
+        yield lines, owner
+
+
+def calibrate(docs: DataFrame, model: Model, text_col: str = "text", share: float = FALSE_SHARE) -> Model:
+    """The model with its limit raised until at most ``share`` of the corpus's paragraphs that are like no template reach it."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        m, total = shared.value, np.zeros(BINS + 1, np.int64)
+        for b in batches:
+            for lines, _ in _batches(b.column(0)):
+                top = m.probabilities(lines)[:, :-1].max(axis=1)
+                bins = (top * BINS).astype(np.int64)
+                # Only those near the limit need the comparison; the others are beneath it either way.
+                near = np.flatnonzero(top >= m.limit)
+                like = np.array([i for i in near.tolist() if m.resembles(lines[i])], np.int64)
+                total += np.bincount(bins, minlength=BINS + 1) - np.bincount(bins[like], minlength=BINS + 1)
+        yield pa.record_batch([pa.array(np.arange(BINS + 1)), pa.array(total)], ["bin", "n"])
+
+    # One row of each bin from each task.
+    counts = np.zeros(BINS + 1, np.int64)
+    for bin_, n in docs.select(text_col).mapInArrow(run, "bin long, n long").groupBy("bin").agg(F.sum("n")).collect():
+        counts[bin_] = n
+    above = counts[::-1].cumsum()[::-1]
+    allowed = np.flatnonzero(above <= share * max(1, counts.sum()))
+    least = allowed[0] / BINS if len(allowed) else 1.0
+    return replace(model, limit=max(model.limit, float(least)))
 
 
 def scan_licenses(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -242,31 +335,15 @@ def scan_licenses(docs: DataFrame, model: Model, id_col: str = "doc_id", text_co
     def run(batches):
         m = shared.value
         for b in batches:
-            ids, rows, lines, owner = [], [], [], []
-
-            def flush() -> None:
-                if lines:
-                    first = {}
-                    for k, o in enumerate(owner):
-                        first.setdefault(o, k)
-                    for k, family, p, s in _confirmed(m, lines, m.probabilities(lines)):
-                        ids.append(own[owner[k]])
-                        rows.append((k - first[owner[k]], family, round(p, 6), round(s, 6)))
-                lines.clear()
-                owner.clear()
-
+            ids, rows = [], []
             own = b.column(0).to_pylist()
-            size = 0
-            for k, text in enumerate(b.column(1).to_pylist()):
-                for line in (text or "").split("\n"):
-                    if line.strip():
-                        lines.append(words(line))
-                        owner.append(k)
-                size += len(text or "")
-                if size > 1 << 20:
-                    flush()
-                    size = 0
-            flush()
+            for lines, owner in _batches(b.column(1)):
+                first = {}
+                for k, o in enumerate(owner):
+                    first.setdefault(o, k)
+                for k, family, p, s in _confirmed(m, lines, m.probabilities(lines)):
+                    ids.append(own[owner[k]])
+                    rows.append((k - first[owner[k]], family, round(p, 6), round(s, 6)))
             if rows:
                 yield pa.record_batch(
                     [pa.array(ids, b.column(0).type), *(pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.string(), pa.float64(), pa.float64())))],
