@@ -15,6 +15,7 @@ from ..operators.shared import cut
 from ..sources.languages import language_of
 from ..streaming.watch import latest_per_burst
 from . import fixtures as X
+from .samples import SAMPLES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -154,7 +155,7 @@ def repo_map_largest(spark, sf_dir):
     term AS (SELECT p_partkey, t FROM part_of UNION ALL SELECT p_partkey, unnest(ps) FROM part_of WHERE len(ps) > 1)
     SELECT p_partkey, string_agg(t, ' ' ORDER BY t COLLATE "C") AS terms FROM term GROUP BY p_partkey""".replace(' COLLATE "C"', ""))
 def expand_identifiers(spark, sf_dir):
-    camel = F.array_join(F.transform(F.split("p_name", " "), lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.substring(x, 2, 1000))), "")
+    camel = F.array_join(F.transform(F.split("p_name", " "), lambda x: F.concat(F.upper(F.substring(x, 1, 1)), x.substr(F.lit(2), F.length(x)))), "")
     text = F.concat_ws(" ", F.regexp_replace("p_name", " ", "_"), camel, "p_brand")
     return X.table(spark, sf_dir, "part").select("p_partkey", F.array_join(F.array_sort(T.identifier_terms(text)), " ").alias("terms"))
 
@@ -545,6 +546,33 @@ def chunk_documents(spark, sf_dir):
     return c.select("file_path", "type", F.coalesce("name", "file_path").alias("name"), "start_line", "end_line", "id", F.md5("content").alias("content_md5"))
 
 
+def _literal(x) -> str:
+    return "NULL" if x is None else str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'"
+
+
+def _sample(language: str) -> None:
+    """A source of each language through the chunker; the SQL lists what it holds."""
+    source, chunks, edges = SAMPLES[language]
+    rows = [("chunk", t, n, c, a, b) for t, n, c, a, b in chunks] + [("edge", t, s, f, a, None) for t, s, f, a in edges]
+    values = ", ".join("(" + ", ".join(map(_literal, r)) + ")" for r in rows)
+
+    def run(spark, sf_dir):
+        from ..chunking.spark import chunks_of, parse_files, raw_edges_of
+
+        parsed = cut(parse_files(spark.createDataFrame([("dir/a.x", language, source)], "file_path string, language string, text string"), "samples"), "sample")
+        c = chunks_of(parsed)
+        held = c.select(F.lit("chunk").alias("kind"), "type", "name", F.get_json_object("metadata", "$.className").alias("of"), F.col("start_line").alias("first"), F.col("end_line").alias("last"))
+        start = c.select(F.col("id").alias("source_chunk_id"), F.col("start_line").alias("first"))
+        e = raw_edges_of(parsed).join(start, "source_chunk_id")
+        return held.unionAll(e.select(F.lit("edge"), "type", F.col("target_symbol"), F.col("target_file_path"), "first", F.lit(None).cast("int")))
+
+    query(f"SELECT kind, type, name, \"of\", first::INT AS first, last::INT AS last FROM (VALUES {values}) AS t(kind, type, name, \"of\", first, last)", f"extract_{language}")(run)
+
+
+for _language in SAMPLES:
+    _sample(_language)
+
+
 # ------------------------------------------------------------------ writing
 
 

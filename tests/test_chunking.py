@@ -1,12 +1,12 @@
 import json
 
 import pytest
-from samples import SAMPLES
 
 from cairn.chunking import formats
 from cairn.chunking.absorb import absorb
 from cairn.chunking.extract import extract, merge_small
 from cairn.functions.ids import chunk_id_of
+from cairn.plans.samples import SAMPLES
 from cairn.sources.languages import LANGUAGES, detect
 
 
@@ -14,9 +14,9 @@ from cairn.sources.languages import LANGUAGES, detect
 def test_declarations_and_edges(language):
     source, want, edges = SAMPLES[language]
     chunks, raw = extract(source, "dir/a.x", "p", language)
-    have = {(c.type, c.name, c.metadata.get("className")) for c in chunks}
-    assert not [w for w in want if w not in have], sorted(map(str, have))
-    assert not [e for e in edges if e not in {(r.type, r.symbol) for r in raw}]
+    assert [(c.type, c.name, c.metadata.get("className"), c.start, c.end) for c in chunks] == want
+    first = {c.id: c.start for c in chunks}
+    assert [(e.type, e.symbol, e.file, first[e.source]) for e in raw] == edges
     lines = source.split("\n")
     for c in chunks:
         assert 1 <= c.start <= c.end <= len(lines) and c.id == chunk_id_of("p", "dir/a.x", c.start)
@@ -43,19 +43,19 @@ def test_unknown_language_gives_nothing():
 def test_breadcrumb_context_and_header():
     source, _, _ = SAMPLES["typescript"]
     chunks, _ = extract(source, "a.ts", "p", "typescript")
-    greet = next(c for c in chunks if c.name == "greet")
+    greet = next(c for c in chunks if c.name == "label")
     parts = greet.context.split("\n\n")
-    assert parts[0] == "// Class: UserService\n// Method: greet" and parts[1].startswith("import {") and "export class UserService" in greet.context
-    cls = next(c for c in chunks if c.name == "UserService")
+    assert parts[0] == "// Class: Depot\n// Method: label" and parts[1].startswith("import {") and "export class Depot" in greet.context
+    cls = next(c for c in chunks if c.name == "Depot")
     assert cls.content.startswith("/** doc */") and cls.start == 4
 
 
 def test_edges_start_at_the_enclosing_function():
     source, _, _ = SAMPLES["typescript"]
     chunks, raw = extract(source, "a.ts", "p", "typescript")
-    call = next(e for e in raw if e.symbol == "formatDate")
-    assert call.source == next(c.id for c in chunks if c.name == "greet")
-    assert next(e for e in raw if e.type == "EXTENDS").file == "events"
+    call = next(e for e in raw if e.symbol == "shown")
+    assert call.source == next(c.id for c in chunks if c.name == "label")
+    assert next(e for e in raw if e.type == "EXTENDS").file == "emitter"
     chunks, raw = extract(source, "a.ts", "p", "typescript", edge_source="first_chunk")
     assert {e.source for e in raw} == {chunks[0].id}
 
