@@ -16,12 +16,13 @@ from ..functions import text as T
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
 
-def _count(words: Column, phrase: tuple[str, ...]) -> Column:
-    """How often a phrase occurs in words that a space precedes and follows; they hold letters and digits only.
+def _count(lowered: Column, phrase: tuple[str, ...]) -> Column:
+    """How often a phrase occurs as whole words with no letter or digit between them, in a lower-case text; its words hold letters and digits only.
 
-    A look-ahead, so that overlapping occurrences count.
+    All but the first letter is looked ahead at, so that overlapping occurrences count.
     """
-    return F.regexp_count(words, F.lit(f" {phrase[0]}(?={''.join(' ' + w for w in phrase[1:])} )"))
+    gap, edge = r"[^\p{L}\p{N}]+", r"(?![\p{L}\p{N}])"
+    return F.regexp_count(lowered, F.lit(rf"(?<![\p{{L}}\p{{N}}]){phrase[0]}(?={''.join(gap + w for w in phrase[1:])}{edge})"))
 
 
 def _idf(n: Column, df: Column) -> Column:
@@ -43,9 +44,8 @@ def score_texts(rows: DataFrame, query: str, id_col: str = "id", text_col: str =
     names = [f"_tf{i}" for i in range(len(phrases))]
 
     def counted(df: DataFrame) -> DataFrame:
-        words = df.select(F.col(id_col).alias("_id"), F.coalesce(T.tokens(text_col), F.array().cast("array<string>")).alias("_t"))
-        words = words.select("_id", F.size("_t").alias("_dl"), F.concat(F.lit(" "), F.array_join("_t", " "), F.lit(" ")).alias("_words"))
-        return words.select("_id", "_dl", *[_count(F.col("_words"), p).alias(n) for n, p in zip(names, phrases)])
+        low = df.select(F.col(id_col).alias("_id"), F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("_low"))
+        return low.select("_id", F.regexp_count("_low", F.lit(T.WORD)).alias("_dl"), *[_count(F.col("_low"), p).alias(n) for n, p in zip(names, phrases)])
 
     figures = counted(rows).agg(F.count("*").alias("_n"), F.avg("_dl").alias("_mean"), *[F.count_if(F.col(n) > 0).alias(f"{n}_df") for n in names])
     found = counted(rows if where is None else rows.where(where)).where(" or ".join(f"{n} > 0" for n in names))

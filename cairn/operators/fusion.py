@@ -37,10 +37,10 @@ def page(results: DataFrame, order: list[Column], limit: int, offset: int = 0) -
 
 def rerank(results: DataFrame, query: str, score: Callable[[str, list[str]], list[float]], text_col: str = "context_content", rank_col: str = "rank") -> DataFrame:
     """Orders a bounded result list by a reranker's scores; a missing score counts as 0, ties keep their order, errors propagate."""
-    rows = results.select(rank_col, text_col).orderBy(rank_col).collect()
-    got = score(query, [r[1] or "" for r in rows]) if rows else []
-    pairs = [(r[0], float(got[i]) if i < len(got) and got[i] is not None else 0.0) for i, r in enumerate(rows)]
-    spark = results.sparkSession
-    scores = spark.createDataFrame(pairs, f"`{rank_col}` int, rerank_score double")
-    joined = results.join(F.broadcast(scores), rank_col)  # as many rows as the list has
-    return ranked(joined, [F.desc("rerank_score"), F.col(rank_col)], "_new").drop(rank_col).withColumnRenamed("_new", rank_col)
+    rows = results.orderBy(rank_col).collect()  # once: neither scores nor ranks are computed again
+    got = score(query, [r[text_col] or "" for r in rows]) if rows else []
+    scores = [float(got[i]) if i < len(got) and got[i] is not None else 0.0 for i in range(len(rows))]
+    order = sorted(range(len(rows)), key=lambda i: (-scores[i], rows[i][rank_col]))
+    kept = [c for c in results.columns if c != rank_col]
+    schema = results.select(*kept).schema.add("rerank_score", "double").add(rank_col, "int")
+    return results.sparkSession.createDataFrame([(*(rows[i][c] for c in kept), scores[i], n) for n, i in enumerate(order)], schema)

@@ -39,24 +39,31 @@ def related_files(edges: DataFrame, chunks: DataFrame, direction: str) -> DataFr
     return imports.join(ends, "_import").join(chunks, "id").select("of_file", *chunks.columns)
 
 
-def neighbourhood(edges: DataFrame, center: str, depth: int = 1, limit: int | None = 20, types: tuple[str, ...] | None = None) -> DataFrame:
-    """(hop, direction, edge columns, neighbour): breadth first in both directions.
+#: Frontiers of up to so many chunks are pushed into the scan; larger ones are joined.
+PUSHED = 2000
+
+
+def neighbourhood(edges: DataFrame, center: str | list[str], depth: int = 1, limit: int | None = 20, types: tuple[str, ...] | None = None, pushed: int = PUSHED) -> DataFrame:
+    """(hop, direction, edge columns, neighbour): breadth first in both directions; of several centres, with ``seed`` before.
 
     Hop by hop, an edge is reported when its far end is met for the first time in that hop.  Order: hop, place of
     the near end in the frontier (that is, of its first mention), outgoing before incoming, edge id; ``limit``
-    cuts in this order.  Every hop joins the edges with the frontier, which Spark broadcasts while it is small and
-    shuffles when it isn't.
+    cuts in this order, for each centre.  A hop is one scan of the edges: with the frontier as a filter on both
+    ends while it is small, joined with it when it isn't.
     """
     spark = edges.sparkSession
+    seeds = [center] if isinstance(center, str) else list(center)
     pool = edges.where(by_type(types))
-    both = pool.withColumn("near", F.col("source_chunk_id")).withColumn("neighbour", F.col("target_chunk_id")).withColumn("direction", F.lit("outgoing")).unionByName(
-        pool.withColumn("near", F.col("target_chunk_id")).withColumn("neighbour", F.col("source_chunk_id")).withColumn("direction", F.lit("incoming"))
-    )
-    frontier = spark.createDataFrame([(center, "")], "near string, place string")
-    seen = frontier.select(F.col("near").alias("neighbour"))
+    turned = [F.struct(F.col(f"{a}_chunk_id").alias("near"), F.col(f"{b}_chunk_id").alias("neighbour"), F.lit(d).alias("direction")) for a, b, d in (("source", "target", "outgoing"), ("target", "source", "incoming"))]
+    frontier = spark.createDataFrame([(s, s, "") for s in seeds], "seed string, near string, place string")
+    names: list[str] | None = seeds
+    seen = frontier.select("seed", F.col("near").alias("neighbour"))
     found: DataFrame | None = None
     for hop in range(1, depth + 1):
-        ahead = both.join(frontier, "near").join(seen, "neighbour", "left_anti")
+        some = pool if names is None else pool.where(F.col("source_chunk_id").isin(names) | F.col("target_chunk_id").isin(names))
+        both = some.withColumn("_end", F.explode(F.array(*turned))).select(*edges.columns, "_end.*")
+        small = names is not None
+        ahead = both.join(F.broadcast(frontier) if small else frontier, "near").join(F.broadcast(seen) if small else seen, ["seed", "neighbour"], "left_anti")
         step = ahead.withColumn("hop", F.lit(hop))
         if hop < depth:
             step = cut(step, "hop")  # three readers: the result, the next frontier, what has been seen
@@ -66,15 +73,22 @@ def neighbourhood(edges: DataFrame, center: str, depth: int = 1, limit: int | No
         # The next frontier, in order of first mention.  A place is the path of edges that led there, which sorts in
         # that order (the mark between its parts sorts before all else), so nothing has to be numbered.
         path = F.concat("place", F.lit("\x01"), F.when(F.col("direction") == "outgoing", "0").otherwise("1"), "id")
-        first = step.groupBy("neighbour").agg(F.min(path).alias("place"))
-        frontier = first.select(F.col("neighbour").alias("near"), "place")
-        seen = seen.unionAll(first.select("neighbour"))
+        frontier = step.groupBy("seed", "neighbour").agg(F.min(path).alias("place")).select("seed", F.col("neighbour").alias("near"), "place")
+        few = frontier.limit(pushed + 1).collect()
+        names = sorted({r["near"] for r in few}) if len(few) <= pushed else None
+        if names is not None:
+            frontier = spark.createDataFrame([tuple(r) for r in few], frontier.schema)
+        seen = seen.unionAll(frontier.select("seed", F.col("near").alias("neighbour")))
     order = [F.col("hop"), F.col("place"), F.desc("direction"), F.col("id"), F.col("neighbour")]  # "outgoing" sorts after "incoming"
     out = ["hop", "direction", "neighbour", *edges.columns]
+    if not isinstance(center, str):
+        out = ["seed", *out]
     if limit is None:
         return found.select(*out)
-    few = found.orderBy(*order).limit(limit)
-    return few.withColumn("pos", F.row_number().over(Window.orderBy(*order)) - 1).select("pos", *out)
+    if isinstance(center, str):
+        few = found.orderBy(*order).limit(limit)
+        return few.withColumn("pos", F.row_number().over(Window.orderBy(*order)) - 1).select("pos", *out)
+    return found.withColumn("pos", F.row_number().over(Window.partitionBy("seed").orderBy(*order)) - 1).where(F.col("pos") < limit).select("pos", *out)
 
 
 def defines(chunks: DataFrame) -> DataFrame:

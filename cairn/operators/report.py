@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..model import SYMBOL_TYPES
@@ -13,18 +13,22 @@ def count_by(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(column).agg(F.count("*").alias("n"))
 
 
-def _counts(df: DataFrame, column: str, name: str) -> DataFrame:
-    return count_by(df, column).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(column, "n")))).alias(name))
-
-
 def stats(chunks: DataFrame, edges: DataFrame, project: str) -> DataFrame:
-    """One row: totals, and counts by language, by chunk type and by edge type as maps."""
-    totals = chunks.agg(F.count("*").alias("total_chunks"), F.count_distinct("file_path").alias("total_files"))
-    parts = [totals, edges.agg(F.count("*").alias("total_edges")), _counts(chunks, "language", "by_language"), _counts(chunks, "type", "by_type"), _counts(edges, "type", "by_edge_type")]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.crossJoin(p)
-    return out.select(F.lit(project).alias("project_id"), "*")
+    """One row: totals, and counts by language, by chunk type and by edge type as maps.  Chunks and edges are read once each."""
+    kinds = ["language", "type", "file_path"]
+    sets = chunks.groupingSets([[k] for k in kinds], *kinds).agg(F.grouping_id().alias("g"), F.count("*").alias("n"))
+    of = {"language": 0b011, "type": 0b101, "file_path": 0b110}  # a bit is set for what isn't grouped by
+
+    def counts(name: str, condition: Column) -> Column:
+        return F.map_from_entries(F.array_sort(F.collect_list(F.when(condition, F.struct(name, "n")))))
+
+    totals = sets.agg(
+        F.coalesce(F.sum(F.when(F.col("g") == of["type"], F.col("n"))), F.lit(0)).alias("total_chunks"), F.count_if((F.col("g") == of["file_path"]) & F.col("file_path").isNotNull()).alias("total_files"),
+        counts("language", F.col("g") == of["language"]).alias("by_language"), counts("type", F.col("g") == of["type"]).alias("by_type"),
+    )
+    links = count_by(edges, "type").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total_edges"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("type", "n")))).alias("by_edge_type"))
+    # One row each.
+    return totals.crossJoin(links).select(F.lit(project).alias("project_id"), "total_chunks", "total_files", "total_edges", "by_language", "by_type", "by_edge_type")
 
 
 def list_files(chunks: DataFrame) -> DataFrame:

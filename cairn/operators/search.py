@@ -54,14 +54,15 @@ class Searcher:
         return self._shown(self.store.search_text(query, ALONE * options.limit, **self._filters(options)), "lexical", options.limit)
 
     def hybrid(self, query: str, options: SearchOptions = SearchOptions()) -> DataFrame:
-        """Both legs by reciprocal rank, then the reranker over all that was fused.  A leg that can't be planned counts as empty."""
+        """Both legs by reciprocal rank, then the reranker over all that was fused.  A leg that fails, when planned or when run, counts as empty."""
         n, legs = options.limit, []
         for name, leg in (("semantic", lambda: self.store.search_vector(self._vector(query), LEG * n, **self._filters(options))), ("lexical", lambda: self.store.search_text(query, LEG * n, **self._filters(options)))):
+            rows = []
             try:
-                legs.append(leg().select("id", "rank"))
+                rows = [(r["id"], r["rank"]) for r in leg().select("id", "rank").collect()]  # at most LEG times the limit
             except Exception:
                 log.exception("the %s leg failed", name)
-                legs.append(self.store.chunks.limit(0).select("id", F.lit(0).alias("rank")))
+            legs.append(self.store.snapshots.spark.createDataFrame(rows, "id string, rank int"))
         fused = fusion.fuse(*legs, k=options.rrf_k, limit=FUSED * n)
         shown = self._shown(fused, "hybrid", FUSED * n)
         if self.reranker is not None and options.rerank:
@@ -77,13 +78,14 @@ class Searcher:
         seen, more = {h[0] for h in hits}, []
         if len(hits) >= options.limit:
             return base
-        for h in hits:
+        around = graph.neighbourhood(self.store.edges, [h[0] for h in hits], options.graph_depth, 5, options.graph_relation_types).select("seed", "pos", "neighbour").collect()  # five of each hit
+        place = {h[0]: h[1] for h in hits}
+        for row in sorted(around, key=lambda r: (place[r["seed"]], r["pos"])):
             if len(seen) >= 3 * options.limit:
                 break
-            for row in graph.neighbourhood(self.store.edges, h[0], options.graph_depth, 5, options.graph_relation_types).orderBy("pos").collect():
-                if row["neighbour"] not in seen:
-                    seen.add(row["neighbour"])
-                    more.append((row["neighbour"], len(hits) + len(more)))
+            if row["neighbour"] not in seen:
+                seen.add(row["neighbour"])
+                more.append((row["neighbour"], len(hits) + len(more)))
         extra = self.store.snapshots.spark.createDataFrame(more, "id string, rank int")
         match = base.select("match_type").first()
         added = self.store.chunks.join(F.broadcast(extra), "id").withColumn("match_type", F.lit(match[0] if match else "lexical")).select(base.columns)

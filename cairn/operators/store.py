@@ -4,13 +4,20 @@ Every table is split into buckets by a hash of its file path.  A snapshot is a l
 commit writes the touched buckets anew, names the others again, and then replaces the pointer to the current list in
 one rename.  ``buckets`` is chosen for the project's size when its index is made.  Readers of an older list keep their files until ``compact``.  Changing a few files of a
 large project thus costs as much as the buckets they lie in.
+
+Beside the chunks lie their postings, sorted by term within a bucket and written with the buckets of the chunks they belong to, so
+that a text search reads a few pages of each bucket and no text.  Vectors get an inverted file from ``ANN_ROWS`` rows on, made by
+``optimize`` and used as long as the vectors are those it was made from; a search through it is exact.  Ids have Parquet Bloom
+filters, so look-ups by id, by an edge's source and by its target pass over row groups that can't hold them.
 """
 
 from __future__ import annotations
 
+import base64
 import json
 import uuid
 
+import numpy as np
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,10 +25,16 @@ from pyspark.sql import functions as F
 from .. import model
 from . import bm25, diff, graph, knn, report
 from .filters import chunk_filter
+from .shared import cut
 
 BUCKETS = 64
-TABLES = {"files": model.FILES, "chunks": model.CHUNKS, "raw_edges": model.RAW_EDGES, "edges": model.EDGES, "vectors": model.VECTORS + ", file_path string"}
+TABLES = {
+    "files": model.FILES, "chunks": model.CHUNKS, "raw_edges": model.RAW_EDGES, "edges": model.EDGES, "vectors": model.VECTORS + ", file_path string",
+    "postings": "term string, chunk_id string, tf int, positions array<int>, file_path string", "lengths": "chunk_id string, dl int, file_path string",
+}
 _PATH = {"raw_edges": "source_file_path", "edges": "source_file_path"}
+_SORTED = {"postings": ["term"], "chunks": ["id"], "edges": ["source_chunk_id"], "vectors": ["chunk_id"], "lengths": ["chunk_id"]}
+_BLOOM = {"chunks": ["id"], "edges": ["id", "source_chunk_id", "target_chunk_id"], "postings": ["term"]}
 
 
 class DimensionMismatch(ValueError):
@@ -58,10 +71,10 @@ class Snapshots:
     def _list(self, name: str) -> dict[str, str]:
         return (self.read_json("CURRENT", {}) or {}).get(name, {})
 
-    def table(self, name: str) -> DataFrame:
-        """The current snapshot; an empty table before the first commit."""
+    def table(self, name: str, only: list[int] | None = None) -> DataFrame:
+        """The current snapshot, or some buckets of it; an empty table before the first commit."""
         schema = TABLES[name]
-        folders = sorted(set(self._list(name).values()))
+        folders = sorted({f for b, f in self._list(name).items() if only is None or int(b) in only})
         if not folders:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*[f"{self.prefix}{self.root}/{f}" for f in folders])
@@ -71,20 +84,38 @@ class Snapshots:
 
     def commit(self, tables: dict[str, DataFrame], touched: list[int] | None = None) -> None:
         """Replaces the touched buckets (all by default) of the given tables by the given rows, at once."""
-        current = self.read_json("CURRENT", {}) or {}
+        if "chunks" in tables:
+            tables = tables | self._text_index(tables["chunks"])
+        written: dict[str, dict[str, str]] = {}
         for name, df in tables.items():
             column = _PATH.get(name, "file_path")
             folder = f"{name}/{uuid.uuid4().hex}"
-            rows = df.withColumn("_bucket", self.bucket(column))
+            rows = df.select(*[f.split(" ")[0] for f in TABLES[name].split(", ")]).withColumn("_bucket", self.bucket(column))
             # Small buckets share a task and large ones are split, by their measured sizes.
-            rows.hint("rebalance", "_bucket").sortWithinPartitions("_bucket", column).write.partitionBy("_bucket").parquet(f"{self.prefix}{self.root}/{folder}")
-            listed = {} if touched is None else {b: f for b, f in current.get(name, {}).items() if int(b) not in touched}
-            for info in self.system.get_file_info(fs.FileSelector(f"{self.root}/{folder}")):
-                if info.base_name.startswith("_bucket="):
-                    listed[info.base_name[8:]] = f"{folder}/{info.base_name}"
-            current[name] = listed
+            out = rows.hint("rebalance", "_bucket").sortWithinPartitions("_bucket", *_SORTED.get(name, [column])).write.partitionBy("_bucket")
+            for c in _BLOOM.get(name, []):
+                out = out.option(f"parquet.bloom.filter.enabled#{c}", "true")
+            out.parquet(f"{self.prefix}{self.root}/{folder}")
+            written[name] = {i.base_name[8:]: f"{folder}/{i.base_name}" for i in self.system.get_file_info(fs.FileSelector(f"{self.root}/{folder}")) if i.base_name.startswith("_bucket=")}
+        # Only here is the list read that the new one replaces: the time in which another writer could come between is that of two renames.
+        current = self.read_json("CURRENT", {}) or {}
+        for name, listed in written.items():
+            current[name] = ({} if touched is None else {b: f for b, f in current.get(name, {}).items() if int(b) not in touched}) | listed
         self.write_json("CURRENT", current)
 
+    def _text_index(self, chunks: DataFrame) -> dict[str, DataFrame]:
+        """Postings and lengths of the chunks that are being written."""
+        postings, lengths = bm25.build_postings(chunks)
+        paths = chunks.select(F.col("id").alias("chunk_id"), "file_path").distinct()
+        return {"postings": postings.join(paths, "chunk_id"), "lengths": lengths.distinct().join(paths, "chunk_id")}
+
+    def buckets_of(self, *frames: tuple[DataFrame, str]) -> list[int]:
+        """The buckets that the rows of some frames lie in, by their path columns: at most ``buckets`` numbers."""
+        found: set[int] = set()
+        for df, column in frames:
+            found |= {r[0] for r in df.select(self.bucket(column).alias("b")).distinct().collect()}
+        return sorted(found)
+
     def replace_files(self, changed: DataFrame, tables: dict[str, DataFrame]) -> None:
         """The rows of the changed files (file_path) are dropped from the given tables and the new ones put in, bucket by bucket."""
         touched = sorted(r[0] for r in changed.select(self.bucket().alias("b")).distinct().collect())  # at most ``buckets`` numbers
@@ -93,7 +124,7 @@ class Snapshots:
         out = {}
         for name, new in tables.items():
             column = _PATH.get(name, "file_path")
-            old = self.table(name).where(self.bucket(column).isin(touched))
+            old = self.table(name, touched)
             kept = old.join(changed.select(F.col("file_path").alias(column)), column, "left_anti").select(old.columns)
             out[name] = kept.unionByName(new.select(old.columns))
         self.commit(out, touched)
@@ -146,56 +177,108 @@ class IndexStore:
     # -- writing
 
     def upsert(self, chunks: DataFrame, vectors: DataFrame | None = None) -> None:
-        """Chunks replace those of their ids; without vectors the old ones of these ids go as well."""
+        """Chunks replace those of their ids; without vectors the old ones of these ids go as well.  Buckets without such chunks stay as they are."""
         from .filters import one_per
 
-        chunks = one_per(chunks, "id", F.desc("ord"))
-        merged = diff.upsert(self.chunks, chunks)
-        tables = {"chunks": merged}
+        s = self.snapshots
+        chunks = cut(one_per(chunks, "id", F.desc("ord")), "upserted")
+        touched = s.buckets_of((chunks, "file_path"), (self.chunks.join(chunks.select("id"), "id", "left_semi"), "file_path"))
+        merged = diff.upsert(s.table("chunks", touched), chunks)
         paths = chunks.select(F.col("id").alias("chunk_id"), "file_path")
-        rest = self.vectors.join(paths.select("chunk_id"), "chunk_id", "left_anti").select("chunk_id", "embedding", "file_path")
-        tables["vectors"] = rest if vectors is None else rest.unionByName(vectors.join(paths, "chunk_id").select("chunk_id", "embedding", "file_path"))
-        self.snapshots.commit(tables)
+        rest = s.table("vectors", touched).join(paths.select("chunk_id"), "chunk_id", "left_anti").select("chunk_id", "embedding", "file_path")
+        new = rest if vectors is None else rest.unionByName(vectors.join(paths, "chunk_id").select("chunk_id", "embedding", "file_path"))
+        s.commit({"chunks": merged, "vectors": new}, touched)
 
     def delete(self, ids: list[str]) -> None:
-        gone = self.snapshots.spark.createDataFrame([(i,) for i in ids], "id string")
-        self.snapshots.commit({"chunks": diff.delete(self.chunks, gone), "vectors": diff.delete(self.vectors, gone.withColumnRenamed("id", "chunk_id"), "chunk_id")})
+        s = self.snapshots
+        gone = s.spark.createDataFrame([(i,) for i in ids], "id string")
+        touched = s.buckets_of((self.get(ids), "file_path"))
+        if touched:
+            s.commit({"chunks": diff.delete(s.table("chunks", touched), gone), "vectors": diff.delete(s.table("vectors", touched), gone.withColumnRenamed("id", "chunk_id"), "chunk_id")}, touched)
 
     def delete_by_file(self, file_path: str) -> None:
         changed = self.snapshots.spark.createDataFrame([(file_path,)], "file_path string")
         self.snapshots.replace_files(changed, {n: self.snapshots.table(n).limit(0) for n in ("chunks", "vectors")})
 
     def upsert_edges(self, edges: DataFrame) -> None:
-        self.snapshots.commit({"edges": diff.upsert(self.edges, edges.dropDuplicates(["id"]))})
+        s = self.snapshots
+        edges = cut(edges.dropDuplicates(["id"]), "upserted")
+        touched = s.buckets_of((edges, "source_file_path"), (self.edges.join(edges.select("id"), "id", "left_semi"), "source_file_path"))
+        s.commit({"edges": diff.upsert(s.table("edges", touched), edges)}, touched)
 
     def delete_edges_by_file(self, file_path: str) -> None:
         changed = self.snapshots.spark.createDataFrame([(file_path,)], "file_path string")
         self.snapshots.replace_files(changed, {"edges": self.edges.limit(0)})
 
     def delete_edges_by_target(self, ids: list[str]) -> None:
-        gone = self.snapshots.spark.createDataFrame([(i,) for i in ids], "target_chunk_id string")
-        self.snapshots.commit({"edges": diff.delete(self.edges, gone, "target_chunk_id")})
-
-    def optimize(self) -> None:
-        self.snapshots.compact()
+        s = self.snapshots
+        gone = s.spark.createDataFrame([(i,) for i in ids], "target_chunk_id string")
+        touched = s.buckets_of((self.edges.where(F.col("target_chunk_id").isin(list(ids))), "source_file_path"))
+        if touched:
+            s.commit({"edges": diff.delete(s.table("edges", touched), gone, "target_chunk_id")}, touched)
+
+    def optimize(self, ann_rows: int = knn.ANN_ROWS) -> None:
+        """Drops what no list names any more and, from ``ann_rows`` vectors on, makes the inverted file anew if vectors changed."""
+        s = self.snapshots
+        s.compact()
+        version = self._vectors_version()
+        known = s.read_json("ANN") or {}
+        if known.get("version") == version:
+            return
+        rows = self.vectors.count()
+        if rows < max(1, ann_rows):
+            s.write_json("ANN", {})
+        else:
+            centres = knn.fit_cells(self.vectors, max(8, knn.cells_for(rows)))
+            folder = f"ann/{uuid.uuid4().hex}"
+            path = f"{s.prefix}{s.root}/{folder}"
+            knn.assign_cells(self.vectors, centres).hint("rebalance", "cell").write.partitionBy("cell").parquet(path)
+            assigned = s.spark.read.schema("chunk_id string, embedding array<float>, cell int").parquet(path)
+            radii = knn.cell_radii(assigned, centres)
+            pack = lambda a: base64.b64encode(np.asarray(a, "<f8").tobytes()).decode()
+            s.write_json("ANN", {"version": version, "folder": folder, "centres": pack(centres), "shape": list(centres.shape), "radii": pack(radii)})
+        if known.get("folder"):
+            s.system.delete_dir(f"{s.root}/{known['folder']}")
+
+    def _vectors_version(self) -> str:
+        return json.dumps(sorted(self.snapshots._list("vectors").items()))
 
     # -- reading
 
-    def search_vector(self, query: list[float], limit: int = 20, language=None, types=None, file_path=None) -> DataFrame:
-        """(id, dist, rank): filters first, then the nearest."""
-        pool = self.vectors
-        if (language, types, file_path) != (None, None, None):
-            pool = pool.join(self.chunks.where(chunk_filter(language, types, file_path)).select(F.col("id").alias("chunk_id")), "chunk_id", "left_semi")
-        return knn.nearest(pool, query, limit).withColumnRenamed("chunk_id", "id")
+    def search_vector(self, query: list[float], limit: int = 20, language=None, types=None, file_path=None, post_filter: int | None = None) -> DataFrame:
+        """(id, dist, rank): filters first, then the nearest.
+
+        With ``post_filter`` the filters are applied to that many times ``limit`` nearest instead, which may leave fewer than ``limit``.
+        """
+        filtered = (language, types, file_path) != (None, None, None)
+        admitted = self.chunks.where(chunk_filter(language, types, file_path)).select(F.col("id").alias("chunk_id")) if filtered else None
+        if filtered and post_filter is None:
+            return knn.nearest(self.vectors.join(admitted, "chunk_id", "left_semi"), query, limit).withColumnRenamed("chunk_id", "id")
+        near = self._nearest(query, limit * (post_filter if filtered else 1))
+        if filtered:
+            near = bm25.ranked(near.join(admitted, "chunk_id", "left_semi").orderBy("rank").limit(limit), [F.col("rank")], "_r").drop("rank").withColumnRenamed("_r", "rank")
+        return near.withColumnRenamed("chunk_id", "id")
+
+    def _nearest(self, query: list[float], limit: int) -> DataFrame:
+        s = self.snapshots
+        ann = s.read_json("ANN") or {}
+        if not ann or ann["version"] != self._vectors_version():
+            return knn.nearest(self.vectors, query, limit)
+        unpack = lambda a: np.frombuffer(base64.b64decode(a), "<f8")
+        assigned = s.spark.read.schema("chunk_id string, embedding array<float>, cell int").parquet(f"{s.prefix}{s.root}/{ann['folder']}")
+        return knn.nearest_in_cells(assigned, unpack(ann["centres"]).reshape(ann["shape"]), unpack(ann["radii"]), query, limit)
 
     def search_text(self, query: str, limit: int = 20, language=None, types=None, file_path=None) -> DataFrame:
-        """(id, score, rank) by BM25; a query without words is looked for literally."""
+        """(id, score, rank) by BM25 from the postings; a query without words is looked for literally."""
         from ..functions.text import query_phrases
 
         where = chunk_filter(language, types, file_path)
         if not query_phrases(query):
             return bm25.like_search(self.chunks.where(where), query, limit).select("id", F.lit(0.0).alias("score"), "rank")
-        return bm25.top_k(bm25.score_texts(self.chunks, query, where=where), limit)
+        admitted = None if (language, types, file_path) == (None, None, None) else self.chunks.where(where).select(F.col("id").alias("chunk_id"))
+        scored = bm25.score_postings(self.snapshots.table("postings"), self.snapshots.table("lengths"), query, admitted).withColumnRenamed("chunk_id", "id")
+        # Rounded, so that the order of a sum decides no tie.
+        return bm25.top_k(scored.withColumn("score", F.round("score", 9)), limit)
 
     def get(self, ids: list[str]) -> DataFrame:
         return self.chunks.where(F.col("id").isin(ids))

@@ -17,7 +17,7 @@ from ..functions.ids import project_id
 from ..operators import diff, graph, report, resolve
 from ..operators.filters import one_per
 from ..operators.search import Searcher
-from ..operators.shared import cut
+from ..operators.shared import cut, shared_dir
 from ..operators.store import IndexStore, Snapshots
 from ..sources import scan, settings
 from ..streaming.lock import IndexLock
@@ -73,8 +73,8 @@ class Indexer:
         """The new rows of every table for some files, each computed from one written parse."""
         parsed = parse_files(files, self.project, self.max_tokens, self.min_tokens, self.edge_source)
         # Parsing is Python; it is done once for all tables.
-        folder = f"{self._opened().snapshots.prefix}{self._opened().snapshots.root}/parsed"
-        parsed.write.mode("overwrite").parquet(folder)
+        folder = shared_dir(self.spark, "parsed")
+        parsed.write.parquet(folder)
         parsed = self.spark.read.schema(parsed.schema).parquet(folder)
         chunks = one_per(chunks_of(parsed), "id", F.desc("ord"))
         defined = graph.defines(chunks).select("source_chunk_id", "source_file_path", F.lit("DEFINES").alias("type"), F.col("target_chunk_id").alias("target_symbol"), F.lit(None).cast("string").alias("target_file_path"), F.lit("{}").alias("metadata"), F.lit(1 << 30).alias("ord"))
