@@ -141,8 +141,8 @@ def scan_language(text: str, language: str) -> Extracted:
                             edges.append(RawEdge(relation, base, hints.get(base), n.start + 1))
     if spec.calls:
         declared = {n.name_at for n in nodes}
-        # Method signatures of a Go interface and constructors in a Kotlin class's head are no calls.
-        quiet = [(n.at, n.stop) for n in nodes if language == "go" and n.type == "interface"] + [(n.at, n.at + len(n.head)) for n in nodes if language == "kotlin" and n.type == "class"]
+        # Signatures in an interface and constructors in a Kotlin class's head are no calls.
+        quiet = [(n.at, n.stop) for n in nodes if language in ("go", "typescript") and n.type == "interface"] + [(n.at, n.at + len(n.head)) for n in nodes if language == "kotlin" and n.type == "class"]
         for m in re.finditer(spec.calls, source.masked, re.M):
             callee, line = m["callee"], source.row(m.start("callee"))
             if callee in KEYWORDS or m.start("callee") in declared or _DECLARES.search(source.masked[source.starts[line] : m.start("callee")]) or language == "clojure" and callee.startswith(("def", "ns", "let", "fn")):

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .bm25 import ranked
 
@@ -42,5 +43,5 @@ def rerank(results: DataFrame, query: str, score: Callable[[str, list[str]], lis
     scores = [float(got[i]) if i < len(got) and got[i] is not None else 0.0 for i in range(len(rows))]
     order = sorted(range(len(rows)), key=lambda i: (-scores[i], rows[i][rank_col]))
     kept = [c for c in results.columns if c != rank_col]
-    schema = results.select(*kept).schema.add("rerank_score", "double").add(rank_col, "int")
+    schema = T.StructType([*results.select(*kept).schema, T.StructField("rerank_score", T.DoubleType()), T.StructField(rank_col, T.IntegerType())])
     return results.sparkSession.createDataFrame([(*(rows[i][c] for c in kept), scores[i], n) for n, i in enumerate(order)], schema)

@@ -265,7 +265,7 @@ def knn_each(spark, sf_dir):
     return knn.nearest_each(e, e, 5, "vec_id", "embedding").select("query", "id", F.round("dist", 6).alias("dist"), F.col("rank").cast("long").alias("rank"))
 
 
-@query()
+@query(ORACLES["knn_topk"])
 def knn_inverted_file(spark, sf_dir):
     """The exact neighbours, through cells: one is passed over only if its radius proves that none is inside."""
     e = X.table(spark, sf_dir, "embeddings")
