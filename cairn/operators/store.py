@@ -16,6 +16,7 @@ from __future__ import annotations
 import base64
 import json
 import uuid
+from abc import ABC, abstractmethod
 
 import numpy as np
 from pyarrow import fs
@@ -149,7 +150,48 @@ class Snapshots:
         self.system.delete_dir_contents(self.root, missing_dir_ok=True)
 
 
-class IndexStore:
+class VectorStore(ABC):
+    """Chunks and vectors: what another back end has to offer."""
+
+    @abstractmethod
+    def upsert(self, chunks: DataFrame, vectors: DataFrame | None = None) -> None: ...
+    @abstractmethod
+    def delete(self, ids: list[str]) -> None: ...
+    @abstractmethod
+    def delete_by_file(self, file_path: str) -> None: ...
+    @abstractmethod
+    def search_vector(self, query: list[float], limit: int = 20, language=None, types=None, file_path=None) -> DataFrame: ...
+    @abstractmethod
+    def search_text(self, query: str, limit: int = 20, language=None, types=None, file_path=None) -> DataFrame: ...
+    @abstractmethod
+    def get(self, ids: list[str]) -> DataFrame: ...
+    @abstractmethod
+    def list_files(self) -> DataFrame: ...
+    @abstractmethod
+    def count(self) -> int: ...
+
+    def optimize(self) -> None:
+        """Nothing to do, unless a back end has something."""
+
+
+class GraphStore(ABC):
+    """Edges."""
+
+    @abstractmethod
+    def upsert_edges(self, edges: DataFrame) -> None: ...
+    @abstractmethod
+    def delete_edges_by_file(self, file_path: str) -> None: ...
+    @abstractmethod
+    def delete_edges_by_target(self, ids: list[str]) -> None: ...
+    @abstractmethod
+    def outgoing(self, chunk: str, types=None) -> DataFrame: ...
+    @abstractmethod
+    def incoming(self, chunk: str, types=None) -> DataFrame: ...
+    @abstractmethod
+    def count_edges(self) -> int: ...
+
+
+class IndexStore(VectorStore, GraphStore):
     """Chunks, vectors and edges of one project, with the searches on them."""
 
     def __init__(self, snapshots: Snapshots, dimensions: int | None = None, model_id: str | None = None):
@@ -312,3 +354,14 @@ class IndexStore:
 
     def count_edges_by_type(self) -> DataFrame:
         return report.count_by(self.edges, "type")
+
+
+#: Back ends by name: functions of (spark, storage, buckets, dimensions, model) that give a store.
+BACK_ENDS = {"parquet": lambda spark, storage, buckets, dimensions, model_id: IndexStore(Snapshots(spark, storage, buckets), dimensions, model_id)}
+
+
+def open_store(spark: SparkSession, storage: str, back_end: str = "parquet", buckets: int = BUCKETS, dimensions: int | None = None, model_id: str | None = None):
+    """A store of the named back end; others are added to ``BACK_ENDS``."""
+    if back_end not in BACK_ENDS:
+        raise ValueError(f"unknown back end {back_end}; there are {', '.join(sorted(BACK_ENDS))}")
+    return BACK_ENDS[back_end](spark, storage, buckets, dimensions, model_id)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import logging
 import os
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,7 +21,7 @@ from ..operators.search import Searcher
 from ..operators.shared import cut, shared_dir
 from ..operators.store import IndexStore, Snapshots
 from ..sources import scan, settings
-from ..streaming.lock import IndexLock
+from ..streaming.lock import IndexLock, SharedLock
 
 log = logging.getLogger("cairn")
 
@@ -29,11 +30,15 @@ class NotInitialised(RuntimeError):
     pass
 
 
+class Busy(RuntimeError):
+    """The project is being indexed already."""
+
+
 class Indexer:
     """``storage`` may lie on any shared file system; the lock lies beside a local one."""
 
     def __init__(self, spark: SparkSession, root: str, storage: str | None = None, embedder: Embedder | None = None, reranker: Callable | None = None, include: list[str] | None = None, exclude: list[str] | None = None,
-                 max_chunk_tokens: int = MAX_TOKENS, min_chunk_tokens: int = 0, edge_source: str = "enclosing", on_event: Callable[[dict], None] | None = None, buckets: int = 64):
+                 max_chunk_tokens: int = MAX_TOKENS, min_chunk_tokens: int = 0, edge_source: str = "enclosing", on_event: Callable[[dict], None] | None = None, buckets: int = 64, poll_seconds: float = 10.0):
         self.spark, self.root = spark, os.path.abspath(root) if "://" not in root else root
         self.storage = storage or os.path.join(self.root, ".cairn")
         self.project = project_id(self.root)
@@ -41,16 +46,18 @@ class Indexer:
         self.include, self.exclude = include, [*(exclude or []), ".cairn/**", os.path.relpath(self.storage, self.root) + "/**" if "://" not in self.storage else ".cairn/**"]
         self.max_tokens, self.min_tokens, self.edge_source, self.on_event, self.buckets = max_chunk_tokens, min_chunk_tokens, edge_source, on_event, buckets
         self.store: IndexStore | None = None
-        self.lock = IndexLock(self.storage) if "://" not in self.storage else None
+        self.lock = IndexLock(self.storage) if "://" not in self.storage else SharedLock(spark, self.storage)
+        self.poll_seconds, self._indexing, self._closed = poll_seconds, threading.Lock(), threading.Event()
 
     @property
     def is_leader(self) -> bool:
-        return self.lock is None or self.lock.held
+        return self.lock.held
 
     def initialize(self) -> None:
         """Opens the store.  Another embedding model or size than the index has starts it afresh."""
-        if self.lock:
-            self.lock.acquire()
+        self._closed.clear()
+        if not self.lock.acquire():
+            threading.Thread(target=self._follow, daemon=True).start()
         snapshots = Snapshots(self.spark, self.storage, self.buckets)
         meta = snapshots.read_json("META") or {}
         e = self.embedder
@@ -60,6 +67,21 @@ class Indexer:
             snapshots.write_json("META", {})
         self.store = IndexStore(snapshots, e.dimensions if e else None, e.model_id if e else None)
         self.searcher = Searcher(self.store, e, self.reranker)
+        if warm_up := getattr(e, "warm_up", None):
+            warm_up()
+
+    def _follow(self) -> None:
+        """Of a process that found the writer's place taken: it asks again and again, and once it leads brings the index up to date and goes on watching."""
+        while not self._closed.wait(self.poll_seconds):
+            if self.lock.acquire():
+                log.info("this process is the writer now")
+                try:
+                    self.index_project()
+                    if wanted := getattr(self, "_wanted", None):
+                        self.start_watching(*wanted)
+                except Exception:
+                    log.exception("indexing after taking over failed")
+                return
 
     def _opened(self) -> IndexStore:
         if self.store is None:
@@ -96,6 +118,15 @@ class Indexer:
         store = self._opened()
         if not self.is_leader:
             return {"project_id": self.project, "total_chunks": 0, "total_files": 0, "total_edges": 0}
+        if not self._indexing.acquire(blocking=False):
+            raise Busy("index_project() is running already")
+        try:
+            return self._index()
+        finally:
+            self._indexing.release()
+
+    def _index(self) -> dict:
+        store = self._opened()
         files = self._scan()
         changes = diff.manifest_diff(scan.manifest(files), store.snapshots.table("files")).where("status <> 'unchanged'")
         changes = cut(changes, "changes")
@@ -141,6 +172,10 @@ class Indexer:
         return self.index_files([], [path])
 
     def start_watching(self, checkpoint: str, debounce_ms: int = 500):
+        """Watches the folder; a follower starts to once it leads."""
+        if not self.is_leader:
+            self._wanted = (checkpoint, debounce_ms)
+            return None
         from ..streaming.watch import watch
 
         self._query = watch(self.spark, self, self.root, checkpoint, debounce_ms, self.on_event, r"(^|/)\.")
@@ -224,7 +259,7 @@ class Indexer:
         return report.recall_at(self.spark.createDataFrame(ranks, "query string, hit_rank int"), ks)
 
     def close(self) -> None:
+        self._closed.set()
         self.stop_watching()
-        if self.lock:
-            self.lock.release()
+        self.lock.release()
         self.store = None

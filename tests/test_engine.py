@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from cairn.embedding.base import HashEmbedder
 from cairn.embedding.services import RERANKERS, SERVICES, ServiceEmbedder, ServiceError, ServiceReranker, dig, from_settings, with_retries
 from cairn.model import ContextOptions, RepoMapOptions, SearchOptions
-from cairn.operators.store import DimensionMismatch, IndexStore, Snapshots
-from cairn.plans.indexer import Indexer, NotInitialised
-from cairn.streaming.lock import IndexLock
-from cairn.streaming.watch import FolderChanges, latest_per_burst
+from cairn.operators.store import DimensionMismatch, GraphStore, IndexStore, Snapshots, VectorStore, open_store
+from cairn.plans.indexer import Busy, Indexer, NotInitialised
+from cairn.streaming.lock import IndexLock, SharedLock
+from cairn.streaming.watch import FolderChanges, _Listing, latest_per_burst
 
 FILES = {
     "utils.ts": "export function formatDate(d: Date): string {\n  return d.toISOString();\n}\nexport function parseDate(s: string): Date {\n  return new Date(s);\n}\n",
@@ -136,7 +136,7 @@ def test_stream_of_changes(spark, tmp_path):
     (root / "old.txt").write_text("o")
     spark.dataSource.register(FolderChanges)
     seen = []
-    query = spark.readStream.format("cairn_changes").load(str(root)).writeStream.foreachBatch(lambda df, _: seen.extend((r["path"], r["event"]) for r in df.collect())).option("checkpointLocation", str(tmp_path / "c")).trigger(processingTime="200 milliseconds").start()
+    query = spark.readStream.format("cairn_changes").option("states", str(tmp_path / "states")).load(str(root)).writeStream.foreachBatch(lambda df, _: seen.extend((r["path"], r["event"]) for r in df.collect())).option("checkpointLocation", str(tmp_path / "c")).trigger(processingTime="200 milliseconds").start()
 
     def wait(what):
         end = time.time() + 60
@@ -242,3 +242,96 @@ def test_rerankers_map_scores_to_their_texts(name):
         return out
 
     assert ServiceReranker(name, "m", "k", transport=send)("q", ["a", "b" * 50_000]) == [0.1, 0.9]
+
+
+# ------------------------------------------------------------------ leading, watching, back ends
+
+
+def test_a_lease_on_shared_storage(spark, tmp_path):
+    a, b = (SharedLock(spark, f"file://{tmp_path}/s", lease=2.0) for _ in range(2))
+    assert a.acquire() and a.acquire() and not b.acquire()
+    time.sleep(3)
+    assert not b.acquire()  # it was renewed
+    a._stop.set()  # a holder that has gone
+    time.sleep(4)
+    assert b.acquire() and b.held
+    a.release()
+    assert b._content() == b.owner
+    b.release()
+    assert a.acquire()
+    a.release()
+
+
+def test_a_follower_takes_over(spark, tmp_path):
+    root = tmp_path / "p"
+    root.mkdir()
+    (root / "a.py").write_text("def one():\n    return 1\n")
+    lead, follow = (Indexer(spark, str(root), f"file://{tmp_path}/index", buckets=2, poll_seconds=0.3) for _ in range(2))
+    lead.initialize()
+    follow.initialize()
+    assert lead.is_leader and not follow.is_leader and follow.index_project()["total_chunks"] == 0 and follow.start_watching(str(tmp_path / "c")) is None
+    with lead._indexing, pytest.raises(Busy):
+        lead.index_project()
+    follow._wanted = None
+    lead.close()
+    end = time.time() + 60
+    while time.time() < end and not (follow.is_leader and follow.store.count()):
+        time.sleep(0.3)
+    assert follow.is_leader and follow.list_files() == ["a.py"]
+    follow.close()
+
+
+def test_offsets_are_small_and_files_settle(tmp_path):
+    root = tmp_path / "w"
+    root.mkdir()
+    for i in range(50):
+        (root / f"{i}.txt").write_text("x")
+    reader = _Listing({"path": str(root), "states": str(tmp_path / "states"), "stable": "400"})
+    start = reader.initialOffset()
+    assert len(json.dumps(start)) < 100
+    (root / "new.txt").write_text("1")
+    rows, after = reader.read(start)
+    assert list(rows) == [] and after == start  # written a moment ago
+    time.sleep(0.5)
+    rows, after = reader.read(start)
+    assert [r[:2] for r in rows] == [("new.txt", "add")] and after["number"] == 1
+    assert [r[:2] for r in reader.readBetweenOffsets(start, after)] == [("new.txt", "add")]
+    at = after
+    for i in range(5):
+        (root / f"{i}.txt").unlink()
+        rows, at = reader.read(at)
+        assert [r[:2] for r in rows] == [(f"{i}.txt", "unlink")]
+        reader.commit(at)
+    assert len(os.listdir(tmp_path / "states")) <= 4 and list(reader.read(at)[0]) == []
+
+
+def test_back_ends(spark, tmp_path):
+    s = open_store(spark, str(tmp_path / "s"), buckets=4, dimensions=2, model_id="m")
+    assert isinstance(s, VectorStore) and isinstance(s, GraphStore)
+    with pytest.raises(ValueError):
+        open_store(spark, str(tmp_path), "other")
+
+
+def test_the_inverted_file_is_used_while_it_holds(spark, tmp_path):
+    import random
+
+    rng = random.Random(1)
+    s = IndexStore(Snapshots(spark, str(tmp_path / "s"), 4), 8, "m")
+    rows = [(f"c{i}", f"f{i % 7}.ts", f"text {i}") for i in range(300)]
+    vectors = spark.createDataFrame([(i, [rng.gauss(0, 1) + 5 * (n % 3) for _ in range(8)]) for n, (i, _, _) in enumerate(rows)], "chunk_id string, embedding array<float>")
+    s.upsert(chunk(spark, *rows), vectors)
+    s.optimize(ann_rows=1)
+    ann = s.snapshots.read_json("ANN")
+    q = [5.0] * 8
+    want = [(r["id"], r["rank"]) for r in s.search_vector(q, 9).collect()]
+    s.snapshots.write_json("ANN", {})
+    assert want == [(r["id"], r["rank"]) for r in s.search_vector(q, 9).collect()]
+    s.snapshots.write_json("ANN", ann)
+    s.delete([want[0][0]])  # the vectors are others now
+    assert [r["id"] for r in s.search_vector(q, 8).collect()] == [i for i, _ in want[1:]]
+    before = {b: f for b, f in s.snapshots._list("chunks").items()}
+    s.delete(["c5"])
+    changed = {b for b, f in s.snapshots._list("chunks").items() if before.get(b) != f}
+    assert len(changed) == 1
+    s.optimize()
+    assert not s.snapshots.read_json("ANN")
