@@ -66,13 +66,13 @@ def ranked(few: DataFrame, order: list[Column], name: str = "rank") -> DataFrame
     return few.withColumn(name, F.row_number().over(Window.orderBy(*order)) - 1)
 
 
-def build_postings(rows: DataFrame, id_col: str = "id", text_col: str = "search_content") -> tuple[DataFrame, DataFrame]:
-    """(term, chunk_id, tf, positions) and (chunk_id, dl): the index that a store keeps."""
-    words = rows.select(F.col(id_col).alias("chunk_id"), F.coalesce(T.tokens(text_col), F.array().cast("array<string>")).alias("words"))
-    lengths = words.select("chunk_id", F.size("words").alias("dl"))
-    spots = words.select("chunk_id", F.posexplode("words").alias("p", "term"))
-    postings = spots.groupBy("term", "chunk_id").agg(F.sort_array(F.collect_list("p")).alias("positions"))
-    return postings.select("term", "chunk_id", F.size("positions").alias("tf"), "positions"), lengths
+def build_postings(rows: DataFrame, id_col: str = "id", text_col: str = "search_content", keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(term, chunk_id, tf, positions) and (chunk_id, dl), with further columns ``keep``: the index that a store keeps."""
+    words = rows.select(F.col(id_col).alias("chunk_id"), F.coalesce(T.tokens(text_col), F.array().cast("array<string>")).alias("words"), *keep)
+    lengths = words.select("chunk_id", F.size("words").alias("dl"), *keep)
+    spots = words.select("chunk_id", F.posexplode("words").alias("p", "term"), *keep)
+    postings = spots.groupBy("term", "chunk_id", *keep).agg(F.sort_array(F.collect_list("p")).alias("positions"))
+    return postings.select("term", "chunk_id", F.size("positions").alias("tf"), "positions", *keep), lengths
 
 
 def score_postings(postings: DataFrame, lengths: DataFrame, query: str, admitted: DataFrame | None = None) -> DataFrame:

@@ -74,41 +74,41 @@ class Snapshots:
 
     def table(self, name: str, only: list[int] | None = None) -> DataFrame:
         """The current snapshot, or some buckets of it; an empty table before the first commit."""
-        schema = TABLES[name]
-        folders = sorted({f for b, f in self._list(name).items() if only is None or int(b) in only})
-        if not folders:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*[f"{self.prefix}{self.root}/{f}" for f in folders])
+        return self._read(name, [f for b, f in self._list(name).items() if only is None or int(b) in only])
 
     def bucket(self, column: str = "file_path"):
         return F.pmod(F.xxhash64(column), F.lit(self.buckets)).cast("int")
 
     def commit(self, tables: dict[str, DataFrame], touched: list[int] | None = None) -> None:
         """Replaces the touched buckets (all by default) of the given tables by the given rows, at once."""
-        if "chunks" in tables:
-            tables = tables | self._text_index(tables["chunks"])
-        written: dict[str, dict[str, str]] = {}
-        for name, df in tables.items():
-            column = _PATH.get(name, "file_path")
-            folder = f"{name}/{uuid.uuid4().hex}"
-            rows = df.select(*[f.split(" ")[0] for f in TABLES[name].split(", ")]).withColumn("_bucket", self.bucket(column))
-            # Small buckets share a task and large ones are split, by their measured sizes.
-            out = rows.hint("rebalance", "_bucket").sortWithinPartitions("_bucket", *_SORTED.get(name, [column])).write.partitionBy("_bucket")
-            for c in _BLOOM.get(name, []):
-                out = out.option(f"parquet.bloom.filter.enabled#{c}", "true")
-            out.parquet(f"{self.prefix}{self.root}/{folder}")
-            written[name] = {i.base_name[8:]: f"{folder}/{i.base_name}" for i in self.system.get_file_info(fs.FileSelector(f"{self.root}/{folder}")) if i.base_name.startswith("_bucket=")}
+        written = {name: self._write(name, df) for name, df in tables.items()}
+        if "chunks" in tables:  # from what was just written, so that nothing is parsed or merged again
+            new = self._read("chunks", written["chunks"].values())
+            for name, df in zip(("postings", "lengths"), bm25.build_postings(new, keep=("file_path",))):
+                written[name] = self._write(name, df)
         # Only here is the list read that the new one replaces: the time in which another writer could come between is that of two renames.
         current = self.read_json("CURRENT", {}) or {}
         for name, listed in written.items():
             current[name] = ({} if touched is None else {b: f for b, f in current.get(name, {}).items() if int(b) not in touched}) | listed
         self.write_json("CURRENT", current)
 
-    def _text_index(self, chunks: DataFrame) -> dict[str, DataFrame]:
-        """Postings and lengths of the chunks that are being written."""
-        postings, lengths = bm25.build_postings(chunks)
-        paths = chunks.select(F.col("id").alias("chunk_id"), "file_path").distinct()
-        return {"postings": postings.join(paths, "chunk_id"), "lengths": lengths.distinct().join(paths, "chunk_id")}
+    def _write(self, name: str, df: DataFrame) -> dict[str, str]:
+        """New folders of the buckets that the rows lie in."""
+        column = _PATH.get(name, "file_path")
+        folder = f"{name}/{uuid.uuid4().hex}"
+        rows = df.select(*[f.split(" ")[0] for f in TABLES[name].split(", ")]).withColumn("_bucket", self.bucket(column))
+        # Small buckets share a task and large ones are split, by their measured sizes.
+        out = rows.hint("rebalance", "_bucket").sortWithinPartitions("_bucket", *_SORTED.get(name, [column])).write.partitionBy("_bucket")
+        for c in _BLOOM.get(name, []):
+            out = out.option(f"parquet.bloom.filter.enabled#{c}", "true")
+        out.parquet(f"{self.prefix}{self.root}/{folder}")
+        return {i.base_name[8:]: f"{folder}/{i.base_name}" for i in self.system.get_file_info(fs.FileSelector(f"{self.root}/{folder}")) if i.base_name.startswith("_bucket=")}
+
+    def _read(self, name: str, folders) -> DataFrame:
+        folders = sorted(set(folders))
+        if not folders:
+            return self.spark.createDataFrame([], TABLES[name])
+        return self.spark.read.schema(TABLES[name]).parquet(*[f"{self.prefix}{self.root}/{f}" for f in folders])
 
     def buckets_of(self, *frames: tuple[DataFrame, str]) -> list[int]:
         """The buckets that the rows of some frames lie in, by their path columns: at most ``buckets`` numbers."""
