@@ -12,7 +12,9 @@ cache.  Characters without a token become their bytes' tokens, or the unknown to
 without these.  Ids equal those of the library for models with the identity normaliser, which is
 checked when a model is loaded.
 
-Null texts give null ids, empty ones no ids.  Decoding gives the text back, unless it holds the
+Null texts give null ids, empty ones no ids; null ids stay null, repeated rows are encoded each, other columns are left out, an empty
+table gives an empty one.  A text's length isn't bounded: it is encoded piece by piece, a piece without a cut in time in proportion to
+its length.  Decoding gives the text back, unless it holds the
 white space mark itself (it comes back as a space) or the model has no byte tokens.
 """
 
