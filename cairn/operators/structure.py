@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -109,16 +112,24 @@ def enclosing(inner: DataFrame, outer: DataFrame, types: tuple[str, ...], strict
 
 
 def budget_batches(texts: DataFrame, key: str, order: str, text_col: str, max_chars: int, max_items: int) -> DataFrame:
-    """(key, order, batch): greedy batches in order, within a budget of characters and items; a fold over each key's list."""
-    per = texts.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.length(F.coalesce(text_col, F.lit(""))).alias("n")))).alias("_l"))
-    start = F.struct(F.lit(0).alias("batch"), F.lit(0).alias("items"), F.lit(0).cast("long").alias("chars"), F.array().cast(f"array<struct<o:{dict(texts.dtypes)[order]},batch:int>>").alias("out"))
-
-    def step(a: Column, x: Column) -> Column:
-        new = ((a["items"] > 0) & (a["chars"] + x["n"] > max_chars)) | (a["items"] >= max_items)
-        batch = a["batch"] + F.when(new, 1).otherwise(0)
-        return F.struct(
-            batch.alias("batch"), (F.when(new, 0).otherwise(a["items"]) + 1).alias("items"),
-            (F.when(new, 0).otherwise(a["chars"]) + x["n"]).cast("long").alias("chars"), F.concat(a["out"], F.array(F.struct(x["o"].alias("o"), batch.alias("batch")))).alias("out"),
-        )
-
-    return per.select(key, F.explode(F.aggregate("_l", start, step, lambda a: a["out"])).alias("_x")).select(key, F.col("_x.o").alias(order), F.col("_x.batch"))
+    """(key, order, batch): greedy batches in order, within a budget of characters and items.
+
+    Rows go through in order as a stream of lengths; a task holds one Arrow batch and three numbers, however many rows a key has.
+    """
+    kinds = dict(texts.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, last, batch, items, chars = True, None, 0, 0, 0
+        for b in batches:
+            out = []
+            for name, n in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
+                if first or name != last:
+                    first, last, batch, items, chars = False, name, 0, 0, 0
+                if items and chars + n > max_chars or items >= max_items:
+                    batch, items, chars = batch + 1, 0, 0
+                items, chars = items + 1, chars + n
+                out.append(batch)
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(out, pa.int32())], [key, order, "batch"])
+
+    rows = texts.select(key, order, F.length(F.coalesce(text_col, F.lit(""))).alias("_n"))
+    return rows.repartition(key).sortWithinPartitions(key, order, "_n").mapInArrow(run, f"`{key}` {kinds[key]}, `{order}` {kinds[order]}, batch int")
