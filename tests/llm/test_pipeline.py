@@ -58,6 +58,18 @@ def test_run_equals_the_stages(spark, sf):
     assert {(r["doc_id"], r["piece"], r["length"]) for r in rows} == want
 
 
+@pytest.mark.parametrize("rows", [[], [(None, None), (1, None), (None, ""), (1, None)]])
+def test_empty_and_null_only_tables(spark, docs_of, tmp_path, rows):
+    pq.write_table(pa.table({"doc_id": pa.array([], pa.int64()), "quality": pa.array([], pa.int32()), "toxic": pa.array([], pa.int32())}), tmp_path / "labels.parquet")
+    docs = docs_of(rows)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        if name == "packing":
+            assert sorted((r["doc_id"] or 0, r["context"], r["length"]) for r in out.collect()) == sorted((i or 0, None, 0) for i, _ in rows)
+        else:
+            assert out.columns == docs.columns and sorted(map(repr, ((r["doc_id"], r["text"]) for r in out.collect()))) == sorted(map(repr, rows))
+
+
 def test_every_operator_is_registered():
     assert [n.split("_")[0] for n in Q.QUERIES] == [f"op{i}" for i in range(1, 11)]
     assert set(Q.ORACLES) <= set(Q.QUERIES)
