@@ -53,7 +53,11 @@ def _once(spark: SparkSession, name: str, make):
 
 
 def _folder(spark: SparkSession, name: str) -> str:
-    return shared_dir(spark, name).removeprefix("file://")
+    """A path in the shared folder, which has to be mounted everywhere: the small project is written as plain files."""
+    path = shared_dir(spark, name).removeprefix("file://")
+    if "://" in path:
+        raise ValueError("these queries need a shared folder that is mounted on every machine")
+    return path
 
 
 def _written(spark: SparkSession) -> str:
