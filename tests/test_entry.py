@@ -22,7 +22,7 @@ def duck():
 
 def test_catalogue_is_registered():
     assert set(catalogue.QUERIES) <= set(entry.queries()) and set(catalogue.ORACLES) <= set(entry.oracle_sql())
-    assert set(catalogue.QUERIES) - set(catalogue.ORACLES) == {"html_elements"}
+    assert set(catalogue.QUERIES) - set(catalogue.ORACLES) == {"html_elements", "chunk_documents"}
 
 
 @pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test tables")
