@@ -17,7 +17,7 @@ one over the whole corpus without any exchange between tasks, the same entity is
 and no entity maps to itself unless its format admits only one string.  Every text is checked once more:
 ``collisions`` counts entities that share a surrogate's value with another one of their type; it is 0.
 
-The key is the caller's: who has it can undo the mapping, without it nobody can.
+The key is the caller's, or drawn for the application: who has it can undo the mapping, without it nobody can.
 
 Defined results: null and empty texts come back as they are, with no entities.  Repeated rows get equal results.  A text of n
 characters with m entities takes time in proportion to n + m log m.  Numbers without a country code and not
@@ -27,6 +27,7 @@ of ten digits are taken as they stand, so that a national and an international n
 from __future__ import annotations
 
 import re
+import secrets
 from bisect import bisect
 from functools import lru_cache
 from ipaddress import IPv6Address
@@ -351,12 +352,19 @@ def replace(key: bytes, text: str) -> tuple[str, int, int]:
 
 
 def key_of(spark: SparkSession) -> bytes:
-    """The key set as ``spark.cairn.pii.key``; a local session, as in tests, has a public one where it is unset."""
+    """The key set as ``spark.cairn.pii.key``.
+
+    Where it is unset, a local session, as in tests, has a public one; on a cluster a secret one is drawn at random, once for
+    an application, so that all it writes agrees.  It is kept nowhere else: to have the same surrogates in a later run, set a key.
+    """
     if own := spark.conf.get("spark.cairn.pii.key", None):
         return own.encode()
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.cairn.pii.key to a secret of your own")
-    return b"public, for tests"
+    context = spark.sparkContext
+    if context.master.startswith("local"):
+        return b"public, for tests"
+    if getattr(context, "_cairn_pii_key", None) is None:
+        context._cairn_pii_key = secrets.token_bytes(32)
+    return context._cairn_pii_key
 
 
 def surrogate_pii(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

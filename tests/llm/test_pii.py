@@ -170,3 +170,14 @@ def test_a_key_is_needed(spark):
     with pytest.raises(TypeError):
         P.pseudonymise(spark.range(1))
     assert P.key_of(spark)
+
+
+def test_a_cluster_without_a_key_draws_one():
+    from types import SimpleNamespace
+
+    def session(own=None):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda name, default=None: own), sparkContext=SimpleNamespace(master="spark://host:7077"))
+
+    one, other = session(), session()
+    assert len(P.key_of(one)) == 32 and P.key_of(one) == P.key_of(one) != P.key_of(other)
+    assert P.key_of(session("mine")) == b"mine"
