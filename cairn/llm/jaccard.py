@@ -8,24 +8,28 @@ Jaccard coefficient is at least ``THRESHOLD``: one word in ten edited leaves abo
 compared; copies, however many, cost one partial aggregate.
 
 *Forest.*  Each of ``TREES`` directories sends a node to the tree named by its smallest n-gram
-under that directory's own hash.  Two nodes of coefficient J meet in a directory with
-probability J, in at least one with 1 - (1 - J)**TREES: 0.998 at 0.5, more above.  This is the only
-approximation; nothing is capped.
+under that directory's own hash.  Two nodes of coefficient J meet in at least one with probability
+1 - (1 - J)**TREES: 0.998 at 0.5, more above.  Nodes that may be linked in a tree are joined to blocks.
 
-*Tree.*  A leaf entry has a bitmap of the text's n-grams (two to four bits for each) and its size.
+*Rest.*  What the directories miss is found by prefixes, which miss nothing: the n-grams of all texts have one
+order, rare ones first, and sets of x and y n-grams with coefficient t share t / (1 + t) * (x + y) of them, so the first
+one they share has as many behind it, itself included, in both.  Nodes of different blocks that share such an n-gram are compared; their
+links join blocks.  The order is fitted on about ``SAMPLE`` texts; another order costs time, but no link.
+
+*Tree.*  Each block is then one tree, and every link lies in one block.  A leaf entry has a bitmap of the text's n-grams (two to four bits for each) and its size.
 A tree node holds the OR of its children's bitmaps, their sizes' range and their largest collision count
 (n-grams less bits set).  The dual traversal begins with (root, root) and descends into pairs of
 nodes that may still hold a qualifying pair: common bits plus the smaller collision count bound
 every overlap below, and the overlap needed follows from the smallest sizes.  Bitmaps of
-different widths are compared after the wider one is folded.
+different widths are compared after the wider one is folded.  Pairs come in stretches of bounded length.
 
-*Large trees.*  A tree of more than ``SPLIT`` entries is cut into cells: by size class (linked sizes
+*Large trees.*  A tree of more than ``SPLIT`` entries, or ``CELL_GRAMS`` n-grams, is cut into cells: by size class (linked sizes
 differ by less than the factor 1 / threshold, so only neighbouring classes meet) and within a class by hash.
 Every pair of cells that can hold a link is traversed by a task of its own, so that no task ever holds
 more than two cells.
 
-*Proof.*  Entries that survive on both sides are compared by their sets.  Only texts in surviving
-pairs send their sets, each to the cells where its pairs met first.
+*Proof.*  Entries that survive on both sides are compared by their sets where they are.  Each cell pair yields links
+counted for each node, and which nodes hang together: rows in proportion to its entries, not to its links.
 
 Defined results: null and empty texts, and those without a letter or digit, are linked to nothing.  Rows with a null
 id have no class and no links.  Of an id that is repeated with different texts the set that is first in hash order
@@ -53,6 +57,14 @@ SPLIT = 4096
 #: Up to so many rows a table that only steers others is broadcast (16 to 40 bytes a row); a larger one is joined.
 BROADCAST_ROWS = 1 << 20
 PAIR_WORDS = 1 << 21
+#: Pairs of tree nodes that are opened at once.
+STRETCH = 1 << 13
+#: Cells of blocks hold their texts' sets; one of more n-grams is cut as well.
+CELL_GRAMS = 1 << 21
+#: The order of n-grams is fitted on about so many texts, in so many counters.
+SAMPLE, COUNTERS = 1 << 15, 1 << 22
+#: Postings that a task sorts at once, about; and that are gathered before they are sent.
+POSTINGS, FLUSH = 1 << 18, 1 << 18
 
 
 def gram_sets(values: list[str], gram: int = GRAM) -> list[np.ndarray]:
@@ -124,41 +136,59 @@ def _possible(a: tuple, b: tuple, i: np.ndarray, j: np.ndarray, threshold: float
     return ok
 
 
-def traverse(a: Tree, b: Tree, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of entries that survive; within one tree each pair once, the earlier entry first."""
+def walk(a: Tree, b: Tree, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of entries that survive, in stretches; within one tree each pair once, the earlier entry first."""
     same, depth = a is b, max(len(a.levels), len(b.levels))
-    i = j = np.zeros(1, np.int64)
-    for level in range(depth - 1, -1, -1):
-        at_a, at_b = min(level, len(a.levels) - 1), min(level, len(b.levels) - 1)
-        if level < depth - 1:  # the children of the surviving pairs
-            grid = np.arange(FANOUT)
-            di, dj = (x.ravel() for x in np.meshgrid(grid if at_a < len(a.levels) - 1 else grid[:1], grid if at_b < len(b.levels) - 1 else grid[:1], indexing="ij"))
-            i = ((i * FANOUT if at_a < len(a.levels) - 1 else i)[:, None] + di).ravel()
-            j = ((j * FANOUT if at_b < len(b.levels) - 1 else j)[:, None] + dj).ravel()
-            ok = (i < len(a.levels[at_a][0])) & (j < len(b.levels[at_b][0]))
-            if same:
-                ok &= i <= j if level else i < j
-            i, j = i[ok], j[ok]
-        elif same and not level:
-            return i[:0], j[:0]
-        ok = _possible(a.levels[at_a], b.levels[at_b], i, j, threshold)
+    last_a, last_b = len(a.levels) - 1, len(b.levels) - 1
+    if same and depth == 1:
+        return
+    root = np.zeros(1, np.int64)
+    i, j = (x[_possible(a.levels[last_a], b.levels[last_b], root, root, threshold)] for x in (root, root))
+    waiting = [(depth - 1, i, j)]
+    grid = np.arange(FANOUT)
+    while waiting:
+        level, i, j = waiting.pop()
+        if not len(i):
+            continue
+        if not level:
+            yield i, j
+            continue
+        if len(i) > STRETCH:
+            waiting.append((level, i[STRETCH:], j[STRETCH:]))
+            i, j = i[:STRETCH], j[:STRETCH]
+        level -= 1  # the children of these pairs
+        at_a, at_b = min(level, last_a), min(level, last_b)
+        di, dj = (x.ravel() for x in np.meshgrid(grid if at_a < last_a else grid[:1], grid if at_b < last_b else grid[:1], indexing="ij"))
+        i = ((i * FANOUT if at_a < last_a else i)[:, None] + di).ravel()
+        j = ((j * FANOUT if at_b < last_b else j)[:, None] + dj).ravel()
+        ok = (i < len(a.levels[at_a][0])) & (j < len(b.levels[at_b][0]))
+        if same:
+            ok &= i <= j if level else i < j
         i, j = i[ok], j[ok]
-    return i, j
+        ok = _possible(a.levels[at_a], b.levels[at_b], i, j, threshold)
+        waiting.append((level, i[ok], j[ok]))
+
+
+def _joined(found: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    parts = [(np.zeros(0, np.int64),) * 2, *found]
+    return np.concatenate([i for i, _ in parts]), np.concatenate([j for _, j in parts])
 
 
 def candidates(bits: list[np.ndarray], sizes: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Surviving pairs among one tree's texts, as positions."""
+    return _joined(within(bits, sizes, threshold))
+
+
+def within(bits: list[np.ndarray], sizes: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Surviving pairs among one tree's texts, as positions, in stretches."""
     width = np.array([len(b) for b in bits])
-    found_i, found_j = [], []
     classes = np.unique(width)
     members, native = {}, {}
     for w in classes.tolist():
         at = np.flatnonzero(width == w)
         at = at[np.argsort(sizes[at], kind="stable")]
         members[w], native[w] = at, Tree(np.stack([bits[k] for k in at]), sizes[at])
-        i, j = traverse(native[w], native[w], threshold)
-        found_i.append(at[i])
-        found_j.append(at[j])
+        yield from ((at[i], at[j]) for i, j in walk(native[w], native[w], threshold))
     for n, w in enumerate(classes.tolist()):
         for wide in classes[n + 1 :].tolist():
             low, high = members[w], members[wide]
@@ -166,15 +196,11 @@ def candidates(bits: list[np.ndarray], sizes: np.ndarray, threshold: float) -> t
                 break  # wider ones are longer still
             near = high[sizes[high] * threshold <= sizes[low].max()]
             other = Tree(fold(np.stack([bits[k] for k in near]), w), sizes[near])
-            i, j = traverse(native[w], other, threshold)
-            found_i.append(low[i])
-            found_j.append(near[j])
-    return np.concatenate(found_i), np.concatenate(found_j)
+            yield from ((low[i], near[j]) for i, j in walk(native[w], other, threshold))
 
 
-def between(bits_a: list[np.ndarray], sizes_a: np.ndarray, bits_b: list[np.ndarray], sizes_b: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Surviving pairs of an entry of one list and one of the other, as positions in them."""
-    found_i, found_j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+def between(bits_a: list[np.ndarray], sizes_a: np.ndarray, bits_b: list[np.ndarray], sizes_b: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Surviving pairs of an entry of one list and one of the other, as positions in them, in stretches."""
     width_a, width_b = (np.array([len(b) for b in bits]) for bits in (bits_a, bits_b))
     for w in np.unique(width_a).tolist():
         at = np.flatnonzero(width_a == w)
@@ -185,10 +211,65 @@ def between(bits_a: list[np.ndarray], sizes_a: np.ndarray, bits_b: list[np.ndarr
             if sizes_a[at[-1]] < threshold * sizes_b[on[0]] or sizes_b[on[-1]] < threshold * sizes_a[at[0]]:
                 continue
             least = min(w, v)
-            i, j = traverse(Tree(fold(np.stack([bits_a[k] for k in at]), least), sizes_a[at]), Tree(fold(np.stack([bits_b[k] for k in on]), least), sizes_b[on]), threshold)
-            found_i.append(at[i])
-            found_j.append(on[j])
-    return np.concatenate(found_i), np.concatenate(found_j)
+            one, other = (Tree(fold(np.stack([bits[k] for k in of]), least), sizes[of]) for bits, sizes, of in ((bits_a, sizes_a, at), (bits_b, sizes_b, on)))
+            yield from ((at[i], on[j]) for i, j in walk(one, other, threshold))
+
+
+class Joined:
+    """Which of ``n`` entries hang together: each has the label of the first one it is joined to."""
+
+    def __init__(self, n: int):
+        self.label = np.arange(n)
+
+    def add(self, i: np.ndarray, j: np.ndarray) -> None:
+        while True:
+            a, b = self.label[i], self.label[j]
+            open_ = a != b
+            if not open_.any():
+                return
+            a, b = a[open_], b[open_]
+            np.minimum.at(self.label, np.maximum(a, b), np.minimum(a, b))
+            while (self.label[self.label] != self.label).any():
+                self.label = self.label[self.label]
+
+
+class Overlaps:
+    """Exact sizes of intersections among sets."""
+
+    def __init__(self, own: list[np.ndarray]):
+        sizes = np.array([len(x) for x in own])
+        _, number, count = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
+        shared = count > 1  # others are in no intersection
+        row = np.repeat(np.arange(len(own)), sizes)[shared[number]]
+        column = (np.cumsum(shared) - 1)[number[shared[number]]]
+        self.width = int(shared.sum())
+        words = -(-self.width // 64)
+        self.bits = None
+        if words <= 8 * sizes.mean() and len(own) * words <= 1 << 23:
+            self.bits = np.zeros((len(own), 8 * words), np.uint8)
+            np.bitwise_or.at(self.bits, (row, column >> 3), (1 << (column & 7)).astype(np.uint8))
+            self.bits = self.bits.view(R.U)
+        else:
+            self.rows = np.split(column, np.searchsorted(row, np.arange(1, len(own))))
+
+    def of(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(i), np.int64)
+        if not self.width:
+            return out
+        if self.bits is not None:
+            step = max(1, PAIR_WORDS // self.bits.shape[1])
+            for k in range(0, len(i), step):
+                p = slice(k, k + step)
+                out[p] = np.bitwise_count(self.bits[i[p]] & self.bits[j[p]]).sum(axis=1, dtype=np.int64)
+            return out
+        order = np.argsort(i, kind="stable")
+        mask = np.zeros(self.width, bool)
+        for of in np.split(order, np.flatnonzero(np.diff(i[order])) + 1):
+            if len(of):
+                mask[self.rows[i[of[0]]]] = True
+                out[of] = [np.count_nonzero(mask[self.rows[k]]) for k in j[of].tolist()]
+                mask[self.rows[i[of[0]]]] = False
+        return out
 
 
 def _sketches(docs: DataFrame, id_col: str, text_col: str, gram: int, trees: int) -> DataFrame:
@@ -243,56 +324,59 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
         yield emit()
 
 
-def _search(threshold: float, kind: pa.DataType):
-    """The surviving pairs of each tree, or of two cells of a large one."""
-    schema = pa.schema([("tree", pa.int32()), ("key", pa.int64()), ("cell", pa.int64()), ("other", pa.int64()), ("a", kind), ("b", kind)])
+def _pairs(rows: list[dict], bits: list[np.ndarray], sizes: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The surviving pairs of a tree, or of two cells of a large one, as positions in ``rows``."""
+    if rows[0]["cell"] == rows[0]["other"]:
+        yield from within(bits, sizes, threshold)
+        return
+    side = np.array([r["side"] for r in rows])  # each against the other only
+    here, there = np.flatnonzero(side == 0), np.flatnonzero(side)
+    if len(here) and len(there):
+        for i, j in between([bits[k] for k in here], sizes[here], [bits[k] for k in there], sizes[there], threshold):
+            yield here[i], there[j]
+
+
+def _table(out: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.record_batch([pa.array([r[k] for r in out], schema.types[k]) for k in range(len(schema))], schema.names)
 
-    def batch(out: list[tuple]) -> pa.RecordBatch:
-        return pa.record_batch([pa.array([r[k] for r in out], schema.types[k]) for k in range(len(schema))], schema.names)
+
+def _search(threshold: float, kind: pa.DataType):
+    """Which entries of each tree may be linked: rows (entry, first entry that it hangs together with)."""
+    schema = pa.schema([("doc_a", kind), ("doc_b", kind)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         for rows in _groups(batches):
-            tree, place = rows[0]["tree"], tuple(rows[0][k] for k in ("tree", "key", "cell", "other"))
-            bits, sizes = [np.frombuffer(r["bits"], R.U) for r in rows], np.array([r["n"] for r in rows], np.int64)
-            if place[2] != place[3]:  # two cells, each against the other only
-                side = np.array([r["side"] for r in rows])
-                here, there = np.flatnonzero(side == 0), np.flatnonzero(side)
-                if not len(here) or not len(there):
-                    continue
-                i, j = between([bits[k] for k in here], sizes[here], [bits[k] for k in there], sizes[there], threshold)
-                i, j = here[i], there[j]
-            else:
-                i, j = candidates(bits, sizes, threshold)
-            for p, q in zip(i.tolist(), j.tolist()):
-                # A pair that also meets in an earlier directory is left to that one.
-                if not any(x == y for x, y in zip(rows[p]["keys"][:tree], rows[q]["keys"][:tree])):
-                    out.append((*place, min(rows[p]["id"], rows[q]["id"]), max(rows[p]["id"], rows[q]["id"])))
-                    if len(out) > 50_000:
-                        yield batch(out)
-                        out = []
+            joined = Joined(len(rows))
+            for i, j in _pairs(rows, [np.frombuffer(r["bits"], R.U) for r in rows], np.array([r["n"] for r in rows], np.int64), threshold):
+                joined.add(i, j)
+            out += ((rows[k]["id"], rows[x]["id"]) for k, x in enumerate(joined.label.tolist()) if k != x)
+            if len(out) > 50_000:
+                yield _table(out, schema)
+                out = []
         if out:
-            yield batch(out)
+            yield _table(out, schema)
 
     return run
 
 
-def _cells(reps: DataFrame, threshold: float, split: int, broadcast_rows: int) -> DataFrame:
+def _cells(reps: DataFrame, threshold: float, split: int, broadcast_rows: int, cell_grams: int | None = None, carried: tuple[str, ...] = ("id", "n", "bits")) -> DataFrame:
     """``reps`` once for each directory and pair of cells they take part in: tree, key, cell, other, side and the entry.
 
     A tree that isn't split is cell 0 against itself.  A cell's number holds its size class and its part of that class.
     """
     # A shade less than one class for the factor 1 / threshold, so that rounding can't put two classes between linked sizes.
     grade = F.floor(F.log("n") * F.lit((1 - 1e-9) / -math.log(min(threshold, 0.99)))).cast("int")
-    many = reps.select(F.posexplode("keys").alias("tree", "key"), grade.alias("grade")).groupBy("tree", "key", "grade").count()
-    large = many.groupBy("tree", "key").agg(F.sum("count").alias("all"), F.map_from_entries(F.collect_list(F.struct("grade", F.ceil(F.col("count") / split).cast("int").alias("parts")))).alias("parts"))
-    large = cut(large.where(F.col("all") > split).select("tree", "key", "parts"), "jaccard-large")
-    routed = reps.select(F.posexplode("keys").alias("tree", "key"), "id", "n", "keys", "bits", grade.alias("grade"))
+    many = reps.select(F.posexplode("keys").alias("tree", "key"), grade.alias("grade"), "n").groupBy("tree", "key", "grade").agg((F.count("*") / split).alias("count"), (F.sum("n") / (cell_grams or math.inf)).alias("grams"))
+    parts = F.greatest(F.ceil(F.greatest("count", "grams")), F.lit(1)).cast("int")
+    large = many.groupBy("tree", "key").agg(F.greatest(F.sum("count"), F.sum("grams")).alias("all"), F.map_from_entries(F.collect_list(F.struct("grade", parts.alias("parts")))).alias("parts"))
+    large = cut(large.where(F.col("all") > 1).select("tree", "key", "parts"), "jaccard-large")
+    routed = reps.select(F.posexplode("keys").alias("tree", "key"), "id", *(c for c in carried if c != "id"), *(() if "n" in carried else ("n",)), grade.alias("grade"))
     zero = F.lit(0).cast("long")
     plain = [zero.alias("cell"), zero.alias("other"), F.lit(0).alias("side")]
     count = large.count()
     if not count:
-        return routed.select("tree", "key", *plain, "id", "n", "keys", "bits")
+        return routed.select("tree", "key", *plain, *carried)
     # Most keys are in no large tree: the table of those that are is small beside the entries.
     routed = routed.join(F.broadcast(large) if count <= broadcast_rows else large, ["tree", "key"], "left")
     own = F.pmod(F.xxhash64("id", F.lit(5)), F.element_at("parts", F.col("grade"))).cast("int")
@@ -304,12 +388,15 @@ def _cells(reps: DataFrame, threshold: float, split: int, broadcast_rows: int) -
         if(map_contains_key(parts, grade - 1), transform(sequence(0, parts[grade - 1] - 1), p -> struct({number('grade - 1', 'p')} as cell, {number('grade', 'own')} as other, 1 as side)), array()))"""
     whole = F.array(F.struct(*plain))
     routed = routed.withColumn("own", own).withColumn("meet", F.when(F.col("parts").isNull(), whole).otherwise(F.expr(meet)))
-    return routed.select("tree", "key", F.explode("meet").alias("at"), "id", "n", "keys", "bits").select("tree", "key", "at.*", "id", "n", "keys", "bits")
+    return routed.select("tree", "key", F.explode("meet").alias("at"), *carried).select("tree", "key", "at.*", *carried)
+
+
+_PLACE = ("tree", "key", "cell", "other")
+_PLACED = pa.schema([("tree", pa.int32()), ("key", pa.int64()), ("cell", pa.int64()), ("other", pa.int64()), ("side", pa.int32()), ("copies", pa.int64())])
 
 
 def _sets(docs: DataFrame, id_col: str, text_col: str, gram: int, kind: str, wanted=None) -> DataFrame:
-    """(tree, key, cell, other, a, grams) of the texts in surviving pairs; ``wanted``: their ids and places, broadcast."""
-    arrow = pa.schema([("tree", pa.int32()), ("key", pa.int64()), ("cell", pa.int64()), ("other", pa.int64())])
+    """(tree, key, cell, other, side, copies, a, h1, grams) of texts at their places; ``wanted``: their ids and places, broadcast."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -325,46 +412,238 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, gram: int, kind: str, wan
             ids_, values = batch.column(0).to_pylist(), texts(batch.column(1))
             for a, b in slices(values, SLICE_CHARS):
                 rows = [(p, i, _digest(own, 7), own.tobytes()) for i, of, own in zip(ids_[a:b], places[a:b], gram_sets(values[a:b], gram)) if len(own) for p in of]
-                yield pa.record_batch(
-                    [*(pa.array([r[0][f.name] for r in rows], f.type) for f in arrow), *(pa.array([r[k] for r in rows], t) for k, t in ((1, batch.column(0).type), (2, pa.int64()), (3, pa.binary())))],
-                    [*arrow.names, "a", "h1", "grams"],
-                )
+                # A text at many places is sent to each: in batches of bounded size.
+                for x, y in _runs([len(r[3]) for r in rows], 8 * SLICE_CHARS):
+                    yield pa.record_batch(
+                        [*(pa.array([r[0][f.name] for r in rows[x:y]], f.type) for f in _PLACED), *(pa.array([r[k] for r in rows[x:y]], t) for k, t in ((1, batch.column(0).type), (2, pa.int64()), (3, pa.binary())))],
+                        [*_PLACED.names, "a", "h1", "grams"],
+                    )
 
-    return docs.mapInArrow(run, f"tree int, key long, cell long, other long, a {kind}, h1 long, grams binary")
+    return docs.mapInArrow(run, f"tree int, key long, cell long, other long, side int, copies long, a {kind}, h1 long, grams binary")
 
 
-def _prove(threshold: float, kind: pa.DataType):
-    schema = pa.schema([("doc_a", kind), ("doc_b", kind), ("jaccard", pa.float64())])
+def _runs(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
+    start = total = 0
+    for k, n in enumerate(sizes):
+        total += n
+        if total >= most:
+            yield start, k + 1
+            start, total = k + 1, 0
+    if start < len(sizes):
+        yield start, len(sizes)
 
-    def batch(out: list[tuple]) -> pa.RecordBatch:
-        return pa.record_batch([pa.array([r[k] for r in out], schema.types[k]) for k in range(3)], schema.names)
+
+def _placed_sets(docs: DataFrame, places: DataFrame, id_col: str, text_col: str, gram: int, broadcast_rows: int) -> DataFrame | None:
+    """Sets at ``places`` (id and the columns of ``_PLACED``), each place's rows together and sorted by id; None where there are no places."""
+    kind = dict(docs.dtypes)[id_col]
+    wanted = cut(places.groupBy("id").agg(F.collect_list(F.struct(*_PLACED.names)).alias("places")), "jaccard-wanted")
+    size = wanted.agg(F.coalesce(F.sum(F.size("places")), F.lit(0))).first()[0]
+    if not size:
+        return None
+    source = docs.select(id_col, text_col).where(F.col(id_col).isNotNull())
+    if size <= broadcast_rows:
+        got = wanted.toArrow().sort_by("id").combine_chunks()
+        at = got.column("places").chunk(0)
+        sets = _sets(source, id_col, text_col, gram, kind, docs.sparkSession.sparkContext.broadcast((got.column("id").chunk(0).to_numpy(zero_copy_only=False), at.offsets.to_numpy(), at.values)))
+    else:
+        sets = _sets(source.join(wanted.withColumnRenamed("id", id_col), id_col).select(id_col, text_col, "places"), id_col, text_col, gram, kind)
+    return sets.repartition(*_PLACE).sortWithinPartitions(*_PLACE, "a", "h1")
+
+
+def _prove(threshold: float, kind: pa.DataType, pairs: bool):
+    """The links at each place, by the sets: (doc_a, doc_b, jaccard) of each, or for each entry that has one the first entry it hangs together with, and how many texts it is linked to."""
+    schema = pa.schema([("doc_a", kind), ("doc_b", kind), ("jaccard", pa.float64()) if pairs else ("links", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         for rows in _groups(batches):
-            own = {}
-            for r in rows:  # the sets come first
-                if r["grams"] is not None:
-                    own.setdefault(r["a"], np.frombuffer(r["grams"], R.U))
-                    continue
-                x, y = own[r["a"]], own[r["b"]]
-                if len(x) > len(y):
-                    x, y = y, x
-                common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-                j = common / (len(x) + len(y) - common)
-                if j >= threshold:
-                    out.append((r["a"], r["b"], j))
+            rows = [r for k, r in enumerate(rows) if not k or r["a"] != rows[k - 1]["a"]]  # of a repeated id its first set
+            own = [np.frombuffer(r["grams"], R.U) for r in rows]
+            n, copies = np.array([len(x) for x in own], np.int64), np.array([r["copies"] for r in rows], np.int64)
+            overlaps, joined, links = None, Joined(len(rows)), np.zeros(len(rows), np.int64)
+            for i, j in _pairs(rows, [bitmap(x) for x in own], n, threshold):
+                overlaps = overlaps or Overlaps(own)
+                common = overlaps.of(i, j)
+                alike = common / (n[i] + n[j] - common)
+                ok = alike >= threshold
+                i, j = i[ok], j[ok]
+                if pairs:
+                    for p, q, x in zip(i.tolist(), j.tolist(), alike[ok].tolist()):
+                        out.append((min(rows[p]["a"], rows[q]["a"]), max(rows[p]["a"], rows[q]["a"]), x))
+                        if len(out) > 50_000:
+                            yield _table(out, schema)
+                            out = []
+                else:
+                    joined.add(i, j)
+                    np.add.at(links, i, copies[j])
+                    np.add.at(links, j, copies[i])
+            if not pairs:
+                out += ((rows[k]["a"], rows[joined.label[k]]["a"], int(links[k])) for k in np.flatnonzero(links).tolist())
             if len(out) > 50_000:
-                yield batch(out)
+                yield _table(out, schema)
                 out = []
         if out:
-            yield batch(out)
+            yield _table(out, schema)
 
     return run
 
 
-def alike(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, gram: int = GRAM, trees: int = TREES, split: int = SPLIT, broadcast_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, DataFrame]:
-    """(id, rep): each text with a set, and the smallest id whose set equals its own; and (doc_a, doc_b, jaccard): the links between such smallest ids.  Both are written tables."""
+def _levels(docs: DataFrame, id_col: str, text_col: str, gram: int, count: int) -> np.ndarray:
+    """How often n-grams of each of ``COUNTERS`` hash values are in about ``SAMPLE`` of ``count`` texts, up to 255."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            values = texts(batch.column(0))
+            for a, b in slices(values, SLICE_CHARS):
+                at, times = np.unique((np.concatenate(gram_sets(values[a:b], gram)) >> R.U(42)).astype(np.int64), return_counts=True)
+                total[at] += times
+        yield pa.record_batch([pa.array([np.minimum(total, 255).astype(np.uint8).tobytes()], pa.binary())], ["counts"])
+
+    some = docs.where(F.col(id_col).isNotNull() & (F.pmod(F.xxhash64(id_col), F.lit(max(1, count // SAMPLE))) == 0)).select(text_col)
+    total = np.zeros(COUNTERS, np.int64)
+    for r in some.repartition(min(8, 1 + count // 1024)).mapInArrow(run, "counts binary").collect():
+        total += np.frombuffer(r["counts"], np.uint8)
+    return np.minimum(total, 255).astype(np.uint8)
+
+
+_POSTING = (("k", np.uint32), ("rest", np.uint16), ("n", np.uint32), ("node", np.int64), ("block", np.int64))
+
+
+def _postings(levels, gram: int, threshold: float, parts: int):
+    """Of (block, text): the n-grams that may be the first of a link, each with how many of the set are from it on."""
+    fields = [("part", pa.int32()), *((name, pa.binary()) for name, _ in _POSTING)]
+
+    def send(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        g, *columns = (np.concatenate(c) for c in zip(*held))
+        part = ((g >> R.U(32)) % R.U(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        bounds = np.searchsorted(part[order], np.arange(parts + 1))
+        columns = [c[order] for c in (g.astype(np.uint32), *columns)]
+        some = [p for p in range(parts) if bounds[p] < bounds[p + 1]]
+        return pa.record_batch([pa.array(some, pa.int32()), *(pa.array([c[bounds[p] : bounds[p + 1]].tobytes() for p in some], pa.binary()) for c in columns)], [name for name, _ in fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, total = [], 0
+        for batch in batches:
+            blocks, values = batch.column(0).to_pylist(), texts(batch.column(1))
+            for a, b in slices(values, SLICE_CHARS):
+                for block, own in zip(blocks[a:b], gram_sets(values[a:b], gram)):
+                    n = len(own)
+                    if not n:
+                        continue
+                    # Sets are sorted by hash: a stable sort by level gives the order that all texts have.
+                    first = np.argsort(levels.value[(own >> R.U(42)).astype(np.int64)], kind="stable")[: n - math.ceil(threshold * n - 1e-9) + 1]
+                    node = _digest(own, 7)
+                    held.append((own[first], np.minimum(n - np.arange(len(first)), 0xFFFF).astype(np.uint16), np.full(len(first), n, np.uint32), np.full(len(first), node), np.full(len(first), node if block is None else block)))
+                    total += len(first)
+                    if total >= FLUSH:
+                        yield send(held)
+                        held, total = [], 0
+        if held:
+            yield send(held)
+
+    return run
+
+
+def _meetings(threshold: float):
+    """Pairs of nodes of different blocks that share an n-gram with enough of both sets from it on; a pair may come more than once."""
+
+    def pairs(k: np.ndarray, rest: np.ndarray, n: np.ndarray, node: np.ndarray, block: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        order = np.lexsort((block, k))
+        k, block = k[order], block[order]
+        new = np.concatenate(([True], k[1:] != k[:-1]))
+        start = np.flatnonzero(new)
+        end = np.concatenate((start[1:], [len(k)]))[np.cumsum(new) - 1]
+        run = np.concatenate(([True], new[1:] | (block[1:] != block[:-1])))
+        after = np.concatenate((np.flatnonzero(run)[1:], [len(k)]))[np.cumsum(run) - 1]
+        count = end - after  # of other blocks, behind its own
+        some = np.flatnonzero(count)
+        sums = np.cumsum(count[some])
+        rest = rest[order].astype(np.int64)
+        rest[rest == 0xFFFF] = np.iinfo(np.int64).max
+        n, node = n[order].astype(np.int64), node[order]
+        at = 0
+        while at < len(some):
+            to = max(at + 1, int(np.searchsorted(sums, (sums[at - 1] if at else 0) + (1 << 18), side="right")))
+            for low in range(0, int(count[some[at]]) if to == at + 1 else 1, 1 << 18):
+                x = some[at:to]
+                c = np.minimum(count[x] - low, 1 << 18) if to == at + 1 else count[x]
+                i = np.repeat(x, c)
+                j = np.repeat(after[x] + low - (np.cumsum(c) - c), c) + np.arange(int(c.sum()))
+                ok = np.minimum(rest[i], rest[j]) >= threshold / (1 + threshold) * (n[i] + n[j]) - 1e-9
+                i, j = node[i[ok]], node[j[ok]]
+                if len(i):
+                    yield np.unique(np.stack([np.minimum(i, j), np.maximum(i, j)]), axis=1)
+            at = to
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        last = None
+
+        def emit() -> Iterator[pa.RecordBatch]:
+            columns = [list(c) for c in zip(*held)]
+            held.clear()
+            k = np.concatenate(columns[0])
+            order = np.argsort(k)
+            again = k[order[1:]] == k[order[:-1]]
+            # Most n-grams are in one text: only the others are looked at.
+            some = order[np.concatenate(([False], again)) | np.concatenate((again, [False]))]
+            del order, again
+            for c, column in enumerate(columns):
+                columns[c] = (k if not c else np.concatenate(column))[some]
+            if len(some):
+                for x, y in pairs(*columns):
+                    yield pa.record_batch([pa.array(x), pa.array(y)], ["x", "y"])
+
+        for batch in batches:
+            for r in range(batch.num_rows):
+                if (part := batch.column(0)[r].as_py()) != last and held:
+                    yield from emit()
+                last = part
+                held.append(tuple(np.frombuffer(batch.column(1 + c)[r].as_buffer(), t).copy() for c, (_, t) in enumerate(_POSTING)))
+        if held:
+            yield from emit()
+
+    return run
+
+
+def _rest(docs: DataFrame, reps: DataFrame, blocks: DataFrame, count: int, grams: int, id_col: str, text_col: str, gram: int, threshold: float, broadcast_rows: int) -> DataFrame | None:
+    """(doc_a, doc_b): links between nodes of different blocks; ``blocks``: (id, block) of all texts in one of several nodes."""
+    spark, kind = docs.sparkSession, dict(docs.dtypes)[id_col]
+    levels = spark.sparkContext.broadcast(_levels(docs, id_col, text_col, gram, count))
+    parts = max(1, math.ceil(grams * (1 - threshold) / POSTINGS))
+    many = blocks.count()
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null")
+    source = source.join(F.broadcast(blocks) if many <= broadcast_rows else blocks, "id", "left").select("block", "text")
+    binaries = ", ".join(f"{name} binary" for name, _ in _POSTING)
+    sent = source.mapInArrow(_postings(levels, gram, threshold, parts), f"part int, {binaries}")
+    met = sent.repartition(min(parts, 4096), "part").sortWithinPartitions("part").mapInArrow(_meetings(threshold), "x long, y long").distinct()
+    ends = reps.select("h1", "id", "n", "bits")
+    both = cut(met, "jaccard-met").join(ends.select(F.col("h1").alias("x"), F.struct("id", "n", "bits").alias("p")), "x").join(ends.select(F.col("h1").alias("y"), F.struct("id", "n", "bits").alias("q")), "y")
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for r in batch.to_pylist():
+                u, v = (np.frombuffer(r[k], R.U)[None] for k in ("u", "v"))
+                least = min(u.shape[1], v.shape[1])
+                lost = min(r[k] - int(np.bitwise_count(fold(w, least)).sum()) for k, w in (("n", u), ("m", v)))
+                keep.append(int(np.bitwise_count(fold(u, least) & fold(v, least)).sum()) + lost >= threshold / (1 + threshold) * (r["n"] + r["m"]) - 1e-9)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    both = both.select(F.col("p.id").alias("a"), F.col("q.id").alias("b"), F.col("p.n").alias("n"), F.col("q.n").alias("m"), F.col("p.bits").alias("u"), F.col("q.bits").alias("v"))
+    left = cut(both.mapInArrow(bound, f"a {kind}, b {kind}"), "jaccard-left")
+    # A place for each pair.
+    place = [F.lit(0).alias("tree"), F.xxhash64("a", "b").alias("key"), F.xxhash64("b", "a").alias("cell"), F.xxhash64("b", "a").alias("other"), F.lit(0).alias("side"), F.lit(1).cast("long").alias("copies")]
+    sets = _placed_sets(docs, left.select(F.explode(F.array("a", "b")).alias("id"), *place), id_col, text_col, gram, broadcast_rows)
+    if sets is None:
+        return None
+    return sets.mapInArrow(_prove(threshold, to_arrow_type(docs.schema[id_col].dataType), True), f"doc_a {kind}, doc_b {kind}, jaccard double").select("doc_a", "doc_b")
+
+
+def _links(docs: DataFrame, id_col: str, text_col: str, pairs: bool, threshold: float = THRESHOLD, gram: int = GRAM, trees: int = TREES, split: int = SPLIT, broadcast_rows: int = BROADCAST_ROWS, cell_grams: int = CELL_GRAMS) -> tuple[DataFrame, DataFrame]:
+    """(id, rep): each text with a set, and the smallest id whose set equals its own; and what ``_prove`` says of the links between such smallest ids.  Both are written tables."""
     spark, kind = docs.sparkSession, dict(docs.dtypes)[id_col]
     arrow = to_arrow_type(docs.schema[id_col].dataType)
     sketch = cut(_sketches(docs, id_col, text_col, gram, trees), "jaccard-sketches")
@@ -374,26 +653,32 @@ def alike(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thres
     single = sketch.join(twice, "id", "left").where(F.col("first").isNull() | (F.struct(*shape) == F.col("first")))
     reps = cut(single.groupBy(*shape).agg(F.min(F.struct("id", "keys", "bits")).alias("r")).select("r.id", *shape, "r.keys", "r.bits"), "jaccard-reps")
     same = cut(single.select("id", *shape).distinct().join(reps.select(F.col("id").alias("rep"), *shape), shape).select("id", "rep"), "jaccard-same")
-    routed = _cells(reps, threshold, split, broadcast_rows)
-    place = ["tree", "key", "cell", "other"]
-    routed = routed.repartition(*place).sortWithinPartitions(*place, "id")
-    pairs = cut(routed.mapInArrow(_search(threshold, arrow), f"tree int, key long, cell long, other long, a {kind}, b {kind}"), "jaccard-found")
-    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("id"), F.struct(*place).alias("place")).groupBy("id").agg(F.collect_set("place").alias("places")), "jaccard-wanted")
-    size = wanted.agg(F.coalesce(F.sum(F.size("places")), F.lit(0))).first()[0]
-    if not size:
-        return same, spark.createDataFrame([], f"doc_a {kind}, doc_b {kind}, jaccard double")
-    source = docs.select(id_col, text_col).where(F.col(id_col).isNotNull())
-    if size <= broadcast_rows:
-        got = wanted.toArrow().sort_by("id").combine_chunks()
-        places = got.column("places").chunk(0)
-        sets = _sets(source, id_col, text_col, gram, kind, spark.sparkContext.broadcast((got.column("id").chunk(0).to_numpy(zero_copy_only=False), places.offsets.to_numpy(), places.values)))
-    else:
-        sets = _sets(source.join(wanted.withColumnRenamed("id", id_col), id_col).select(id_col, text_col, "places"), id_col, text_col, gram, kind)
-    none = F.lit(None)
-    # A pair's row sorts after all sets of its tree.
-    both = sets.select(*place, F.lit(0).alias("kind"), "a", none.cast(kind).alias("b"), "h1", "grams").unionAll(pairs.select(*place, F.lit(1), "a", "b", none.cast("long"), none.cast("binary")))
-    proved = both.repartition(*place).sortWithinPartitions(*place, "kind", "a", "h1").mapInArrow(_prove(threshold, arrow), f"doc_a {kind}, doc_b {kind}, jaccard double")
-    return same, cut(proved, "jaccard-pairs")
+    third = "jaccard double" if pairs else "links long"
+    count, grams = sketch.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    if count < 2:
+        return same, spark.createDataFrame([], f"doc_a {kind}, doc_b {kind}, {third}")
+    routed = _cells(reps, threshold, split, broadcast_rows).repartition(*_PLACE).sortWithinPartitions(*_PLACE, "id")
+    found = cut(routed.mapInArrow(_search(threshold, arrow), f"doc_a {kind}, doc_b {kind}").distinct(), "jaccard-found")
+    heads = components(found)
+    blocks = cut(same.join(heads.withColumnRenamed("id", "rep"), "rep").select("id", F.xxhash64("head").alias("block")), "jaccard-blocks")
+    rest = _rest(docs, reps, blocks, count, grams, id_col, text_col, gram, threshold, broadcast_rows)
+    if rest is not None:
+        rest = cut(rest, "jaccard-rest")
+        if not rest.isEmpty():
+            heads = components(found.unionAll(rest))
+    # Each block is a tree.  Two whose hashes are equal would be one tree, which changes nothing.
+    copies = same.groupBy(F.col("rep").alias("id")).agg(F.count("*").alias("copies"))
+    inside = reps.select("id", "n").join(heads, "id").join(copies, "id").select("id", "n", "copies", F.array(F.xxhash64("head")).alias("keys"))
+    placed = _cells(inside, threshold, split, broadcast_rows, cell_grams, ("id", "copies"))
+    sets = _placed_sets(docs, placed, id_col, text_col, gram, broadcast_rows)
+    if sets is None:
+        return same, spark.createDataFrame([], f"doc_a {kind}, doc_b {kind}, {third}")
+    return same, cut(sets.mapInArrow(_prove(threshold, arrow, pairs), f"doc_a {kind}, doc_b {kind}, {third}"), "jaccard-links")
+
+
+def alike(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> tuple[DataFrame, DataFrame]:
+    """(id, rep): each text with a set, and the smallest id whose set equals its own; and (doc_a, doc_b, jaccard): all links between such smallest ids.  Both are written tables."""
+    return _links(docs, id_col, text_col, True, **options)
 
 
 def components(pairs: DataFrame) -> DataFrame:
@@ -415,13 +700,16 @@ def components(pairs: DataFrame) -> DataFrame:
     return labels
 
 
+def _edges(links: DataFrame) -> DataFrame:
+    return links.where("doc_a <> doc_b").select("doc_a", "doc_b").distinct()
+
+
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row for each row of ``docs``: id, ``class_id`` (the smallest id that links lead to, its own where there are none) and ``links`` (how many other ids it is linked to, copies included)."""
-    same, pairs = alike(docs, id_col, text_col, **options)
+    same, links = _links(docs, id_col, text_col, False, **options)
     copies = same.groupBy("rep").agg(F.count("*").alias("copies"))
-    ends = pairs.select(F.col("doc_a").alias("rep"), F.col("doc_b").alias("next")).unionAll(pairs.select("doc_b", "doc_a"))
-    near = ends.join(copies.withColumnRenamed("rep", "next"), "next").groupBy("rep").agg(F.sum("copies").alias("near"))
-    found = copies.join(near, "rep", "left").join(components(pairs).withColumnRenamed("id", "rep"), "rep", "left")
+    near = links.groupBy(F.col("doc_a").alias("rep")).agg(F.sum("links").alias("near"))
+    found = copies.join(near, "rep", "left").join(components(_edges(links)).withColumnRenamed("id", "rep"), "rep", "left")
     found = cut(found.select("rep", F.coalesce("head", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("links")), "jaccard-classes")
     member = same.join(found, "rep").select(F.col("id").alias("_member"), "class_id", "links")
     out = docs.select(id_col).join(member, F.col(id_col) == F.col("_member"), "left")
@@ -433,7 +721,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     Rows with a null id stay.  Of rows that repeat an id, all stay or all go.
     """
-    same, pairs = alike(docs, id_col, text_col, **options)
-    heads = components(pairs).withColumnRenamed("id", "rep")
+    same, links = _links(docs, id_col, text_col, False, **options)
+    heads = components(_edges(links)).withColumnRenamed("id", "rep")
     gone = same.join(heads, "rep", "left").select(F.col("id").alias("_gone"), F.coalesce("head", "rep").alias("_head")).where("_gone <> _head").select("_gone")
     return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
