@@ -31,6 +31,10 @@ more than two cells.
 *Proof.*  Entries that survive on both sides are compared by their sets where they are.  Each cell pair yields links
 counted for each node, and which nodes hang together: rows in proportion to its entries, not to its links.
 
+*Memory.*  What is used more than once is kept by the executors (``_kept``), not written as files: on a local file system
+without Hadoop's native library every file has the executor start two processes, each of which counts as large as the
+executor until it has become ``chmod``.
+
 Defined results: null and empty texts, and those without a letter or digit, are linked to nothing.  Rows with a null
 id have no class and no links.  Of an id that is repeated with different texts the set that is first in hash order
 counts.  Ids may be numbers or strings.
@@ -43,12 +47,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from . import rolling as R
-from .common import cut, slices, texts
+from .common import texts
 
 GRAM, THRESHOLD, TREES, FANOUT = 3, 0.5, 9, 8
 SLICE_CHARS = 1 << 20
@@ -238,11 +244,20 @@ class Overlaps:
 
     def __init__(self, own: list[np.ndarray]):
         sizes = np.array([len(x) for x in own])
-        _, number, count = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
-        shared = count > 1  # others are in no intersection
-        row = np.repeat(np.arange(len(own)), sizes)[shared[number]]
-        column = (np.cumsum(shared) - 1)[number[shared[number]]]
-        self.width = int(shared.sum())
+        grams = np.concatenate(own)
+        order = np.argsort(grams)
+        grams = grams[order]
+        again = grams[1:] == grams[:-1]
+        del grams
+        shared = np.concatenate(([False], again)) | np.concatenate((again, [False]))  # others are in no intersection
+        order = order[shared]
+        number = np.cumsum(~np.concatenate(([False], again))[shared], dtype=np.int32) - 1
+        self.width = int(number[-1]) + 1 if len(number) else 0
+        column = np.full(int(sizes.sum()), -1, np.int32)
+        column[order] = number
+        del order, number, again, shared
+        row = np.repeat(np.arange(len(own), dtype=np.int32), sizes)[column >= 0]
+        column = column[column >= 0]
         words = -(-self.width // 64)
         self.bits = None
         if words <= 8 * sizes.mean() and len(own) * words <= 1 << 23:
@@ -272,23 +287,34 @@ class Overlaps:
         return out
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """``df`` computed and kept on the disks of two executors, without lineage: losing one of them costs no recomputation."""
+    return df.localCheckpoint(True, StorageLevel.DISK_ONLY_2)
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Pieces of about ``SLICE_CHARS`` bytes of column ``text``, and their texts; a whole batch's strings are never held at once."""
+    for batch in batches:
+        for a, b in _runs(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist(), SLICE_CHARS):
+            piece = batch.slice(a, b - a)
+            yield piece, texts(piece.column(text))
+
+
 def _sketches(docs: DataFrame, id_col: str, text_col: str, gram: int, trees: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, values = batch.column(0).to_pylist(), texts(batch.column(1))
-            for a, b in slices(values, SLICE_CHARS):
-                rows = [(i, own) for i, own in zip(ids[a:b], gram_sets(values[a:b], gram)) if len(own)]
-                yield pa.record_batch(
-                    [
-                        pa.array([i for i, _ in rows], batch.column(0).type),
-                        pa.array([len(own) for _, own in rows], pa.int32()),
-                        pa.array([_digest(own, 7) for _, own in rows], pa.int64()),
-                        pa.array([_digest(own, 8) for _, own in rows], pa.int64()),
-                        pa.array([keys(own, trees) for _, own in rows], pa.list_(pa.int64())),
-                        pa.array([bitmap(own).tobytes() for _, own in rows], pa.binary()),
-                    ],
-                    ["id", "n", "h1", "h2", "keys", "bits"],
-                )
+        for piece, values in _pieces(batches, 1):
+            rows = [(i, own) for i, own in zip(piece.column(0).to_pylist(), gram_sets(values, gram)) if len(own)]
+            yield pa.record_batch(
+                [
+                    pa.array([i for i, _ in rows], piece.column(0).type),
+                    pa.array([len(own) for _, own in rows], pa.int32()),
+                    pa.array([_digest(own, 7) for _, own in rows], pa.int64()),
+                    pa.array([_digest(own, 8) for _, own in rows], pa.int64()),
+                    pa.array([keys(own, trees) for _, own in rows], pa.list_(pa.int64())),
+                    pa.array([bitmap(own).tobytes() for _, own in rows], pa.binary()),
+                ],
+                ["id", "n", "h1", "h2", "keys", "bits"],
+            )
 
     kind = dict(docs.dtypes)[id_col]
     return docs.select(id_col, text_col).where(F.col(id_col).isNotNull()).mapInArrow(run, f"id {kind}, n int, h1 long, h2 long, keys array<long>, bits binary")
@@ -303,7 +329,9 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
     last = None
 
     def emit() -> list[dict]:
-        return [r for b in held for r in b.to_pylist()]
+        rows = [r for b in held for r in b.to_pylist()]
+        held.clear()  # the batches go before the rows are worked on
+        return rows
 
     for batch in batches:
         if not batch.num_rows:
@@ -370,7 +398,7 @@ def _cells(reps: DataFrame, threshold: float, split: int, broadcast_rows: int, c
     many = reps.select(F.posexplode("keys").alias("tree", "key"), grade.alias("grade"), "n").groupBy("tree", "key", "grade").agg((F.count("*") / split).alias("count"), (F.sum("n") / (cell_grams or math.inf)).alias("grams"))
     parts = F.greatest(F.ceil(F.greatest("count", "grams")), F.lit(1)).cast("int")
     large = many.groupBy("tree", "key").agg(F.greatest(F.sum("count"), F.sum("grams")).alias("all"), F.map_from_entries(F.collect_list(F.struct("grade", parts.alias("parts")))).alias("parts"))
-    large = cut(large.where(F.col("all") > 1).select("tree", "key", "parts"), "jaccard-large")
+    large = _kept(large.where(F.col("all") > 1).select("tree", "key", "parts"))
     routed = reps.select(F.posexplode("keys").alias("tree", "key"), "id", *(c for c in carried if c != "id"), *(() if "n" in carried else ("n",)), grade.alias("grade"))
     zero = F.lit(0).cast("long")
     plain = [zero.alias("cell"), zero.alias("other"), F.lit(0).alias("side")]
@@ -399,25 +427,26 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, gram: int, kind: str, wan
     """(tree, key, cell, other, side, copies, a, h1, grams) of texts at their places; ``wanted``: their ids and places, broadcast."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        def hits() -> Iterator[pa.RecordBatch]:
+            ids = wanted.value[0]
+            for batch in batches:
+                own = batch.column(0).to_numpy(zero_copy_only=False)
+                yield batch.filter(pa.array(ids[np.minimum(np.searchsorted(ids, own), len(ids) - 1)] == own))
+
+        for piece, values in _pieces(batches if wanted is None else hits(), 1):
             if wanted is not None:
                 ids, offsets, flat = wanted.value
-                own = batch.column(0).to_numpy(zero_copy_only=False)
-                at = np.minimum(np.searchsorted(ids, own), len(ids) - 1)
-                hit = ids[at] == own
-                batch = batch.filter(pa.array(hit))
-                places = [flat.slice(offsets[k], offsets[k + 1] - offsets[k]).to_pylist() for k in at[hit].tolist()]
+                at = np.searchsorted(ids, piece.column(0).to_numpy(zero_copy_only=False))
+                places = [flat.slice(offsets[k], offsets[k + 1] - offsets[k]).to_pylist() for k in at.tolist()]
             else:
-                places = batch.column(2).to_pylist()
-            ids_, values = batch.column(0).to_pylist(), texts(batch.column(1))
-            for a, b in slices(values, SLICE_CHARS):
-                rows = [(p, i, _digest(own, 7), own.tobytes()) for i, of, own in zip(ids_[a:b], places[a:b], gram_sets(values[a:b], gram)) if len(own) for p in of]
-                # A text at many places is sent to each: in batches of bounded size.
-                for x, y in _runs([len(r[3]) for r in rows], 8 * SLICE_CHARS):
-                    yield pa.record_batch(
-                        [*(pa.array([r[0][f.name] for r in rows[x:y]], f.type) for f in _PLACED), *(pa.array([r[k] for r in rows[x:y]], t) for k, t in ((1, batch.column(0).type), (2, pa.int64()), (3, pa.binary())))],
-                        [*_PLACED.names, "a", "h1", "grams"],
-                    )
+                places = piece.column(2).to_pylist()
+            rows = [(p, i, _digest(own, 7), own.tobytes()) for i, of, own in zip(piece.column(0).to_pylist(), places, gram_sets(values, gram)) if len(own) for p in of]
+            # A text at many places is sent to each: in batches of bounded size.
+            for x, y in _runs([len(r[3]) for r in rows], 8 * SLICE_CHARS):
+                yield pa.record_batch(
+                    [*(pa.array([r[0][f.name] for r in rows[x:y]], f.type) for f in _PLACED), *(pa.array([r[k] for r in rows[x:y]], t) for k, t in ((1, piece.column(0).type), (2, pa.int64()), (3, pa.binary())))],
+                    [*_PLACED.names, "a", "h1", "grams"],
+                )
 
     return docs.mapInArrow(run, f"tree int, key long, cell long, other long, side int, copies long, a {kind}, h1 long, grams binary")
 
@@ -436,7 +465,7 @@ def _runs(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
 def _placed_sets(docs: DataFrame, places: DataFrame, id_col: str, text_col: str, gram: int, broadcast_rows: int) -> DataFrame | None:
     """Sets at ``places`` (id and the columns of ``_PLACED``), each place's rows together and sorted by id; None where there are no places."""
     kind = dict(docs.dtypes)[id_col]
-    wanted = cut(places.groupBy("id").agg(F.collect_list(F.struct(*_PLACED.names)).alias("places")), "jaccard-wanted")
+    wanted = _kept(places.groupBy("id").agg(F.collect_list(F.struct(*_PLACED.names)).alias("places")))
     size = wanted.agg(F.coalesce(F.sum(F.size("places")), F.lit(0))).first()[0]
     if not size:
         return None
@@ -493,11 +522,9 @@ def _levels(docs: DataFrame, id_col: str, text_col: str, gram: int, count: int)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(COUNTERS, np.int64)
-        for batch in batches:
-            values = texts(batch.column(0))
-            for a, b in slices(values, SLICE_CHARS):
-                at, times = np.unique((np.concatenate(gram_sets(values[a:b], gram)) >> R.U(42)).astype(np.int64), return_counts=True)
-                total[at] += times
+        for _, values in _pieces(batches, 0):
+            at, times = np.unique((np.concatenate(gram_sets(values, gram)) >> R.U(42)).astype(np.int64), return_counts=True)
+            total[at] += times
         yield pa.record_batch([pa.array([np.minimum(total, 255).astype(np.uint8).tobytes()], pa.binary())], ["counts"])
 
     some = docs.where(F.col(id_col).isNotNull() & (F.pmod(F.xxhash64(id_col), F.lit(max(1, count // SAMPLE))) == 0)).select(text_col)
@@ -525,21 +552,19 @@ def _postings(levels, gram: int, threshold: float, parts: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, total = [], 0
-        for batch in batches:
-            blocks, values = batch.column(0).to_pylist(), texts(batch.column(1))
-            for a, b in slices(values, SLICE_CHARS):
-                for block, own in zip(blocks[a:b], gram_sets(values[a:b], gram)):
-                    n = len(own)
-                    if not n:
-                        continue
-                    # Sets are sorted by hash: a stable sort by level gives the order that all texts have.
-                    first = np.argsort(levels.value[(own >> R.U(42)).astype(np.int64)], kind="stable")[: n - math.ceil(threshold * n - 1e-9) + 1]
-                    node = _digest(own, 7)
-                    held.append((own[first], np.minimum(n - np.arange(len(first)), 0xFFFF).astype(np.uint16), np.full(len(first), n, np.uint32), np.full(len(first), node), np.full(len(first), node if block is None else block)))
-                    total += len(first)
-                    if total >= FLUSH:
-                        yield send(held)
-                        held, total = [], 0
+        for piece, values in _pieces(batches, 1):
+            for block, own in zip(piece.column(0).to_pylist(), gram_sets(values, gram)):
+                n = len(own)
+                if not n:
+                    continue
+                # Sets are sorted by hash: a stable sort by level gives the order that all texts have.
+                first = np.argsort(levels.value[(own >> R.U(42)).astype(np.int64)], kind="stable")[: n - math.ceil(threshold * n - 1e-9) + 1]
+                node = _digest(own, 7)
+                held.append((own[first], np.minimum(n - np.arange(len(first)), 0xFFFF).astype(np.uint16), np.full(len(first), n, np.uint32), np.full(len(first), node), np.full(len(first), node if block is None else block)))
+                total += len(first)
+                if total >= FLUSH:
+                    yield send(held)
+                    held, total = [], 0
         if held:
             yield send(held)
 
@@ -620,7 +645,7 @@ def _rest(docs: DataFrame, reps: DataFrame, blocks: DataFrame, count: int, grams
     sent = source.mapInArrow(_postings(levels, gram, threshold, parts), f"part int, {binaries}")
     met = sent.repartition(min(parts, 4096), "part").sortWithinPartitions("part").mapInArrow(_meetings(threshold), "x long, y long").distinct()
     ends = reps.select("h1", "id", "n", "bits")
-    both = cut(met, "jaccard-met").join(ends.select(F.col("h1").alias("x"), F.struct("id", "n", "bits").alias("p")), "x").join(ends.select(F.col("h1").alias("y"), F.struct("id", "n", "bits").alias("q")), "y")
+    both = met.join(ends.select(F.col("h1").alias("x"), F.struct("id", "n", "bits").alias("p")), "x").join(ends.select(F.col("h1").alias("y"), F.struct("id", "n", "bits").alias("q")), "y")
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -633,7 +658,7 @@ def _rest(docs: DataFrame, reps: DataFrame, blocks: DataFrame, count: int, grams
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     both = both.select(F.col("p.id").alias("a"), F.col("q.id").alias("b"), F.col("p.n").alias("n"), F.col("q.n").alias("m"), F.col("p.bits").alias("u"), F.col("q.bits").alias("v"))
-    left = cut(both.mapInArrow(bound, f"a {kind}, b {kind}"), "jaccard-left")
+    left = both.mapInArrow(bound, f"a {kind}, b {kind}")
     # A place for each pair.
     place = [F.lit(0).alias("tree"), F.xxhash64("a", "b").alias("key"), F.xxhash64("b", "a").alias("cell"), F.xxhash64("b", "a").alias("other"), F.lit(0).alias("side"), F.lit(1).cast("long").alias("copies")]
     sets = _placed_sets(docs, left.select(F.explode(F.array("a", "b")).alias("id"), *place), id_col, text_col, gram, broadcast_rows)
@@ -643,41 +668,47 @@ def _rest(docs: DataFrame, reps: DataFrame, blocks: DataFrame, count: int, grams
 
 
 def _links(docs: DataFrame, id_col: str, text_col: str, pairs: bool, threshold: float = THRESHOLD, gram: int = GRAM, trees: int = TREES, split: int = SPLIT, broadcast_rows: int = BROADCAST_ROWS, cell_grams: int = CELL_GRAMS) -> tuple[DataFrame, DataFrame]:
-    """(id, rep): each text with a set, and the smallest id whose set equals its own; and what ``_prove`` says of the links between such smallest ids.  Both are written tables."""
+    """(id, rep): each text with a set, and the smallest id whose set equals its own; and what ``_prove`` says of the links between such smallest ids.  Both are kept (``_kept``)."""
     spark, kind = docs.sparkSession, dict(docs.dtypes)[id_col]
     arrow = to_arrow_type(docs.schema[id_col].dataType)
-    sketch = cut(_sketches(docs, id_col, text_col, gram, trees), "jaccard-sketches")
-    shape = ["h1", "h2", "n"]
-    # An id that is repeated counts with its first set; as a rule there is none, and the join falls away.
-    twice = sketch.groupBy("id").agg(F.min(F.struct(*shape)).alias("first"), F.max(F.struct(*shape)).alias("last")).where("first <> last").select("id", "first")
-    single = sketch.join(twice, "id", "left").where(F.col("first").isNull() | (F.struct(*shape) == F.col("first")))
-    reps = cut(single.groupBy(*shape).agg(F.min(F.struct("id", "keys", "bits")).alias("r")).select("r.id", *shape, "r.keys", "r.bits"), "jaccard-reps")
-    same = cut(single.select("id", *shape).distinct().join(reps.select(F.col("id").alias("rep"), *shape), shape).select("id", "rep"), "jaccard-same")
-    third = "jaccard double" if pairs else "links long"
-    count, grams = sketch.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    if count < 2:
-        return same, spark.createDataFrame([], f"doc_a {kind}, doc_b {kind}, {third}")
-    routed = _cells(reps, threshold, split, broadcast_rows).repartition(*_PLACE).sortWithinPartitions(*_PLACE, "id")
-    found = cut(routed.mapInArrow(_search(threshold, arrow), f"doc_a {kind}, doc_b {kind}").distinct(), "jaccard-found")
-    heads = components(found)
-    blocks = cut(same.join(heads.withColumnRenamed("id", "rep"), "rep").select("id", F.xxhash64("head").alias("block")), "jaccard-blocks")
-    rest = _rest(docs, reps, blocks, count, grams, id_col, text_col, gram, threshold, broadcast_rows)
-    if rest is not None:
-        rest = cut(rest, "jaccard-rest")
-        if not rest.isEmpty():
-            heads = components(found.unionAll(rest))
-    # Each block is a tree.  Two whose hashes are equal would be one tree, which changes nothing.
-    copies = same.groupBy(F.col("rep").alias("id")).agg(F.count("*").alias("copies"))
-    inside = reps.select("id", "n").join(heads, "id").join(copies, "id").select("id", "n", "copies", F.array(F.xxhash64("head")).alias("keys"))
-    placed = _cells(inside, threshold, split, broadcast_rows, cell_grams, ("id", "copies"))
-    sets = _placed_sets(docs, placed, id_col, text_col, gram, broadcast_rows)
-    if sets is None:
-        return same, spark.createDataFrame([], f"doc_a {kind}, doc_b {kind}, {third}")
-    return same, cut(sets.mapInArrow(_prove(threshold, arrow, pairs), f"doc_a {kind}, doc_b {kind}, {third}"), "jaccard-links")
+    sketch = _sketches(docs, id_col, text_col, gram, trees).persist(StorageLevel.DISK_ONLY)
+    reps = None
+    try:
+        shape = ["h1", "h2", "n"]
+        # An id that is repeated counts with its first set; as a rule there is none, and the join falls away.
+        twice = sketch.groupBy("id").agg(F.min(F.struct(*shape)).alias("first"), F.max(F.struct(*shape)).alias("last")).where("first <> last").select("id", "first")
+        single = sketch.join(twice, "id", "left").where(F.col("first").isNull() | (F.struct(*shape) == F.col("first")))
+        reps = single.groupBy(*shape).agg(F.min(F.struct("id", "keys", "bits")).alias("r")).select("r.id", *shape, "r.keys", "r.bits").persist(StorageLevel.DISK_ONLY)
+        same = _kept(single.select("id", *shape).distinct().join(reps.select(F.col("id").alias("rep"), *shape), shape).select("id", "rep"))
+        third = "jaccard double" if pairs else "links long"
+        count, grams = sketch.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+        if count < 2:
+            return same, spark.createDataFrame([], f"doc_a {kind}, doc_b {kind}, {third}")
+        routed = _cells(reps, threshold, split, broadcast_rows).repartition(*_PLACE).sortWithinPartitions(*_PLACE, "id")
+        found = _kept(routed.mapInArrow(_search(threshold, arrow), f"doc_a {kind}, doc_b {kind}").distinct())
+        heads = components(found)
+        blocks = _kept(same.join(heads.withColumnRenamed("id", "rep"), "rep").select("id", F.xxhash64("head").alias("block")))
+        rest = _rest(docs, reps, blocks, count, grams, id_col, text_col, gram, threshold, broadcast_rows)
+        if rest is not None:
+            rest = _kept(rest)
+            if not rest.isEmpty():
+                heads = components(found.unionAll(rest))
+        # Each block is a tree.  Two whose hashes are equal would be one tree, which changes nothing.
+        copies = same.groupBy(F.col("rep").alias("id")).agg(F.count("*").alias("copies"))
+        inside = reps.select("id", "n").join(heads, "id").join(copies, "id").select("id", "n", "copies", F.array(F.xxhash64("head")).alias("keys"))
+        placed = _cells(inside, threshold, split, broadcast_rows, cell_grams, ("id", "copies"))
+        sets = _placed_sets(docs, placed, id_col, text_col, gram, broadcast_rows)
+        if sets is None:
+            return same, spark.createDataFrame([], f"doc_a {kind}, doc_b {kind}, {third}")
+        return same, _kept(sets.mapInArrow(_prove(threshold, arrow, pairs), f"doc_a {kind}, doc_b {kind}, {third}"))
+    finally:
+        for df in (sketch, reps):
+            if df is not None:
+                df.unpersist()
 
 
 def alike(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> tuple[DataFrame, DataFrame]:
-    """(id, rep): each text with a set, and the smallest id whose set equals its own; and (doc_a, doc_b, jaccard): all links between such smallest ids.  Both are written tables."""
+    """(id, rep): each text with a set, and the smallest id whose set equals its own; and (doc_a, doc_b, jaccard): all links between such smallest ids.  Both are kept (``_kept``)."""
     return _links(docs, id_col, text_col, True, **options)
 
 
@@ -687,13 +718,13 @@ def components(pairs: DataFrame) -> DataFrame:
     Every round a text takes the smallest label next to it, then the label of its label; the
     rounds needed grow with the logarithm of a component's diameter.
     """
-    edges = cut(pairs.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")).unionAll(pairs.select("doc_b", "doc_a")).distinct(), "components-edges")
-    labels = cut(edges.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("head")), "components")
+    edges = _kept(pairs.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")).unionAll(pairs.select("doc_b", "doc_a")).distinct())
+    labels = _kept(edges.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("head")))
     while True:
         near = edges.join(labels.select(F.col("id").alias("b"), "head"), "b").groupBy(F.col("a").alias("id")).agg(F.min("head").alias("near"))
         step = labels.join(near, "id").select("id", "head", F.least("head", "near").alias("low"))
         jump = labels.select(F.col("id").alias("low"), F.col("head").alias("far"))
-        step = cut(step.join(jump, "low", "left").select("id", F.col("head").alias("old"), F.least("low", F.coalesce("far", "low")).alias("head")), "components")
+        step = _kept(step.join(jump, "low", "left").select("id", F.col("head").alias("old"), F.least("low", F.coalesce("far", "low")).alias("head")))
         labels = step.select("id", "head")
         if step.where("old <> head").isEmpty():
             break
@@ -710,7 +741,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     copies = same.groupBy("rep").agg(F.count("*").alias("copies"))
     near = links.groupBy(F.col("doc_a").alias("rep")).agg(F.sum("links").alias("near"))
     found = copies.join(near, "rep", "left").join(components(_edges(links)).withColumnRenamed("id", "rep"), "rep", "left")
-    found = cut(found.select("rep", F.coalesce("head", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("links")), "jaccard-classes")
+    found = _kept(found.select("rep", F.coalesce("head", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("links")))
     member = same.join(found, "rep").select(F.col("id").alias("_member"), "class_id", "links")
     out = docs.select(id_col).join(member, F.col(id_col) == F.col("_member"), "left")
     return out.select(id_col, F.coalesce("class_id", id_col).alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
