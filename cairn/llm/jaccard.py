@@ -69,6 +69,8 @@ STRETCH = 1 << 13
 CELL_GRAMS = 1 << 21
 #: The order of n-grams is fitted on about so many texts, in so many counters.
 SAMPLE, COUNTERS = 1 << 15, 1 << 22
+#: Counters in a row of their sums.
+CHUNK = 1 << 16
 #: Postings that a task sorts at once, about; and that are gathered before they are sent.
 POSTINGS, FLUSH = 1 << 18, 1 << 18
 
@@ -518,20 +520,35 @@ def _prove(threshold: float, kind: pa.DataType, pairs: bool):
 
 
 def _levels(docs: DataFrame, id_col: str, text_col: str, gram: int, count: int) -> np.ndarray:
-    """How often n-grams of each of ``COUNTERS`` hash values are in about ``SAMPLE`` of ``count`` texts, up to 255."""
+    """How often n-grams of each of ``COUNTERS`` hash values are in about ``SAMPLE`` of ``count`` texts, up to 255.
+
+    The texts are counted where they are; counters are added up by the executors, so the driver gets each of them once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(COUNTERS, np.int64)
         for _, values in _pieces(batches, 0):
             at, times = np.unique((np.concatenate(gram_sets(values, gram)) >> R.U(42)).astype(np.int64), return_counts=True)
             total[at] += times
-        yield pa.record_batch([pa.array([np.minimum(total, 255).astype(np.uint8).tobytes()], pa.binary())], ["counts"])
+        for chunk, own in enumerate(total.reshape(-1, CHUNK)):
+            at = np.flatnonzero(own)
+            if len(at):
+                yield pa.record_batch([pa.array([chunk], pa.int32()), pa.array([at.astype(np.uint16).tobytes()], pa.binary()), pa.array([np.minimum(own[at], 255).astype(np.uint8).tobytes()], pa.binary())], ["chunk", "at", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for r in batch.to_pylist():
+                sums.setdefault(r["chunk"], np.zeros(CHUNK, np.int64))[np.frombuffer(r["at"], np.uint16)] += np.frombuffer(r["counts"], np.uint8)
+        for chunk, own in sums.items():
+            yield pa.record_batch([pa.array([chunk], pa.int32()), pa.array([np.minimum(own, 255).astype(np.uint8).tobytes()], pa.binary())], ["chunk", "counts"])
 
     some = docs.where(F.col(id_col).isNotNull() & (F.pmod(F.xxhash64(id_col), F.lit(max(1, count // SAMPLE))) == 0)).select(text_col)
-    total = np.zeros(COUNTERS, np.int64)
-    for r in some.repartition(min(8, 1 + count // 1024)).mapInArrow(run, "counts binary").collect():
-        total += np.frombuffer(r["counts"], np.uint8)
-    return np.minimum(total, 255).astype(np.uint8)
+    sums = some.mapInArrow(run, "chunk int, at binary, counts binary").repartition(min(8, 1 + count // 1024), "chunk").mapInArrow(add, "chunk int, counts binary")
+    levels = np.zeros((COUNTERS // CHUNK, CHUNK), np.uint8)
+    for r in sums.collect():
+        levels[r["chunk"]] = np.frombuffer(r["counts"], np.uint8)
+    return levels.ravel()
 
 
 _POSTING = (("k", np.uint32), ("rest", np.uint16), ("n", np.uint32), ("node", np.int64), ("block", np.int64))
