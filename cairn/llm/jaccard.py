@@ -71,6 +71,8 @@ CELL_GRAMS = 1 << 21
 SAMPLE, COUNTERS = 1 << 15, 1 << 22
 #: Counters in a row of their sums.
 CHUNK = 1 << 16
+#: Spark's setting that a query's shuffle files are removed when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Postings that a task sorts at once, about; and that are gathered before they are sent.
 POSTINGS, FLUSH = 1 << 18, 1 << 18
 
@@ -289,9 +291,23 @@ class Overlaps:
         return out
 
 
+def _fleeting(df: DataFrame) -> DataFrame:
+    """``df``, whose shuffle files go when an action on it ends, not when the driver happens to collect its garbage."""
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP, None)
+    conf.set(CLEANUP, "true")
+    try:
+        return df.select("*")  # a plan takes the setting when it is made
+    finally:
+        if before is None:
+            conf.unset(CLEANUP)
+        else:
+            conf.set(CLEANUP, before)
+
+
 def _kept(df: DataFrame) -> DataFrame:
     """``df`` computed and kept on the disks of two executors, without lineage: losing one of them costs no recomputation."""
-    return df.localCheckpoint(True, StorageLevel.DISK_ONLY_2)
+    return _fleeting(df).localCheckpoint(True, StorageLevel.DISK_ONLY_2)
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
@@ -546,7 +562,7 @@ def _levels(docs: DataFrame, id_col: str, text_col: str, gram: int, count: int)
     some = docs.where(F.col(id_col).isNotNull() & (F.pmod(F.xxhash64(id_col), F.lit(max(1, count // SAMPLE))) == 0)).select(text_col)
     sums = some.mapInArrow(run, "chunk int, at binary, counts binary").repartition(min(8, 1 + count // 1024), "chunk").mapInArrow(add, "chunk int, counts binary")
     levels = np.zeros((COUNTERS // CHUNK, CHUNK), np.uint8)
-    for r in sums.collect():
+    for r in _fleeting(sums).collect():
         levels[r["chunk"]] = np.frombuffer(r["counts"], np.uint8)
     return levels.ravel()
 
@@ -692,13 +708,17 @@ def _links(docs: DataFrame, id_col: str, text_col: str, pairs: bool, threshold:
     reps = None
     try:
         shape = ["h1", "h2", "n"]
-        # An id that is repeated counts with its first set; as a rule there is none, and the join falls away.
-        twice = sketch.groupBy("id").agg(F.min(F.struct(*shape)).alias("first"), F.max(F.struct(*shape)).alias("last")).where("first <> last").select("id", "first")
-        single = sketch.join(twice, "id", "left").where(F.col("first").isNull() | (F.struct(*shape) == F.col("first")))
+        # An id that is repeated counts with its first set; as a rule there is none, and no sketch is moved for it.
+        twice = _kept(sketch.groupBy("id").agg(F.min(F.struct(*shape)).alias("first"), F.max(F.struct(*shape)).alias("last")).where("first <> last").select("id", "first"))
+        repeated = twice.count()
+        single = sketch
+        if repeated:
+            single = sketch.join(F.broadcast(twice) if repeated <= broadcast_rows else twice, "id", "left").where(F.col("first").isNull() | (F.struct(*shape) == F.col("first")))
         reps = single.groupBy(*shape).agg(F.min(F.struct("id", "keys", "bits")).alias("r")).select("r.id", *shape, "r.keys", "r.bits").persist(StorageLevel.DISK_ONLY)
         same = _kept(single.select("id", *shape).distinct().join(reps.select(F.col("id").alias("rep"), *shape), shape).select("id", "rep"))
         third = "jaccard double" if pairs else "links long"
         count, grams = sketch.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+        sketch.unpersist()  # all that is still needed of it is in the other two
         if count < 2:
             return same, spark.createDataFrame([], f"doc_a {kind}, doc_b {kind}, {third}")
         routed = _cells(reps, threshold, split, broadcast_rows).repartition(*_PLACE).sortWithinPartitions(*_PLACE, "id")
