@@ -13,8 +13,9 @@ under that directory's own hash.  Two nodes of coefficient J meet in at least on
 
 *Rest.*  What the directories miss is found by prefixes, which miss nothing: the n-grams of all texts have one
 order, rare ones first, and sets of x and y n-grams with coefficient t share t / (1 + t) * (x + y) of them, so the first
-one they share has as many behind it, itself included, in both.  Nodes of different blocks that share such an n-gram are compared; their
-links join blocks.  The order is fitted on about ``SAMPLE`` texts; another order costs time, but no link.
+one they share has as many behind it, itself included, in both, the second one less, and so on.  Nodes of different blocks that share ``SHARED``
+such n-grams (fewer only where a link needs fewer) are compared; their links join blocks.  One such n-gram is shared by many texts by
+chance, and more of them the more texts there are.  The order is fitted on about ``SAMPLE`` texts; another order costs time, but no link.
 
 *Tree.*  Each block is then one tree, and every link lies in one block.  A leaf entry has a bitmap of the text's n-grams (two to four bits for each) and its size.
 A tree node holds the OR of its children's bitmaps, their sizes' range and their largest collision count
@@ -73,6 +74,8 @@ SAMPLE, COUNTERS = 1 << 15, 1 << 22
 CHUNK = 1 << 16
 #: Spark's setting that a query's shuffle files are removed when it ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: So many n-grams, or as many as a link needs, have to be shared by what is compared beside the directories.
+SHARED = 4
 #: Postings that a task sorts at once, about; and that are gathered before they are sent.
 POSTINGS, FLUSH = 1 << 18, 1 << 18
 
@@ -570,8 +573,8 @@ def _levels(docs: DataFrame, id_col: str, text_col: str, gram: int, count: int)
 _POSTING = (("k", np.uint32), ("rest", np.uint16), ("n", np.uint32), ("node", np.int64), ("block", np.int64))
 
 
-def _postings(levels, gram: int, threshold: float, parts: int):
-    """Of (block, text): the n-grams that may be the first of a link, each with how many of the set are from it on."""
+def _postings(levels, gram: int, threshold: float, parts: int, shared: int):
+    """Of (block, text): the n-grams that may be among the first ``shared`` ones of a link, each with how many of the set are from it on."""
     fields = [("part", pa.int32()), *((name, pa.binary()) for name, _ in _POSTING)]
 
     def send(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
@@ -591,7 +594,7 @@ def _postings(levels, gram: int, threshold: float, parts: int):
                 if not n:
                     continue
                 # Sets are sorted by hash: a stable sort by level gives the order that all texts have.
-                first = np.argsort(levels.value[(own >> R.U(42)).astype(np.int64)], kind="stable")[: n - math.ceil(threshold * n - 1e-9) + 1]
+                first = np.argsort(levels.value[(own >> R.U(42)).astype(np.int64)], kind="stable")[: n - math.ceil(threshold * n - 1e-9) + shared]
                 node = _digest(own, 7)
                 held.append((own[first], np.minimum(n - np.arange(len(first)), 0xFFFF).astype(np.uint16), np.full(len(first), n, np.uint32), np.full(len(first), node), np.full(len(first), node if block is None else block)))
                 total += len(first)
@@ -604,11 +607,14 @@ def _postings(levels, gram: int, threshold: float, parts: int):
     return run
 
 
-def _meetings(threshold: float):
-    """Pairs of nodes of different blocks that share an n-gram with enough of both sets from it on; a pair may come more than once."""
+def _meetings(threshold: float, shared: int):
+    """(x, y, need, times): nodes of different blocks, how many n-grams with enough of both sets from them on they have to share, and how many of these were seen; a pair may come more than once."""
 
     def pairs(k: np.ndarray, rest: np.ndarray, n: np.ndarray, node: np.ndarray, block: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        order = np.lexsort((block, k))
+        order = np.lexsort((rest, node, block, k))
+        # Copies send the same postings: each counts once.  An n-gram's place tells it from others of the text, up to the largest number.
+        again = np.logical_and.reduce([c[order[1:]] == c[order[:-1]] for c in (k, node, rest)]) & (rest[order[1:]] < 0xFFFF)
+        order = order[np.concatenate(([True], ~again))]
         k, block = k[order], block[order]
         new = np.concatenate(([True], k[1:] != k[:-1]))
         start = np.flatnonzero(new)
@@ -629,10 +635,11 @@ def _meetings(threshold: float):
                 c = np.minimum(count[x] - low, 1 << 18) if to == at + 1 else count[x]
                 i = np.repeat(x, c)
                 j = np.repeat(after[x] + low - (np.cumsum(c) - c), c) + np.arange(int(c.sum()))
-                ok = np.minimum(rest[i], rest[j]) >= threshold / (1 + threshold) * (n[i] + n[j]) - 1e-9
-                i, j = node[i[ok]], node[j[ok]]
+                need = np.ceil(threshold / (1 + threshold) * (n[i] + n[j]) - 1e-9).astype(np.int64)
+                ok = np.minimum(rest[i], rest[j]) >= need - (shared - 1)
+                i, j, need = node[i[ok]], node[j[ok]], np.minimum(need[ok], shared)
                 if len(i):
-                    yield np.unique(np.stack([np.minimum(i, j), np.maximum(i, j)]), axis=1)
+                    yield np.unique(np.stack([np.minimum(i, j), np.maximum(i, j), need]), axis=1, return_counts=True)
             at = to
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -651,8 +658,8 @@ def _meetings(threshold: float):
             for c, column in enumerate(columns):
                 columns[c] = (k if not c else np.concatenate(column))[some]
             if len(some):
-                for x, y in pairs(*columns):
-                    yield pa.record_batch([pa.array(x), pa.array(y)], ["x", "y"])
+                for (x, y, need), times in pairs(*columns):
+                    yield pa.record_batch([pa.array(x), pa.array(y), pa.array(need), pa.array(times)], ["x", "y", "need", "times"])
 
         for batch in batches:
             for r in range(batch.num_rows):
@@ -666,17 +673,23 @@ def _meetings(threshold: float):
     return run
 
 
-def _rest(docs: DataFrame, reps: DataFrame, blocks: DataFrame, count: int, grams: int, id_col: str, text_col: str, gram: int, threshold: float, broadcast_rows: int) -> DataFrame | None:
-    """(doc_a, doc_b): links between nodes of different blocks; ``blocks``: (id, block) of all texts in one of several nodes."""
-    spark, kind = docs.sparkSession, dict(docs.dtypes)[id_col]
-    levels = spark.sparkContext.broadcast(_levels(docs, id_col, text_col, gram, count))
-    parts = max(1, math.ceil(grams * (1 - threshold) / POSTINGS))
+def _met(docs: DataFrame, blocks: DataFrame, count: int, grams: int, id_col: str, text_col: str, gram: int, threshold: float, broadcast_rows: int, shared: int) -> DataFrame:
+    """(x, y): the digests of nodes of different blocks that share as many of their first n-grams as links do."""
+    levels = docs.sparkSession.sparkContext.broadcast(_levels(docs, id_col, text_col, gram, count))
+    parts = max(1, math.ceil((grams * (1 - threshold) + count * shared) / POSTINGS))
     many = blocks.count()
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null")
     source = source.join(F.broadcast(blocks) if many <= broadcast_rows else blocks, "id", "left").select("block", "text")
     binaries = ", ".join(f"{name} binary" for name, _ in _POSTING)
-    sent = source.mapInArrow(_postings(levels, gram, threshold, parts), f"part int, {binaries}")
-    met = sent.repartition(min(parts, 4096), "part").sortWithinPartitions("part").mapInArrow(_meetings(threshold), "x long, y long").distinct()
+    sent = source.mapInArrow(_postings(levels, gram, threshold, parts, shared), f"part int, {binaries}")
+    met = sent.repartition(min(parts, 4096), "part").sortWithinPartitions("part").mapInArrow(_meetings(threshold, shared), "x long, y long, need long, times long")
+    return met.groupBy("x", "y", "need").agg(F.sum("times").alias("times")).where("times >= need").select("x", "y")
+
+
+def _rest(docs: DataFrame, reps: DataFrame, blocks: DataFrame, count: int, grams: int, id_col: str, text_col: str, gram: int, threshold: float, broadcast_rows: int, shared: int) -> DataFrame | None:
+    """(doc_a, doc_b): links between nodes of different blocks; ``blocks``: (id, block) of all texts in one of several nodes."""
+    kind = dict(docs.dtypes)[id_col]
+    met = _met(docs, blocks, count, grams, id_col, text_col, gram, threshold, broadcast_rows, shared)
     ends = reps.select("h1", "id", "n", "bits")
     both = met.join(ends.select(F.col("h1").alias("x"), F.struct("id", "n", "bits").alias("p")), "x").join(ends.select(F.col("h1").alias("y"), F.struct("id", "n", "bits").alias("q")), "y")
 
@@ -700,7 +713,7 @@ def _rest(docs: DataFrame, reps: DataFrame, blocks: DataFrame, count: int, grams
     return sets.mapInArrow(_prove(threshold, to_arrow_type(docs.schema[id_col].dataType), True), f"doc_a {kind}, doc_b {kind}, jaccard double").select("doc_a", "doc_b")
 
 
-def _links(docs: DataFrame, id_col: str, text_col: str, pairs: bool, threshold: float = THRESHOLD, gram: int = GRAM, trees: int = TREES, split: int = SPLIT, broadcast_rows: int = BROADCAST_ROWS, cell_grams: int = CELL_GRAMS) -> tuple[DataFrame, DataFrame]:
+def _links(docs: DataFrame, id_col: str, text_col: str, pairs: bool, threshold: float = THRESHOLD, gram: int = GRAM, trees: int = TREES, split: int = SPLIT, broadcast_rows: int = BROADCAST_ROWS, cell_grams: int = CELL_GRAMS, shared: int = SHARED) -> tuple[DataFrame, DataFrame]:
     """(id, rep): each text with a set, and the smallest id whose set equals its own; and what ``_prove`` says of the links between such smallest ids.  Both are kept (``_kept``)."""
     spark, kind = docs.sparkSession, dict(docs.dtypes)[id_col]
     arrow = to_arrow_type(docs.schema[id_col].dataType)
@@ -725,7 +738,7 @@ def _links(docs: DataFrame, id_col: str, text_col: str, pairs: bool, threshold:
         found = _kept(routed.mapInArrow(_search(threshold, arrow), f"doc_a {kind}, doc_b {kind}").distinct())
         heads = components(found)
         blocks = _kept(same.join(heads.withColumnRenamed("id", "rep"), "rep").select("id", F.xxhash64("head").alias("block")))
-        rest = _rest(docs, reps, blocks, count, grams, id_col, text_col, gram, threshold, broadcast_rows)
+        rest = _rest(docs, reps, blocks, count, grams, id_col, text_col, gram, threshold, broadcast_rows, shared)
         if rest is not None:
             rest = _kept(rest)
             if not rest.isEmpty():
