@@ -24,11 +24,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import model
-from . import bm25, diff, graph, knn, report
+from . import bm25, graph, knn, report
 from .filters import chunk_filter
 from .shared import cut
 
 BUCKETS = 64
+#: Keys of up to so many rows are broadcast to the rows they are looked up in; more are joined.
+BROADCAST_ROWS = 1 << 20
 TABLES = {
     "files": model.FILES, "chunks": model.CHUNKS, "raw_edges": model.RAW_EDGES, "edges": model.EDGES, "vectors": model.VECTORS + ", file_path string",
     "postings": "term string, chunk_id string, tf int, positions array<int>, file_path string", "lengths": "chunk_id string, dl int, file_path string",
@@ -38,6 +40,10 @@ _SORTED = {"postings": ["term"], "chunks": ["id"], "edges": ["source_chunk_id"],
 _BLOOM = {"chunks": ["id"], "edges": ["id", "source_chunk_id", "target_chunk_id"], "postings": ["term"]}
 
 
+def _few(keys: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(keys) if rows <= BROADCAST_ROWS else keys
+
+
 class DimensionMismatch(ValueError):
     pass
 
@@ -74,37 +80,45 @@ class Snapshots:
 
     def table(self, name: str, only: list[int] | None = None) -> DataFrame:
         """The current snapshot, or some buckets of it; an empty table before the first commit."""
-        return self._read(name, [f for b, f in self._list(name).items() if only is None or int(b) in only])
+        return self.read(name, [f for b, f in self._list(name).items() if only is None or int(b) in only])
 
     def bucket(self, column: str = "file_path"):
         return F.pmod(F.xxhash64(column), F.lit(self.buckets)).cast("int")
 
-    def commit(self, tables: dict[str, DataFrame], touched: list[int] | None = None) -> None:
-        """Replaces the touched buckets (all by default) of the given tables by the given rows, at once."""
-        written = {name: self._write(name, df) for name, df in tables.items()}
-        if "chunks" in tables:  # from what was just written, so that nothing is parsed or merged again
-            new = self._read("chunks", written["chunks"].values())
+    def commit(self, tables: dict[str, DataFrame], touched: list[int] | None = None, moved: bool = True) -> None:
+        """Replaces the touched buckets (all by default) of the given tables by the given rows, at once.
+
+        ``moved=False``: the rows come straight from their buckets' files and none was added, so they are written where they are read.
+        """
+        self.publish({name: self.write(name, df, moved) for name, df in tables.items()}, touched)
+
+    def publish(self, written: dict[str, dict[str, str]], touched: list[int] | None = None) -> None:
+        """``commit`` of folders that ``write`` made."""
+        written = dict(written)
+        if "chunks" in written:  # from what was just written, so that nothing is parsed or merged again
+            new = self.read("chunks", written["chunks"].values())
             for name, df in zip(("postings", "lengths"), bm25.build_postings(new, keep=("file_path",))):
-                written[name] = self._write(name, df)
+                written[name] = self.write(name, df, moved=False)
         # Only here is the list read that the new one replaces: the time in which another writer could come between is that of two renames.
         current = self.read_json("CURRENT", {}) or {}
         for name, listed in written.items():
             current[name] = ({} if touched is None else {b: f for b, f in current.get(name, {}).items() if int(b) not in touched}) | listed
         self.write_json("CURRENT", current)
 
-    def _write(self, name: str, df: DataFrame) -> dict[str, str]:
-        """New folders of the buckets that the rows lie in."""
+    def write(self, name: str, df: DataFrame, moved: bool = True) -> dict[str, str]:
+        """New folders of the buckets that the rows lie in; no list names them yet."""
         column = _PATH.get(name, "file_path")
         folder = f"{name}/{uuid.uuid4().hex}"
         rows = df.select(*[f.split(" ")[0] for f in TABLES[name].split(", ")]).withColumn("_bucket", self.bucket(column))
-        # Small buckets share a task and large ones are split, by their measured sizes.
-        out = rows.hint("rebalance", "_bucket").sortWithinPartitions("_bucket", *_SORTED.get(name, [column])).write.partitionBy("_bucket")
+        # Small buckets share a task and large ones are split, by their measured sizes.  Rows of a bucket's files lie together without that.
+        out = (rows.hint("rebalance", "_bucket") if moved else rows).sortWithinPartitions("_bucket", *_SORTED.get(name, [column])).write.partitionBy("_bucket")
+        out = out.option("compression", "zstd")
         for c in _BLOOM.get(name, []):
             out = out.option(f"parquet.bloom.filter.enabled#{c}", "true")
         out.parquet(f"{self.prefix}{self.root}/{folder}")
         return {i.base_name[8:]: f"{folder}/{i.base_name}" for i in self.system.get_file_info(fs.FileSelector(f"{self.root}/{folder}")) if i.base_name.startswith("_bucket=")}
 
-    def _read(self, name: str, folders) -> DataFrame:
+    def read(self, name: str, folders) -> DataFrame:
         folders = sorted(set(folders))
         if not folders:
             return self.spark.createDataFrame([], TABLES[name])
@@ -223,41 +237,68 @@ class IndexStore(VectorStore, GraphStore):
         from .filters import one_per
 
         s = self.snapshots
-        chunks = cut(one_per(chunks, "id", F.desc("ord")), "upserted")
-        touched = s.buckets_of((chunks, "file_path"), (self.chunks.join(chunks.select("id"), "id", "left_semi"), "file_path"))
-        merged = diff.upsert(s.table("chunks", touched), chunks)
-        paths = chunks.select(F.col("id").alias("chunk_id"), "file_path")
+        written, merged, touched = self._merged("chunks", chunks, lambda df: one_per(df, "id", F.desc("ord")))
+        paths = s.read("chunks", written.values()).select(F.col("id").alias("chunk_id"), "file_path")
         rest = s.table("vectors", touched).join(paths.select("chunk_id"), "chunk_id", "left_anti").select("chunk_id", "embedding", "file_path")
         new = rest if vectors is None else rest.unionByName(vectors.join(paths, "chunk_id").select("chunk_id", "embedding", "file_path"))
-        s.commit({"chunks": merged, "vectors": new}, touched)
+        s.publish({"chunks": merged, "vectors": s.write("vectors", new)}, touched)
 
     def delete(self, ids: list[str]) -> None:
-        s = self.snapshots
-        gone = s.spark.createDataFrame([(i,) for i in ids], "id string")
-        touched = s.buckets_of((self.get(ids), "file_path"))
-        if touched:
-            s.commit({"chunks": diff.delete(s.table("chunks", touched), gone), "vectors": diff.delete(s.table("vectors", touched), gone.withColumnRenamed("id", "chunk_id"), "chunk_id")}, touched)
+        touched = self.snapshots.buckets_of((self.get(ids), "file_path"))
+        self._without(touched, ids, {"chunks": "id", "vectors": "chunk_id"})
 
     def delete_by_file(self, file_path: str) -> None:
-        changed = self.snapshots.spark.createDataFrame([(file_path,)], "file_path string")
-        self.snapshots.replace_files(changed, {n: self.snapshots.table(n).limit(0) for n in ("chunks", "vectors")})
+        self._without(self._bucket_of(file_path), [file_path], {"chunks": "file_path", "vectors": "file_path"})
 
     def upsert_edges(self, edges: DataFrame) -> None:
-        s = self.snapshots
-        edges = cut(edges.dropDuplicates(["id"]), "upserted")
-        touched = s.buckets_of((edges, "source_file_path"), (self.edges.join(edges.select("id"), "id", "left_semi"), "source_file_path"))
-        s.commit({"edges": diff.upsert(s.table("edges", touched), edges)}, touched)
+        _, merged, touched = self._merged("edges", edges, lambda df: df.dropDuplicates(["id"]))
+        self.snapshots.publish({"edges": merged}, touched)
 
     def delete_edges_by_file(self, file_path: str) -> None:
-        changed = self.snapshots.spark.createDataFrame([(file_path,)], "file_path string")
-        self.snapshots.replace_files(changed, {"edges": self.edges.limit(0)})
+        self._without(self._bucket_of(file_path), [file_path], {"edges": "source_file_path"})
 
     def delete_edges_by_target(self, ids: list[str]) -> None:
+        touched = self.snapshots.buckets_of((self.edges.where(F.col("target_chunk_id").isin(list(ids))), "source_file_path"))
+        self._without(touched, ids, {"edges": "target_chunk_id"})
+
+    def _bucket_of(self, file_path: str) -> list[int]:
+        return self.snapshots.buckets_of((self.snapshots.spark.createDataFrame([(file_path,)], "file_path string"), "file_path"))
+
+    def _merged(self, name: str, rows: DataFrame, single) -> tuple[dict[str, str], dict[str, str], list[int]]:
+        """(folders of the new rows, folders of the new and the old that stay, touched buckets); ``single`` leaves one row of each id.
+
+        The rows are computed and moved once, into their buckets.  These folders are what is published, unless an id repeats
+        or old rows lie in the touched buckets.
+        """
+        s, path = self.snapshots, _PATH.get(name, "file_path")
+        written = s.write(name, rows)
+        n, most = self._repeats(s.read(name, written.values()))
+        if most > 1:
+            written = s.write(name, single(s.read(name, written.values())))
+        new, touched = s.read(name, written.values()), {int(b) for b in written}
+        if not s._list(name):
+            return written, written, sorted(touched)
+        # Only ids are looked up, and only those met are taken out.
+        met = cut(s.table(name).select("id", path).join(_few(new.select("id"), n), "id", "left_semi"), "replaced")
+        touched = sorted(touched | set(s.buckets_of((met, path))))
+        if not any(int(b) in touched for b in s._list(name)):
+            return written, written, touched
+        old = s.table(name, touched)
+        return written, s.write(name, old.join(_few(met.select("id"), n), "id", "left_anti").select(old.columns).unionByName(new)), touched
+
+    @staticmethod
+    def _repeats(rows: DataFrame) -> tuple[int, int]:
+        """(rows, the most that share an id) by 64-bit hashes of the ids: two that agree by chance count as repeated, which costs time only."""
+        each = rows.groupBy(F.xxhash64("id").alias("h")).agg(F.count("*").alias("n")).agg(F.sum("n").alias("rows"), F.max("n").alias("most")).first()
+        return each["rows"] or 0, each["most"] or 0
+
+    def _without(self, touched: list[int], values: list[str], columns: dict[str, str]) -> None:
+        """Rows with one of the values, a list of the caller's, leave the touched buckets.  The others are filtered where they lie, with no shuffle."""
         s = self.snapshots
-        gone = s.spark.createDataFrame([(i,) for i in ids], "target_chunk_id string")
-        touched = s.buckets_of((self.edges.where(F.col("target_chunk_id").isin(list(ids))), "source_file_path"))
-        if touched:
-            s.commit({"edges": diff.delete(s.table("edges", touched), gone, "target_chunk_id")}, touched)
+        if not touched:
+            return
+        gone = F.broadcast(s.spark.createDataFrame([(v,) for v in values], "_gone string"))
+        s.commit({n: s.table(n, touched).join(gone, F.col(c) == F.col("_gone"), "left_anti") for n, c in columns.items()}, touched, moved=False)
 
     def optimize(self, ann_rows: int = knn.ANN_ROWS) -> None:
         """Drops what no list names any more and, from ``ann_rows`` vectors on, makes the inverted file anew if vectors changed."""

@@ -47,13 +47,15 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys as edges: nation EXTENDS region, customer and supplier IMPLEMENTS nation, order CALLS customer, order USES part."""
 
-    def of(t: str, src: tuple[str, str], dst: tuple[str, str], kind: str) -> DataFrame:
+    def of(t: str, src: tuple[str, str], dst: tuple[str, str], kind: str, repeated: bool = False) -> DataFrame:
         end = lambda e: F.concat(F.lit(e[0]), F.col(e[1]).cast("string"))
-        return table(spark, sf_dir, t).select(F.lit("keys").alias("project_id"), end(src).alias("source_chunk_id"), F.lit(t).alias("source_file_path"), end(dst).alias("target_chunk_id"), F.lit(kind).alias("type"), F.lit("{}").alias("metadata"))
+        keys = table(spark, sf_dir, t).select(src[1], dst[1])
+        # The keys are made distinct, not the six columns of text that are made of them.
+        return (keys.distinct() if repeated else keys).select(F.lit("keys").alias("project_id"), end(src).alias("source_chunk_id"), F.lit(t).alias("source_file_path"), end(dst).alias("target_chunk_id"), F.lit(kind).alias("type"), F.lit("{}").alias("metadata"))
 
     parts = [
         of("nation", ("n:", "n_nationkey"), ("r:", "n_regionkey"), "EXTENDS"), of("customer", ("c:", "c_custkey"), ("n:", "c_nationkey"), "IMPLEMENTS"), of("supplier", ("s:", "s_suppkey"), ("n:", "s_nationkey"), "IMPLEMENTS"),
-        of("orders", ("o:", "o_orderkey"), ("c:", "o_custkey"), "CALLS"), of("lineitem", ("o:", "l_orderkey"), ("p:", "l_partkey"), "USES").distinct(),
+        of("orders", ("o:", "o_orderkey"), ("c:", "o_custkey"), "CALLS"), of("lineitem", ("o:", "l_orderkey"), ("p:", "l_partkey"), "USES", True),
     ]
     out = parts[0]
     for p in parts[1:]:
