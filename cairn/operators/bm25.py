@@ -8,6 +8,10 @@ A query is an OR of phrases; the words of a phrase must stand side by side.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,13 +70,50 @@ def ranked(few: DataFrame, order: list[Column], name: str = "rank") -> DataFrame
     return few.withColumn(name, F.row_number().over(Window.orderBy(*order)) - 1)
 
 
+#: Words that are grouped at a time.
+WORDS = 1 << 20
+
+
 def build_postings(rows: DataFrame, id_col: str = "id", text_col: str = "search_content", keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
-    """(term, chunk_id, tf, positions) and (chunk_id, dl), with further columns ``keep``: the index that a store keeps."""
-    words = rows.select(F.col(id_col).alias("chunk_id"), F.coalesce(T.tokens(text_col), F.array().cast("array<string>")).alias("words"), *keep)
-    lengths = words.select("chunk_id", F.size("words").alias("dl"), *keep)
-    spots = words.select("chunk_id", F.posexplode("words").alias("p", "term"), *keep)
-    postings = spots.groupBy("term", "chunk_id", *keep).agg(F.sort_array(F.collect_list("p")).alias("positions"))
-    return postings.select("term", "chunk_id", F.size("positions").alias("tf"), "positions", *keep), lengths
+    """(term, chunk_id, tf, positions) and (chunk_id, dl), with further columns ``keep``: the index that a store keeps.
+
+    All words of a row are in that row, so they are grouped there, by a sort of numbers, and nothing is shuffled.  Rows with one id have postings each.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    lengths = rows.select(F.col(id_col).alias("chunk_id"), F.regexp_count(F.lower(text), F.lit(T.WORD)).alias("dl"), *keep)
+    words = rows.select(F.col(id_col).alias("chunk_id"), T.tokens(text).alias("words"), *keep)
+    kinds = dict(words.dtypes)
+    names = ["term", "chunk_id", "tf", "positions", *keep]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ends = np.cumsum(b.column(1).value_lengths().to_numpy())
+            a = 0
+            while a < len(b):
+                n = max(1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + WORDS, "right")) - a)
+                yield _grouped(b.slice(a, n), names)
+                a += n
+
+    kept = "".join(f", `{k}` {kinds[k]}" for k in keep)
+    return words.mapInArrow(run, f"term string, chunk_id {kinds['chunk_id']}, tf int, positions array<int>{kept}"), lengths
+
+
+def _grouped(b: pa.RecordBatch, names: list[str]) -> pa.RecordBatch:
+    sizes, flat = b.column(1).value_lengths().to_numpy(), b.column(1).flatten()
+    coded = flat.dictionary_encode()
+    row = np.repeat(np.arange(len(b)), sizes)
+    place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    # A word's number and its place in the batch, which tells row and position: one number, so a plain sort does.
+    bits = len(flat).bit_length()
+    key = np.sort((coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) << bits) + np.arange(len(flat)))
+    order, code = key & ((1 << bits) - 1), key >> bits
+    of = row[order]
+    first = np.flatnonzero((np.diff(code, prepend=-1) != 0) | (np.diff(of, prepend=-1) != 0))
+    at = pa.array(of[first])
+    tf = np.diff(first, append=len(key)).astype(np.int32)
+    positions = pa.ListArray.from_arrays(pa.array(np.append(first, len(key)).astype(np.int32)), pa.array(place[order].astype(np.int32)))
+    terms = coded.dictionary.take(pa.array(code[first]))
+    return pa.record_batch([terms, b.column(0).take(at), pa.array(tf), positions, *[c.take(at) for c in b.columns[2:]]], names)
 
 
 def score_postings(postings: DataFrame, lengths: DataFrame, query: str, admitted: DataFrame | None = None) -> DataFrame:
