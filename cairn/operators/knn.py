@@ -9,6 +9,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,60 +59,143 @@ def _keep(ids: pa.Array, d: np.ndarray, k: int) -> tuple[pa.Array, np.ndarray]:
     return ids.take(pa.array(at)), d[at]
 
 
-def nearest_each(queries: DataFrame, vectors: DataFrame, k: int, id_col: str, vector_col: str, rows: int = 4096) -> DataFrame:
+#: Vectors of a block, entries of a product that are held at a time, and parts that the vectors are searched in.
+BLOCK, ENTRIES, PARTS = 4096, 1 << 22, 4
+
+
+def nearest_each(queries: DataFrame, vectors: DataFrame, k: int, id_col: str, vector_col: str, rows: int = BLOCK) -> DataFrame:
     """(query, id, dist, rank): the k nearest of every query vector, the query's own id left out.
 
-    Both sides are cut into blocks of at most ``rows`` vectors; every pair of blocks is one matrix product, whose
-    result is brought down to k before anything is shuffled.  Blocks, not whole sides, are copied, so no side
-    need fit anywhere.
+    Both sides are cut into blocks of at most ``rows`` vectors.  A task takes some blocks of queries, one at a time, past a part of
+    the vectors' blocks: a product of two blocks, in slices of ``ENTRIES``, gives rough distances with a bound on their error, and
+    only what may be nearer than the k-th found so far is measured exactly.  Neither a side nor a product of blocks is ever held whole.
     """
+    kind, other = _typed(queries, id_col), _typed(vectors, id_col)
+
+    def blocks(df: DataFrame, names: tuple[str, ...], parts: int) -> DataFrame:
+        single = "float" in _typed(df, vector_col)
+
+        def block(ids: list, m: list, n: int) -> pa.RecordBatch:
+            held, flat = pa.concat_arrays(ids), np.concatenate(m).astype("<f4" if single else "<f8")
+            lists = pa.ListArray.from_arrays(pa.array([0, len(held)], pa.int32()), held)
+            return pa.record_batch([pa.array([f"{TaskContext.get().partitionId()}-{n}"]), lists, pa.array([flat.shape[1]], pa.int32()), pa.array([flat.tobytes()], pa.binary())], list(names))
 
-    def blocks(df: DataFrame, names: tuple[str, str]) -> DataFrame:
         def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, held, n = [], [], 0
             for b in batches:
                 m, at = matrix(b.column(1))
-                ids = b.column(0).take(pa.array(at)).to_pylist()
-                for a in range(0, len(m), rows):
-                    yield pa.record_batch([pa.array([ids[a : a + rows]], pa.list_(b.column(0).type)), pa.array([np.ascontiguousarray(m[a : a + rows]).tobytes()], pa.binary())], list(names))
-
-        return df.select(id_col, vector_col).mapInArrow(pack, f"{names[0]} array<{_typed(df, id_col)}>, {names[1]} binary")
-
-    kind = _typed(queries, id_col)
+                found = b.column(0).take(pa.array(at))
+                while len(m):
+                    room = rows - sum(map(len, held))
+                    if held and (not room or held[0].shape[1] != m.shape[1]):
+                        yield block(ids, held, n)
+                        ids, held, n = [], [], n + 1
+                        continue
+                    ids.append(found[:room])
+                    held.append(m[:room])
+                    found, m = found[room:], m[room:]
+            if held:
+                yield block(ids, held, n)
+
+        cut = df.select(id_col, vector_col).mapInArrow(pack, f"{names[0]} string, {names[1]} array<{_typed(df, id_col)}>, {names[2]} int, {names[3]} binary")
+        return cut.repartition(parts)
+
+    widths = [4 if "float" in _typed(df, vector_col) else 8 for df in (queries, vectors)]
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, last = None, None
         for b in batches:
-            for qi, qv, vi, vv in zip(*(b.column(c).to_pylist() for c in range(4))):
-                q, v = np.frombuffer(qv).reshape(len(qi), -1), np.frombuffer(vv).reshape(len(vi), -1)
-                if q.shape[1] != v.shape[1]:
+            for i in range(len(b)):
+                if b.column(2)[i].as_py() != b.column(6)[i].as_py():
                     continue
-                qq, vv = (q * q).sum(1), (v * v).sum(1)
-                d2 = np.maximum(qq[:, None] + vv - 2 * q @ v.T, 0)
-                places: dict = {}
-                for j, name in enumerate(vi):
-                    places.setdefault(name, []).append(j)
-                out: tuple[list, list, list] = ([], [], [])
-                for i, name in enumerate(qi):
-                    # What rounding may do to each product; all that may then be among the k nearest stays, ties with it.
-                    slack = 4 * (q.shape[1] + 4) * np.finfo(np.float64).eps * (qq[i] + vv)
-                    most = d2[i] + slack
-                    most[places.get(name, [])] = np.inf
-                    limit = np.partition(most, k - 1)[k - 1] if len(vi) > k else np.inf
-                    near_by = np.flatnonzero(~(d2[i] - slack > limit))
-                    d = np.sqrt(((v[near_by] - q[i]) ** 2).sum(axis=1))
-                    order = sorted((x, vi[j]) for x, j in zip(d.tolist(), near_by.tolist()) if vi[j] != name)[:k]
-                    out[0].extend([name] * len(order))
-                    out[1].extend(i for _, i in order)
-                    out[2].extend(x for x, _ in order)
-                yield pa.record_batch([pa.array(out[0], b.schema.field(0).type.value_type), pa.array(out[1], b.schema.field(2).type.value_type), pa.array(out[2], pa.float64())], ["query", "id", "dist"])
-
-    pairs = blocks(queries, ("qi", "qv")).crossJoin(blocks(vectors, ("vi", "vv")))
-    found = pairs.mapInArrow(near, f"query {kind}, id {_typed(vectors, id_col)}, dist double")
+                v = np.frombuffer(b.column(7)[i].as_buffer(), f"<f{widths[1]}").reshape(-1, b.column(6)[i].as_py())
+                if (name := b.column(0)[i].as_py()) != last:
+                    if own:
+                        yield own.found()
+                    q = np.frombuffer(b.column(3)[i].as_buffer(), f"<f{widths[0]}").reshape(-1, b.column(2)[i].as_py())
+                    own, last = _Nearest(b.column(1)[i].values, q.astype(np.float64), k), name
+                own.meet(b.column(5)[i].values, v.astype(np.float64))
+        if own:
+            yield own.found()
+
+    spark = queries.sparkSession
+    # Blocks are sent, not sides: a task reads its queries' blocks once and one part of the vectors' blocks.
+    left = blocks(queries, ("q", "qi", "qd", "qv"), 2 * spark.sparkContext.defaultParallelism)
+    pairs = left.crossJoin(blocks(vectors, ("v", "vi", "vd", "vv"), PARTS).hint("shuffle_replicate_nl"))
+    found = pairs.mapInArrow(near, f"query {kind}, id {other}, dist double")
     from pyspark.sql import Window
 
     place = F.row_number().over(Window.partitionBy("query").orderBy("dist", "id"))
     return found.withColumn("rank", place - 1).where(F.col("rank") < k)
 
 
+class _Nearest:
+    """The k nearest of each query of a block among the vectors met so far."""
+
+    def __init__(self, ids: pa.Array, q: np.ndarray, k: int):
+        self.ids, self.q, self.k, self.qq = ids, q, k, (q * q).sum(1)
+        self.limit = np.full(len(q), np.inf)  # squared distances beyond which none is among the k nearest
+        self.kept: list[tuple[np.ndarray, np.ndarray, pa.Array]] = []
+        self.new = 0
+
+    def meet(self, ids: pa.Array, v: np.ndarray) -> None:
+        coded = pa.concat_arrays([self.ids, ids.cast(self.ids.type)]).dictionary_encode("encode").indices.to_numpy()
+        mine, theirs = coded[: len(self.q)], coded[len(self.q) :]
+        most = int(np.bincount(theirs).max())
+        d, vv = self.q.shape[1], (v * v).sum(1)
+        # Single precision where nothing can overflow.
+        single = bool(max(self.qq.max(), vv.max()) < 1e30)
+        kind = np.float32 if single else np.float64
+        right = np.concatenate((v, vv[:, None]), axis=1).astype(kind).T
+        left = np.concatenate((-2 * self.q, np.ones((len(self.q), 1))), axis=1).astype(kind)
+        # What rounding may do to a product, in either direction.
+        slack = 4 * (d + 4) * (np.finfo(kind).eps * (self.qq + vv.max()) + np.finfo(kind).tiny)
+        step = max(1, ENTRIES // len(v))
+        for a in range(0, len(self.q), step):
+            part = slice(a, a + step)
+            e = left[part] @ right  # squared distances less the query's own square
+            limit = self.limit[part] - self.qq[part]
+            if np.isinf(limit).any():  # as many of the first as are surely not the query's own give a bound
+                n = self.k + most
+                few = e[:, : max(512, 4 * n)]
+                if few.shape[1] >= n:
+                    limit = np.fmin(limit, np.partition(few, n - 1, axis=1)[:, n - 1] + slack[part])
+            top = np.nextafter((limit + slack[part]).astype(kind), kind(np.inf))[:, None]
+            at = np.flatnonzero(e <= top if single else ~(e > top))
+            row, col = at // len(v) + a, at % len(v)
+            other = mine[row] != theirs[col]
+            row, col = row[other], col[other]
+            for c in range(0, len(row), 1 << 16):
+                r, o = row[c : c + (1 << 16)], col[c : c + (1 << 16)]
+                dist = np.sqrt(((v[o] - self.q[r]) ** 2).sum(axis=1))
+                self.kept.append((r, dist, ids.take(pa.array(o))))
+                self.new += len(r)
+                if self.new > max(1 << 18, len(self.q) * self.k):
+                    self._trim()
+        if self.new > len(self.q) * self.k // 2:
+            self._trim()
+
+    def _trim(self) -> None:
+        if not self.kept:
+            return
+        row, dist = (np.concatenate([x[j] for x in self.kept]) for j in (0, 1))
+        ids = pa.concat_arrays([x[2] for x in self.kept])
+        order = pc.sort_indices(pa.table({"r": row, "d": dist, "i": ids}), [("r", "ascending"), ("d", "ascending"), ("i", "ascending")], null_placement="at_start").to_numpy()
+        sorted_ = row[order]
+        starts = np.flatnonzero(np.diff(sorted_, prepend=-1))
+        place = np.arange(len(sorted_)) - np.repeat(starts, np.diff(starts, append=len(sorted_)))
+        order, place = order[place < self.k], place[place < self.k]
+        row, dist, ids = row[order], dist[order], ids.take(pa.array(order))
+        full = place == self.k - 1
+        self.limit[row[full]] = dist[full] ** 2 * (1 + 1e-12)
+        self.kept, self.new = [(row, dist, ids)], 0
+
+    def found(self) -> pa.RecordBatch:
+        self._trim()
+        row, dist, ids = self.kept[0] if self.kept else (np.zeros(0, np.int64), np.zeros(0), self.ids[:0])
+        return pa.record_batch([self.ids.take(pa.array(row)), ids, pa.array(dist)], ["query", "id", "dist"])
+
+
 # ------------------------------------------------------------------ inverted file
 
 
