@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 _IDENTIFIER = re.compile(r"[A-Za-z][A-Za-z0-9_]*[A-Za-z0-9]")
 _HUMP, _ACRONYM = re.compile(r"([a-z])([A-Z])"), re.compile(r"([A-Z]+)([A-Z][a-z])")
+#: Where a word may end within an identifier.
+_MARK = re.compile(r"[A-Z_](?:(?<=_)|(?<=[a-z][A-Z])|(?<=[A-Z]{2})(?=[a-z]))")
+_WORD_CHARS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_")
 ELLIPSIS = "/* … */"
 WORD = r"([\p{L}\p{N}]+)"
 
@@ -25,13 +28,22 @@ def identifier_parts(token: str) -> list[str]:
 
 
 def expand_identifiers_text(text: str) -> str:
-    """Every compound identifier followed by its words: ``getUserById get user by id``."""
+    """Every compound identifier followed by its words: ``getUserById get user by id``.
 
-    def spread(m: re.Match) -> str:
+    Only identifiers in which a word can end are looked at; prose has few.
+    """
+    out, done = [], 0
+    while mark := _MARK.search(text, done):
+        a = mark.start()
+        while a > done and text[a - 1] in _WORD_CHARS:
+            a -= 1
+        m = _IDENTIFIER.search(text, a)
+        if not m:
+            break
         parts = identifier_parts(m[0])
-        return m[0] if len(parts) < 2 else " ".join((m[0], *parts))
-
-    return _IDENTIFIER.sub(spread, text)
+        out.append(text[done : m.end()] if len(parts) < 2 else " ".join((text[done : m.end()], *parts)))
+        done = m.end()
+    return "".join((*out, text[done:])) if out else text
 
 
 def identifier_terms(text: Column | str) -> Column:

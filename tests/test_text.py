@@ -59,3 +59,22 @@ def test_comments_and_aliases(tmp_path):
     (tmp_path / "a" / "b").mkdir(parents=True)
     (tmp_path / "cairn.toml").write_text('[embedding]\nprovider = "hash"\n')
     assert settings.find_settings(str(tmp_path / "a" / "b"))["embedding"]["provider"] == "hash"
+
+
+def test_only_compound_identifiers_are_taken_apart(monkeypatch):
+    import random
+    import re
+
+    real, asked = T.identifier_parts, []
+
+    def each(text):
+        spread = lambda m: m[0] if len(p := real(m[0])) < 2 else " ".join((m[0], *p))
+        return re.sub(r"[A-Za-z][A-Za-z0-9_]*[A-Za-z0-9]", spread, text)
+
+    rng = random.Random(8)
+    for n in range(20_000):
+        text = "".join(rng.choices(["a", "b", "B", "C", "_", "9", " ", "é", "É", ".", "aB", "foo", "HTTPs", "x_y"], k=rng.randint(0, 12)))
+        assert T.expand_identifiers_text(text) == each(text), text
+    monkeypatch.setattr(T, "identifier_parts", lambda t: (asked.append(t), real(t))[1])
+    assert T.expand_identifiers_text("Plain words of Prose, then getUser and a_b; HTTP 404.") == "Plain words of Prose, then getUser get user and a_b a b; HTTP 404."
+    assert asked == ["getUser", "a_b"]
