@@ -24,7 +24,8 @@ def related(edges: DataFrame, chunks: DataFrame, direction: str, types: tuple[st
     supertypes out/IMPLEMENTS+EXTENDS, usages in/USES.
     """
     near, far = ("target_chunk_id", "source_chunk_id") if direction == "in" else ("source_chunk_id", "target_chunk_id")
-    ends = edges.where(by_type(types)).select(F.col(near).alias("of"), F.col(far).alias("id")).distinct()
+    # Sent once, by the id: that serves the join as well as the removal of repeats.
+    ends = edges.where(by_type(types)).select(F.col(near).alias("of"), F.col(far).alias("id")).repartition("id").distinct()
     return ends.join(chunks, "id").select("of", *chunks.columns)
 
 

@@ -238,3 +238,13 @@ def test_budget_and_percentiles_and_recall(spark):
     assert {r["p"]: r["value"] for r in report.percentiles(v, "v").collect()} == {50: 50.0, 95: 95.0, 99: 99.0}
     h = spark.createDataFrame([("a", 0), ("b", 3), ("c", None)], "query string, hit_rank int")
     assert {r["k"]: r["recall"] for r in report.recall_at(h).collect()} == {1: 0.3333, 5: 0.6667, 10: 0.6667}
+
+
+def test_related_ends_are_sent_once(spark):
+    rows = [("a", "c", "USES"), ("a", "c", "USES"), ("b", "c", "USES"), ("a", "d", "CALLS"), ("x", "c", "USES")]
+    edges = spark.createDataFrame(rows, "source_chunk_id string, target_chunk_id string, type string")
+    chunks = spark.createDataFrame([("a", "A"), ("b", "B"), ("c", "C")], "id string, name string")
+    found = graph.related(edges, chunks.hint("merge"), *graph.RELATED["usages"])
+    assert sorted(map(tuple, found.collect())) == [("c", "a", "A"), ("c", "b", "B")]
+    plan = graph.related(edges, chunks.hint("merge"), *graph.RELATED["usages"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 2  # one for each side of the join
